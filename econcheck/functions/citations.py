@@ -24,7 +24,7 @@ ECB_FX_URL = (
 
 
 def bibtex_escape(s: Column) -> Column:
-    return F.regexp_replace(s, r"([&%$#_])", r"\\\\$1")
+    return F.regexp_replace(s, r"([&%$#_])", r"\\$1")
 
 
 def citation(

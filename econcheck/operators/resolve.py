@@ -169,15 +169,12 @@ def _short_and_long_containment(keys: DataFrame, names: DataFrame) -> DataFrame:
     return long.unionByName(inside_name).unionByName(inside_key)
 
 
-def indicator_scores(query: Column) -> Column:
-    """array<struct(indicator, score, ordinal)> of registry keys that match a search text at all.
+def indicator_scores(q: Column, words: Column) -> Column:
+    """array<struct(neg, ordinal, indicator)> of registry keys that match a cleaned search text at all.
 
     The registry is a constant of 48 rows, so it travels inside the expression and
     the search needs neither join nor shuffle.
     """
-    q = F.trim(F.regexp_replace(F.lower(query), r"[^a-z0-9% ]+", " "))
-    words = F.filter(F.split(q, r"\s+"), lambda t: F.length(t) > 1)
-    as_key = F.regexp_replace(q, r"\s+", "_")
     entries = F.array(
         *[
             F.struct(
@@ -192,10 +189,10 @@ def indicator_scores(query: Column) -> Column:
 
     def score(e):
         return (
-            F.when(e["indicator"] == as_key, F.lit(100)).otherwise(F.lit(0))
-            + F.size(F.filter(e["synonyms"], lambda s: s == q)) * 60
+            F.when(F.replace(e["indicator"], F.lit("_"), F.lit(" ")) == q, F.lit(100)).otherwise(F.lit(0))
+            + F.when(F.array_contains(e["synonyms"], q), F.lit(60)).otherwise(F.lit(0))
             + F.when(e["hay"].contains(q), F.lit(25)).otherwise(F.lit(0))
-            + F.size(F.filter(words, lambda t: e["hay"].contains(t))) * 8
+            + F.size(F.filter(words, lambda w: e["hay"].contains(w))) * 8
         )
 
     scored = F.transform(entries, lambda e: F.struct((-score(e)).alias("neg"), e["ordinal"].alias("ordinal"), e["indicator"].alias("indicator")))
@@ -203,10 +200,19 @@ def indicator_scores(query: Column) -> Column:
 
 
 def search_indicators(queries: DataFrame, text: str, key: str, limit: int = 8) -> DataFrame:
-    """Best registry keys per search text, registry order on ties."""
-    top = F.slice(F.array_sort(indicator_scores(F.col(text))), 1, limit)
-    return queries.select(key, F.posexplode(top).alias("pos", "m")).select(
-        key, (F.col("pos") + 1).alias("position"), F.col("m.indicator").alias("indicator"), (-F.col("m.neg")).alias("score")
+    """Best registry keys per search text, registry order on ties; equal texts are ranked once."""
+    q = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9% ]+", " "), r"\s+", " "))
+    asked = queries.select(key, q.alias("_q"))
+    words = F.filter(F.split("_q", " "), lambda w: F.length(w) > 1)
+    distinct = asked.select("_q").distinct().withColumn("_words", words)
+    top = F.slice(F.array_sort(indicator_scores(F.col("_q"), F.col("_words"))), 1, limit)
+    ranked = distinct.select("_q", top.alias("_top"))
+    return (
+        lookup_join(asked, ranked, ["_q"], key, "inner")
+        # the outer form keeps the optimizer from filtering on the scores below the distinct
+        .select(key, F.posexplode_outer("_top").alias("pos", "m"))
+        .filter("pos IS NOT NULL")
+        .select(key, (F.col("pos") + 1).alias("position"), F.col("m.indicator").alias("indicator"), (-F.col("m.neg")).alias("score"))
     )
 
 

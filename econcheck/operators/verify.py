@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from econcheck.functions import judge as J
 from econcheck.functions import periods as P
 from econcheck.functions.text import format_figure
-from econcheck.operators.chain import choose_source, series_attempts, series_stats
-from econcheck.plans.joins import dim_join, lookup_join, null_safe_lookup_join
+from econcheck.operators.chain import choose_source, series_stats
+from econcheck.plans.joins import dim_join, lookup_join
 
 MAX_TEXT = 200
 NEARBY_YEARS = 2
 NEARBY_SHOWN = 6
+LIVE = ""  # edition of the series a source serves today
 
 
 def validate_claims(claims: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -48,72 +49,98 @@ def validate_claims(claims: DataFrame, indicators: DataFrame) -> DataFrame:
         .when(F.col("as_of").isNotNull() & F.col("as_of_day").isNull(), "malformed_as_of")
         .when(F.col("as_of").isNotNull() & ~F.col("has_editions"), "as_of_not_supported")
     )
-    return out.withColumn("claim_error", fault).withColumn("edition", P.edition_at(F.col("as_of_day")))
+    return out.withColumn("claim_error", fault).withColumn("edition", F.coalesce(P.edition_at(F.col("as_of_day")), F.lit(LIVE)))
 
 
-def match_cells(cells: DataFrame, obs: DataFrame, series: list[str]) -> DataFrame:
+def match_cells(cells: DataFrame, obs: DataFrame, series: list[str], carry: list[str] = [], previous: str | None = None) -> DataFrame:
     """Find each cell's observation and what surrounds it.
 
-    ``cells``: the ``series`` columns plus ``period`` and ``year``, distinct.
-    Adds ``official``, ``matched_period``, ``note``, neighbouring annual values
-    ``y_m2 y_m1 y_p1 y_p2``, up to six nearby observations and whether the series
-    has sub-annual labels.  One equi-join on (series, year) over the five years
-    around the cell, then one grouping.
+    ``cells``: the ``series`` columns plus ``period``, ``year`` and ``carry``,
+    distinct.  Adds ``official``, ``matched_period``, ``note``, neighbouring annual
+    values ``y_m2 y_m1 y_p1 y_p2``, up to six nearby observations and whether the
+    series has sub-annual labels.  One equi-join on (series, year) over the five
+    years around the cell, then one grouping.  With ``previous`` (needs ``vintage``
+    among the series columns) the same pass also reads the cell in that edition.
     """
-    probes = cells.withColumn("_off", F.explode(F.sequence(F.lit(-NEARBY_YEARS), F.lit(NEARBY_YEARS)))).withColumn(
-        "_year", F.col("year") + F.col("_off")
-    )
+    look = [F.struct(F.lit(k).alias("off"), F.lit(None).cast("string").alias("vintage")) for k in range(-NEARBY_YEARS, NEARBY_YEARS + 1)]
+    if previous is not None:
+        look.append(F.struct(F.lit(0).alias("off"), F.lit(previous).alias("vintage")))
+    probes = cells.withColumn("_l", F.explode(F.array(*look))).withColumn("_year", F.col("year") + F.col("_l.off"))
+    if previous is not None:
+        probes = probes.withColumn("_own", F.col("vintage")).withColumn("vintage", F.coalesce("_l.vintage", "vintage"))
     side = obs.select(
         *series, F.col("year").alias("_year"), F.col("period").alias("_p"), F.col("value").alias("_v"), F.col("note").alias("_n")
     )
     joined = probes.join(side, [*series, "_year"], "left")
+    if previous is not None:
+        joined = joined.withColumn("vintage", F.col("_own"))
+    own = F.col("_l.vintage").isNull()
     has = F.col("_v").isNotNull()
     o = F.struct(F.col("_p").alias("period"), F.col("_v").alias("value"), F.col("_n").alias("note"))
-    here = F.col("_off") == 0
-    exact = F.max(F.when(here & has & (F.col("_p") == F.col("period")), o))
-    prefix = F.min(F.when(here & has & (F.length("period") >= 6) & F.col("_p").startswith(F.col("period")), o))
+    here = own & has & (F.col("_l.off") == 0)
+    exact = F.max(F.when(here & (F.col("_p") == F.col("period")), o))
+    prefix = F.min(F.when(here & (F.length("period") >= 6) & F.col("_p").startswith(F.col("period")), o))
     neighbours = [
-        F.max(F.when((F.col("_off") == k) & (F.col("_p") == F.col("_year").cast("string")), F.col("_v"))).alias(name)
+        F.max(F.when(own & (F.col("_l.off") == k) & (F.col("_p") == F.col("_year").cast("string")), F.col("_v"))).alias(name)
         for k, name in ((-2, "y_m2"), (-1, "y_m1"), (1, "y_p1"), (2, "y_p2"))
     ]
     # at most five calendar years of one series
-    near = F.slice(
-        F.reverse(F.array_sort(F.collect_list(F.when(has, F.struct(F.col("_p").alias("period"), F.col("_v").alias("value")))))), 1, NEARBY_SHOWN
-    )
-    grouped = joined.groupBy(*series, "period", "year").agg(
-        F.coalesce(exact, prefix).alias("_m"), *neighbours, F.reverse(near).alias("nearby"),
-        F.bool_or(F.length("_p") > 4).alias("sub_annual"),
+    valued = F.collect_list(F.when(own & has, F.struct(F.col("_p").alias("period"), F.col("_v").alias("value"))))
+    near = F.reverse(F.slice(F.reverse(F.array_sort(valued)), 1, NEARBY_SHOWN))
+    earlier = F.max(F.when(~own & has & (F.col("_p") == F.col("period")), F.col("_v")))
+    grouped = joined.groupBy(*series, "period", "year", *carry).agg(
+        F.coalesce(exact, prefix).alias("_m"), *neighbours, near.alias("nearby"), F.bool_or(own & (F.length("_p") > 4)).alias("sub_annual"),
+        earlier.alias("previous_value"),
     )
     return grouped.select(
-        *series, "period", "year",
+        *series, "period", "year", *carry,
         F.col("_m.value").alias("official"), F.col("_m.period").alias("matched_period"), F.col("_m.note").alias("note"),
-        "y_m2", "y_m1", "y_p1", "y_p2", "nearby", "sub_annual",
+        "y_m2", "y_m1", "y_p1", "y_p2", "nearby", "sub_annual", "previous_value",
     )
 
 
-def _live_cells(cells: DataFrame, obs: DataFrame, chain: DataFrame, availability: DataFrame | None) -> DataFrame:
+def served_series(obs: DataFrame, chain: DataFrame, editions: DataFrame | None, availability: DataFrame | None, strict: bool, previous: str | None) -> DataFrame:
+    """One row per (edition, indicator, iso3) that can answer: which source, fallback disclosure and value range.
+
+    Small next to the claims: it has as many rows as there are official series.
+    """
+    if strict:
+        first = chain.groupBy("indicator").agg(F.min("priority").alias("priority"))
+        chain = chain.join(F.broadcast(first), ["indicator", "priority"], "left_semi")
     stats = series_stats(obs)
-    requests = cells.select("indicator", "iso3", "strict").distinct()
-    chosen = choose_source(series_attempts(requests, chain, stats, availability), ["indicator", "iso3", "strict"])
-    pinned = cells.join(chosen, ["indicator", "iso3", "strict"], "left")
-    looked_up = match_cells(
-        pinned.filter(F.col("source").isNotNull()).select("source", "indicator", "iso3", "period", "year").distinct(),
-        obs,
-        ["source", "indicator", "iso3"],
-    )
-    ranges = stats.select("source", "indicator", "iso3", "first_period", "last_period")
-    return pinned.join(looked_up, ["source", "indicator", "iso3", "period", "year"], "left").join(
-        ranges, ["source", "indicator", "iso3"], "left"
+    series = ["source", "indicator", "iso3"]
+    known = stats if availability is None else stats.join(availability.select(*series, "status"), series, "full_outer")
+    if availability is None:
+        known = known.withColumn("status", F.lit(None).cast("string"))
+    down = F.coalesce(F.col("status") == "transient", F.lit(False))
+    # a chain entry without statistics or status is definitively absent, so it can be left out
+    tried = dim_join(known, chain.select("indicator", "source", "priority"), ["indicator", "source"], "inner")
+    full = chain.groupBy("indicator").agg(F.min("priority").alias("_chain_first"))
+    tried = dim_join(tried, full, ["indicator"])
+    tried = tried.withColumn("transient", down).withColumn("usable", ~down & F.coalesce(F.col("n_values") > 0, F.lit(False)))
+    span = F.when(F.col("usable"), F.struct("priority", "first_period", "last_period"))
+    chosen = choose_source(tried.withColumn("_s", span), ["indicator", "iso3"], F.min("_s").alias("_s"), F.max("_chain_first").alias("_cf"))
+    below_first = F.col("priority") > F.col("_cf")
+    live = chosen.select(
+        F.lit(LIVE).alias("edition"), "indicator", "iso3", "source", F.coalesce(below_first, F.lit(False)).alias("fallback_used"),
+        F.when(below_first, F.coalesce("fallback_reason", F.lit("definitive"))).alias("fallback_reason"), "failed_transiently",
+        F.col("_s.first_period").alias("first_period"), F.col("_s.last_period").alias("last_period"),
     )
-
-
-def _edition_cells(cells: DataFrame, editions: DataFrame) -> DataFrame:
-    keys = ["edition", "indicator", "iso3"]
-    stats = editions.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
+    if editions is None:
+        return live.withColumn("previous_exists", F.lit(False))
+    dated = editions.filter(F.col("value").isNotNull()).groupBy("edition", "indicator", "iso3").agg(
         F.min("period").alias("first_period"), F.max("period").alias("last_period")
     )
-    looked_up = match_cells(cells.select(*keys, "period", "year").distinct(), editions, keys)
-    return cells.join(looked_up, [*keys, "period", "year"], "left").join(stats, keys, "left")
+    archive = dated.select(
+        "edition", "indicator", "iso3", F.lit("archive").alias("source"), F.lit(False).alias("fallback_used"),
+        F.lit(None).cast("string").alias("fallback_reason"), F.lit(False).alias("failed_transiently"), "first_period", "last_period",
+        F.lit(False).alias("previous_exists"),
+    )
+    if previous is None:
+        return live.withColumn("previous_exists", F.lit(False)).unionByName(archive)
+    earlier = dated.filter(F.col("edition") == previous).select("indicator", "iso3", F.lit(True).alias("previous_exists"))
+    live = live.join(earlier, ["indicator", "iso3"], "left").withColumn("previous_exists", F.coalesce("previous_exists", F.lit(False)))
+    return live.unionByName(archive)
 
 
 def resolve_cells(
@@ -122,34 +149,24 @@ def resolve_cells(
     chain: DataFrame,
     editions: DataFrame | None,
     availability: DataFrame | None,
+    strict: bool,
     previous: str | None,
 ) -> DataFrame:
-    """Lookup table for distinct cells (indicator, iso3, period, year, strict, edition)."""
-    served = ["source", "primary_source", "fallback_used", "fallback_reason", "failed_transiently"]
-    found = ["official", "matched_period", "note", "y_m2", "y_m1", "y_p1", "y_p2", "nearby", "sub_annual", "first_period", "last_period"]
-    keys = ["indicator", "iso3", "period", "year", "strict", "edition"]
-    out = _live_cells(cells.filter(F.col("edition").isNull()), obs, chain, availability).select(*keys, *served, *found)
+    """Lookup table for distinct cells (indicator, iso3, period, year, edition).
+
+    Live series and dated editions sit in one long table told apart by ``vintage``
+    (a source id or an edition label), so a single join reads today's value, the
+    pinned edition and the previous one.
+    """
+    served = served_series(obs, chain, editions, availability, strict, previous)
+    columns = ["vintage", "indicator", "iso3", "period", "year", "value", "note"]
+    long = obs.withColumn("vintage", F.col("source")).select(*columns)
     if editions is not None:
-        dated = _edition_cells(cells.filter(F.col("edition").isNotNull()), editions)
-        has_any = F.col("first_period").isNotNull()
-        dated = dated.select(
-            *keys,
-            F.when(has_any, F.lit("archive")).alias("source"),
-            F.lit("archive").alias("primary_source"),
-            F.lit(False).alias("fallback_used"),
-            F.lit(None).cast("string").alias("fallback_reason"),
-            F.lit(False).alias("failed_transiently"),
-            *found,
-        )
-        out = out.unionByName(dated)
-        if previous is not None:
-            prev = editions.filter((F.col("edition") == previous) & F.col("value").isNotNull()).groupBy("indicator", "iso3", "period").agg(
-                F.max("value").alias("previous_value")
-            )
-            known = editions.filter(F.col("edition") == previous).select("indicator", "iso3").distinct().withColumn("previous_exists", F.lit(True))
-            out = out.join(prev, ["indicator", "iso3", "period"], "left").join(known, ["indicator", "iso3"], "left")
-            return out.withColumn("previous_exists", F.coalesce("previous_exists", F.lit(False)))
-    return out.withColumn("previous_value", F.lit(None).cast("double")).withColumn("previous_exists", F.lit(False))
+        long = long.unionByName(editions.withColumn("vintage", F.col("edition")).select(*columns))
+    pinned = cells.join(served, ["edition", "indicator", "iso3"], "left")
+    pinned = pinned.withColumn("vintage", F.when(F.col("edition") == LIVE, F.col("source")).otherwise(F.col("edition")))
+    carry = [c for c in pinned.columns if c not in {"vintage", "indicator", "iso3", "period", "year"}]
+    return match_cells(pinned, long, ["vintage", "indicator", "iso3"], carry, previous).drop("vintage")
 
 
 def observation_status(source: Column, is_projection: Column, modeled: Column, in_registry: Column) -> Column:
@@ -198,12 +215,12 @@ def verify_claims(
     probe; without it mismatches are not re-judged.
     """
     day = F.to_date(F.lit(today)) if today else None
-    checked = validate_claims(claims, indicators).withColumn("strict", F.lit(strict))
-    cell = ["indicator", "iso3", "period", "year", "strict", "edition"]
+    checked = validate_claims(claims, indicators)
+    cell = ["edition", "indicator", "iso3", "period", "year"]
     cells = checked.filter(F.col("claim_error").isNull()).select(*cell).distinct()
     previous = _previous_edition_of(today) if today and editions is not None and not strict else None
-    lookup = resolve_cells(cells, obs, chain, editions, availability, previous)
-    c = null_safe_lookup_join(checked, lookup, cell, "claim_id")
+    lookup = resolve_cells(cells, obs, chain, editions, availability, strict, previous)
+    c = lookup_join(checked, lookup, cell, "claim_id")
 
     claimed, official = F.col("claimed_value"), F.col("official")
     percent = F.coalesce(J.is_percent_kind(F.col("kind")), F.lit(False))
@@ -260,7 +277,7 @@ def verify_claims(
         "difference", "relative_difference_pct", "is_projection", "observation_status", "diagnostics", "explanation", "source",
         "fallback_used", "fallback_reason",
         F.when(
-            F.col("edition").isNotNull(),
+            F.col("edition") != LIVE,
             F.struct(
                 F.col("as_of").alias("requested"), F.col("edition").alias("resolved_edition"),
                 F.month("as_of_day").isin(4, 10).alias("inside_release_month"),
@@ -282,7 +299,7 @@ def _revision_check(day, percent, tol, previous) -> Column:
     shape = "struct<status:string,previous_edition:string,previous_value:double,matches_previous:boolean,next_edition:string>"
     if previous is None:
         return F.lit(None).cast(shape)
-    applies = (F.col("verdict") == "mismatch") & F.col("edition").isNull() & F.col("has_editions")
+    applies = (F.col("verdict") == "mismatch") & (F.col("edition") == LIVE) & F.col("has_editions")
     matches = J.judge(F.col("claimed_value"), F.col("previous_value"), percent, *tol).isin("match", "close")
     return F.when(
         applies,
