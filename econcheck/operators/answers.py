@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from econcheck.plans.barrier import evaluate_once
+
 NOTE_LENGTH = 140
 
 
@@ -39,114 +41,129 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     )
 
 
-def _type_of(item: Column, field: str) -> Column:
-    """JSON type of a field: number / text / bool / null / other; NULL when the field is absent."""
-    schema = F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
-    return (
-        F.when(schema == "VOID", F.lit("null"))
-        .when(schema == "STRING", F.lit("text"))
-        .when(schema == "BOOLEAN", F.lit("bool"))
-        .when(schema.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), F.lit("number"))
-        .when(schema.isNotNull(), F.lit("other"))
-    )
+FIELDS = ("value", "unit", "year_basis", "confidence", "refused", "basis_note")
 
 
-def typed_item(item: Column) -> Column:
-    """struct of checked fields plus ``parse_flags``; a quoted number is not a number."""
-    is_object = F.schema_of_variant(item).startswith("OBJECT")
-    t = {f: _type_of(item, f) for f in ("value", "unit", "year_basis", "confidence", "refused", "basis_note")}
-    number = {f: F.try_variant_get(item, f"$.{f}", "double") for f in ("value", "year_basis", "confidence")}
-    text = {f: F.try_variant_get(item, f"$.{f}", "string") for f in ("unit", "basis_note")}
-    whole = (t["year_basis"] == "number") & (number["year_basis"] == F.floor(number["year_basis"]))
-    sure = (t["confidence"] == "number") & number["confidence"].between(0, 1)
+def _schema_of(item: Column, field: str) -> Column:
+    """JSON type name of a field (``STRING``, ``BOOLEAN``, ``BIGINT``, ...); NULL when absent."""
+    return F.schema_of_variant(F.try_variant_get(item, f"$.{field}", "variant"))
 
-    def present(f):
-        return F.coalesce(t[f] != "null", F.lit(False))
 
-    def flag(when, name):
-        return F.when(when, F.lit(name))
+def _is_number(schema: Column) -> Column:
+    return F.coalesce(schema.isin("BIGINT", "DOUBLE", "FLOAT") | schema.startswith("DECIMAL"), F.lit(False))
+
+
+def typed_fields(df: DataFrame, item: str) -> DataFrame:
+    """Append the checked fields of a VARIANT item and ``parse_flags``; a quoted number is not a number.
+
+    First the JSON type of each field is read once, then values and flags follow
+    from the types.
+    """
+    v = F.col(item)
+    df = evaluate_once(
+        df, F.struct(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_obj"), *[_schema_of(v, f).alias(f"_t_{f}") for f in FIELDS])
+    )
+    t = {f: F.col(f"_t_{f}") for f in FIELDS}
+    number = {f: F.when(_is_number(t[f]), F.try_variant_get(v, f"$.{f}", "double")) for f in ("value", "year_basis", "confidence")}
+    text = {f: F.when(t[f] == "STRING", F.try_variant_get(v, f"$.{f}", "string")) for f in ("unit", "basis_note")}
+    refused = F.when(t["refused"] == "BOOLEAN", F.try_variant_get(v, "$.refused", "boolean"))
+    df = evaluate_once(
+        df, F.struct(*[number[f].alias(f"_n_{f}") for f in number], *[text[f].alias(f"_s_{f}") for f in text], refused.alias("_b_refused"))
+    )
+    whole = F.col("_n_year_basis") == F.floor("_n_year_basis")
+    sure = F.col("_n_confidence").between(0, 1)
+
+    def flag(field, accepted, name):
+        present = t[field].isNotNull() & (t[field] != "VOID")
+        return F.when(present & ~F.coalesce(accepted, F.lit(False)), F.lit(name))
 
-    no = F.lit(False)
     flags = F.array_compact(
         F.array(
-            flag(present("value") & (t["value"] != "number"), "value_not_number"),
-            flag(present("unit") & (t["unit"] != "text"), "unit_not_string"),
-            flag(present("year_basis") & ~F.coalesce(whole, no), "year_basis_not_integer"),
-            flag(present("confidence") & ~F.coalesce(sure, no), "confidence_invalid"),
-            flag(present("refused") & (t["refused"] != "bool"), "refused_not_boolean"),
-            flag(~present("refused"), "refused_missing"),
+            flag("value", F.col("_n_value").isNotNull(), "value_not_number"),
+            flag("unit", F.col("_s_unit").isNotNull(), "unit_not_string"),
+            flag("year_basis", whole, "year_basis_not_integer"),
+            flag("confidence", sure, "confidence_invalid"),
+            flag("refused", F.col("_b_refused").isNotNull(), "refused_not_boolean"),
+            F.when(t["refused"].isNull() | (t["refused"] == "VOID"), F.lit("refused_missing")),
         )
     )
-    return F.struct(
-        F.when(is_object & (t["value"] == "number"), number["value"]).alias("value"),
-        F.when(is_object & (t["unit"] == "text"), text["unit"]).alias("unit"),
-        F.when(is_object & whole, number["year_basis"].cast("int")).alias("year_basis"),
-        F.when(is_object & sure, number["confidence"]).alias("confidence"),
-        F.coalesce(F.when(is_object & (t["refused"] == "bool"), F.try_variant_get(item, "$.refused", "boolean")), no).alias("refused"),
-        F.when(is_object & (t["basis_note"] == "text"), F.substring(text["basis_note"], 1, NOTE_LENGTH)).alias("basis_note"),
-        F.when(is_object, flags).otherwise(F.array(F.lit("item_not_object"))).alias("parse_flags"),
+    out = df.withColumns(
+        {
+            "value": F.col("_n_value"),
+            "unit": F.col("_s_unit"),
+            "year_basis": F.when(whole, F.col("_n_year_basis").cast("int")),
+            "confidence": F.when(sure, F.col("_n_confidence")),
+            "refused": F.coalesce("_b_refused", F.lit(False)),
+            "basis_note": F.substring("_s_basis_note", 1, NOTE_LENGTH),
+            "parse_flags": F.when(F.col("_obj"), flags).otherwise(F.array(F.lit("item_not_object"))),
+        }
     )
+    return out.drop(*[c for c in out.columns if c.startswith(("_t_", "_n_", "_s_", "_b_", "_obj"))])
+
+
+def _elements(parsed: Column) -> Column:
+    return F.coalesce(F.try_variant_get(parsed, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _item_id(item: Column) -> Column:
+    """Trimmed qid of an element; NULL when it is no object, has no text qid, or an empty one."""
+    return F.when(_schema_of(item, "qid") == "STRING", F.nullif(F.trim(F.try_variant_get(item, "$.qid", "string")), F.lit("")))
 
 
 def parsed_items(batches: DataFrame) -> DataFrame:
     """One row per element of a parsed batch, in order, with its trimmed qid (NULL when none)."""
-    elements = F.try_variant_get(F.col("parsed"), "$", "array<variant>")
-    exploded = batches.filter(F.col("outcome") == "parsed").select("model", "batch_id", "repaired", F.posexplode(elements).alias("pos", "item"))
-    is_object = F.schema_of_variant("item").startswith("OBJECT")
-    qid = F.when(is_object & (_type_of(F.col("item"), "qid") == "text"), F.trim(F.try_variant_get("item", "$.qid", "string")))
-    return exploded.withColumn("qid", F.nullif(qid, F.lit("")))
+    exploded = batches.filter(F.col("outcome") == "parsed").select(
+        "model", "batch_id", "repaired", F.posexplode(_elements(F.col("parsed"))).alias("pos", "item")
+    )
+    return exploded.withColumn("qid", _item_id(F.col("item")))
+
 
+def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per expected batch of a called model: its qids, parse outcome, elements and their ids.
 
-def align(expected: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    A batch is a handful of questions by design, so everything about its answers is
+    decided inside its row; expected batches and files meet in a single join.
+    Models without any raw file stay absent: not called is not the same as failed.
+    """
+    wanted = expected.groupBy("model", "batch_id").agg(F.collect_list("qid").alias("qids"))
+    called = files.select("model").distinct()  # at most the roster
+    both = wanted.join(F.broadcast(called), "model", "left_semi").join(files, ["model", "batch_id"], "left")
+    opened = parse_batches(both).withColumn("elements", _elements(F.col("parsed")))
+    return opened.withColumn("ids", F.transform("elements", _item_id)).drop("original", "repair", "parsed")
+
+
+def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers, extraneous): every expected (model, batch, qid) exactly once.
 
     Items are keyed by trimmed qid, the first occurrence wins, unknown ids are
-    extraneous, and anything expected but absent is a format failure.  Models
-    without any raw file stay absent: not called is not the same as failed.
+    extraneous, and anything expected but absent is a format failure.
     """
-    keys = ["model", "batch_id", "qid"]
-    items = parsed_items(batches)
-    first = items.filter(F.col("qid").isNotNull()).groupBy(*keys).agg(F.min_by(F.struct("pos", "item", "repaired"), "pos").alias("f"))
-    states = batches.select("model", "batch_id", "outcome", F.col("repaired").alias("batch_repaired"))
-    called = batches.filter(F.col("outcome") != "missing_raw").select("model").distinct()
-    wanted = expected.join(called, "model", "left_semi").join(states, ["model", "batch_id"], "left")
-    joined = wanted.join(first, keys, "left")
-    a = typed_item(F.col("f.item"))
-    failed = F.col("f").isNull()
-    reason = F.when(F.coalesce("outcome", F.lit("missing_raw")) != "parsed", F.coalesce("outcome", F.lit("missing_raw"))).otherwise(
-        F.lit("qid_missing_from_output")
+    opened = _opened(expected, files)
+    per_qid = opened.select("*", F.explode("qids").alias("qid")).withColumn("_at", F.coalesce(F.array_position("ids", F.col("qid")), F.lit(0)))
+    failed = F.col("_at") == 0
+    reason = F.when(F.col("outcome") != "parsed", F.col("outcome")).otherwise(F.lit("qid_missing_from_output"))
+    item = F.get(F.col("elements"), (F.col("_at") - 1).cast("int"))
+    rows = per_qid.select("model", "batch_id", "qid", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, item).alias("_item"))
+    rows = typed_fields(rows, "_item")
+    ok = ~F.col("format_failure")
+    fields = [*FIELDS, "parse_flags"]
+    answers = rows.select(
+        "model", "batch_id", "qid", *[F.when(ok, F.col(f)).alias(f) for f in fields], "repaired", "format_failure",
+        F.when(~ok, F.col("_reason")).alias("failure_reason"),
     )
-    answers = joined.withColumn("_a", a).select(
-        *expected.columns,
-        F.when(~failed, F.col("_a.value")).alias("value"), F.when(~failed, F.col("_a.unit")).alias("unit"),
-        F.when(~failed, F.col("_a.year_basis")).alias("year_basis"), F.when(~failed, F.col("_a.confidence")).alias("confidence"),
-        F.when(~failed, F.col("_a.refused")).alias("refused"), F.when(~failed, F.col("_a.basis_note")).alias("basis_note"),
-        F.when(~failed, F.col("_a.parse_flags")).alias("parse_flags"),
-        F.coalesce("batch_repaired", F.lit(False)).alias("repaired"), failed.alias("format_failure"),
-        F.when(failed, reason).alias("failure_reason"),
-    )
-    extraneous = items.join(expected.select(*keys), keys, "left_anti").select("model", "batch_id", "pos", "qid")
+    spread = opened.select("model", "batch_id", "qids", F.posexplode("ids").alias("pos", "qid"))
+    extraneous = spread.filter(F.col("qid").isNull() | ~F.array_contains("qids", F.col("qid"))).select("model", "batch_id", "pos", "qid")
     return answers, extraneous
 
 
-def batch_statistics(expected: DataFrame, batches: DataFrame) -> DataFrame:
+def batch_statistics(expected: DataFrame, files: DataFrame) -> DataFrame:
     """Per model and batch: outcome, repaired, items, aligned, extraneous and duplicate counts."""
-    keys = ["model", "batch_id"]
-    items = parsed_items(batches)
-    known = expected.select("model", "batch_id", "qid").distinct().withColumn("_known", F.lit(True))
-    per_qid = (
-        items.groupBy(*keys, "qid").agg(F.count("*").alias("n")).join(known, [*keys, "qid"], "left")
-    )
-    is_known = F.coalesce("_known", F.lit(False))
-    counts = per_qid.groupBy(*keys).agg(
-        F.sum("n").alias("n_items"),
-        F.count_if(is_known).alias("n_aligned"),
-        F.sum(F.when(~is_known, F.col("n")).otherwise(F.lit(0))).alias("n_extraneous"),
-        F.sum(F.when(is_known, F.col("n") - 1).otherwise(F.lit(0))).alias("n_duplicates"),
+    opened = _opened(expected, files)
+    known = F.filter("ids", lambda x: F.array_contains(F.col("qids"), x))
+    n, k, aligned = F.size("ids"), F.size(known), F.size(F.array_distinct(known))
+    return opened.select(
+        "model", "batch_id", "outcome", "repaired", n.alias("n_items"), aligned.alias("n_aligned"), (n - k).alias("n_extraneous"), (k - aligned).alias("n_duplicates")
     )
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_items", "n_aligned", "n_extraneous", "n_duplicates")]
-    called = batches.filter(F.col("outcome") != "missing_raw").select("model").distinct()
-    return batches.join(called, "model", "left_semi").join(counts, keys, "left").select(*keys, "outcome", "repaired", *zero)
 
 
 def fence_variants(raw: DataFrame) -> DataFrame:

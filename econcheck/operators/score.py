@@ -9,6 +9,7 @@ from econcheck.dims import benchmark as B
 from econcheck.functions import judge as J
 from econcheck.functions.stats import mcnemar_exact, rate_columns, wilson
 from econcheck.functions.units import declared_unit
+from econcheck.plans.barrier import evaluate_once
 from econcheck.plans.joins import lookup_join
 from econcheck.plans.quantiles import index_quantiles
 
@@ -34,32 +35,34 @@ def score_answers(answers: DataFrame, truth: DataFrame, revisions: DataFrame | N
             .withColumn("vintage_value", F.lit(None).cast("double"))
             .withColumn("vintage_projections", F.lit(None).cast("map<int,struct<value:double,is_projection:boolean>>"))
         )
-    rows = lookup_join(answers, t, ["qid"], F.concat_ws(":", "model", "qid"), "inner")
-    rows = rows.withColumn("_unit", declared_unit(F.col("unit"), F.col("kind")))
-    claimed = F.col("normalized_value")
+    # a qid has at most one answer per roster model, so the key cannot run hot
+    rows = answers.join(t, "qid")
+    unit = declared_unit(F.col("unit"), F.col("kind"))
+    rows = evaluate_once(rows, F.struct(unit["ok"].alias("_unit_ok"), unit["factor"].alias("_factor"), unit["reason"].alias("_unit_reason")))
     official = F.col("official_value")
     kind, cls, segment = F.col("kind"), F.col("revision_class"), F.col("segment")
     early = (
         F.when(F.col("format_failure"), F.lit("format_failure"))
         .when(F.col("refused"), F.lit("refusal"))
-        .when(F.col("value").isNull(), F.lit("answer_failure"))
-        .when(~F.col("_unit.ok"), F.lit("answer_failure"))
+        .when(F.col("value").isNull() | ~F.col("_unit_ok"), F.lit("answer_failure"))
     )
-    reason = F.when(F.col("format_failure"), F.coalesce("failure_reason", F.lit("no_record"))).when(
-        F.col("refused"), F.lit(None).cast("string")
-    ).when(F.col("value").isNull(), F.lit("non_numeric_value_not_refused")).when(
-        ~F.col("_unit.ok"), F.concat(F.lit("unit:"), F.col("_unit.reason"))
+    reason = (
+        F.when(F.col("format_failure"), F.coalesce("failure_reason", F.lit("no_record")))
+        .when(F.col("refused"), F.lit(None).cast("string"))
+        .when(F.col("value").isNull(), F.lit("non_numeric_value_not_refused"))
+        .when(~F.col("_unit_ok"), F.concat(F.lit("unit:"), F.col("_unit_reason")))
     )
     rows = rows.withColumn("_early", early).withColumn("failure_reason", reason)
-    rows = rows.withColumn("normalized_value", F.when(early.isNull(), F.col("value") * F.col("_unit.factor")))
-    verdict = J.judge_by_class(claimed, official, kind, cls)
+    value = F.when(F.col("_early").isNull(), F.col("value") * F.col("_factor"))
+    verdict = J.judge_by_class(value, official, kind, cls)
     status = F.coalesce(
         "_early",
         F.when(segment == "null_probe", F.lit("fabricated")).when(
             segment == "recency", F.coalesce(verdict, F.lit("uncorroborated_answer"))
         ).otherwise(verdict),
     )
-    rows = rows.withColumn("status", status)
+    rows = evaluate_once(rows, F.struct(value.alias("normalized_value"), status.alias("status")))
+    claimed = F.col("normalized_value")
     missed = (segment == "headline") & (F.col("status") == "mismatch")
     ratio = J.ratio_to(claimed, official)
 
@@ -84,7 +87,7 @@ def score_answers(answers: DataFrame, truth: DataFrame, revisions: DataFrame | N
         .withColumn("vintage_status", F.when(missed, F.when(usable_vintage, F.lit("ok")).otherwise(F.coalesce("_rev_status", F.lit("not_targeted")))))
         .withColumn("projection_echo", F.when(echoes, fits(echo_value)))
         .withColumn("signed_rel_error", F.when(gradable, J.signed_relative_error(claimed, official)))
-        .drop("_unit", "_early", "_rev_status", "vintage_projections")
+        .drop("_unit_ok", "_factor", "_unit_reason", "_early", "_rev_status", "vintage_projections")
     )
 
 
@@ -285,9 +288,9 @@ def pairwise(scored: DataFrame, roster: list[str]) -> DataFrame:
     no self-join of the answers.
     """
     position = F.array_position(F.array(*[F.lit(m) for m in roster]), F.col("model")).cast("int") - 1
-    bit = F.shiftleft(F.lit(1).cast("long"), position)
+    bit = F.expr("shiftleft(1L, _pos)")
     ok = F.col("status").isin(*WITHIN)
-    rows = _scoreable(scored).filter(position >= 0)
+    rows = _scoreable(scored).withColumn("_pos", position).filter("_pos >= 0")
     folded = rows.groupBy("qid").agg(F.bit_or(bit).alias("seen"), F.bit_or(F.when(ok, bit).otherwise(F.lit(0).cast("long"))).alias("within"))
     patterns = folded.groupBy("seen", "within").agg(F.count("*").alias("n"))
     pairs = [(i, j) for i in range(len(roster)) for j in range(i + 1, len(roster))]

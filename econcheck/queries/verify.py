@@ -14,7 +14,10 @@ from econcheck.queries.cte import judge_sql, sql
 from econcheck.queries.inputs import KINDS, TODAY, Tables, nation_code
 from econcheck.queries.registry import query
 
-PERCENT = F.col("indicator") == "urgent_share"
+
+def percent_kind() -> F.Column:
+    return F.col("indicator") == "urgent_share"
+
 
 
 def _with_official(t: Tables):
@@ -33,7 +36,7 @@ def j1(t: Tables):
 
 @query("v1_judge", sql(f"SELECT claim_id, {_VERDICT} AS verdict FROM {_CO}"))
 def v1(t: Tables):
-    verdict = J.judge(F.col("claimed_value"), F.col("official"), PERCENT, F.col("tolerance_abs"), F.col("tolerance_pct"))
+    verdict = J.judge(F.col("claimed_value"), F.col("official"), percent_kind(), F.col("tolerance_abs"), F.col("tolerance_pct"))
     return _with_official(t).select("claim_id", verdict.alias("verdict"))
 
 
@@ -102,7 +105,7 @@ def v5(t: Tables):
     ).drop("year")
     out = lookup_join(claims, found, ["indicator", "iso3", "period"], "claim_id", "inner")
     values = {-2: F.col("y_m2"), -1: F.col("y_m1"), 1: F.col("y_p1"), 2: F.col("y_p2")}
-    d = V.year_diagnostics(F.col("claimed_value"), PERCENT, F.col("year"), F.col("tolerance_abs"), F.col("tolerance_pct"), values)
+    d = V.year_diagnostics(F.col("claimed_value"), percent_kind(), F.col("year"), F.col("tolerance_abs"), F.col("tolerance_pct"), values)
     return out.select("claim_id", d.alias("d")).filter(F.size("d") > 0).select("claim_id", F.array_join("d", ";").alias("years"))
 
 
