@@ -50,16 +50,17 @@ def first_per_stratum(df: DataFrame, stratum: str, key: Column, take: dict[str,
     return ranked.drop("_key", "_rn")
 
 
-def prune_pool(keyed: DataFrame, strata: list[str], quotas: dict[str, dict], economy: str, per_economy: int, total: int) -> DataFrame:
+def prune_pool(keyed: DataFrame, strata: list[str], quotas: dict[str, dict], total: int, per_economy: int, repeats: int = 1) -> DataFrame:
     """Rows that a greedy draw could possibly reach; exact, and small for any pool size.
 
-    Within one combination of strata values every economy appears at most once, so
-    a row is passed over only because its strata ran out (then all later rows of
-    the combination are passed over too) or because its economy is used up - at
-    most ``total // per_economy`` economies ever are.  Hence no row beyond
-    ``smallest quota + used-up economies`` of its combination can be taken.
+    Within one combination of strata values an economy occurs at most ``repeats``
+    times, so a row is passed over only because its strata ran out (then all later
+    rows of the combination are passed over too) or because its economy is used up,
+    which happens to at most ``total // per_economy`` economies.  Hence no row
+    beyond ``smallest quota + repeats x used-up economies`` of its combination can
+    be taken.  The limit is applied before the shuffle as well as after it.
     """
-    bound = min(max(q.values()) for q in quotas.values()) + total // per_economy
+    bound = min(max(q.values()) for q in quotas.values()) + repeats * (total // per_economy)
     first = Window.partitionBy("attempt_id", *strata).orderBy("_key")
     return keyed.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= bound).drop("_rn")
 
@@ -74,57 +75,47 @@ def quota_draw(
     attempts: int = 4,
     core: DataFrame | None = None,
     key: list[Column] | None = None,
+    first_attempt: int = 0,
+    repeats: int = 1,
 ) -> DataFrame:
     """All attempts of a multi-quota draw: pool rows taken, with ``attempt_id``.
 
-    ``quotas`` maps a stratum column to its quota per value.  Rounds run on every
-    attempt at once: rank the remaining rows inside each stratum, take the rows
-    whose rank fits the remaining quota in all of them, subtract, drop rows of
-    exhausted strata, repeat.  A taken row has fewer rows before it in each stratum
-    than quota is left, so the sequential walk takes it too; each round takes at
-    least the first remaining row of every attempt.  ``core`` rows are taken first
-    and use up quota.
+    ``quotas`` maps a stratum column to its quota per value.  The pool is cut, per
+    attempt, to the few rows the walk could reach (``prune_pool``); attempts then
+    walk theirs in parallel.  ``core`` rows come first and use up quota.
+    ``repeats`` is how often an economy may occur within one combination of strata.
     """
     strata = list(quotas)
     total = min(sum(q.values()) for q in quotas.values())
     key = key or cell_key()
     columns = pool.columns
-    ids = F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
+    ids = F.explode(F.sequence(F.lit(first_attempt), F.lit(first_attempt + attempts - 1)))
     keyed = pool.withColumn("attempt_id", ids)
     keyed = keyed.withColumn("_key", seeded_key(seed, F.concat(F.lit(namespace + ":"), F.col("attempt_id").cast("string")), *key))
     for s in strata:  # rows of a value without quota can never be taken
         keyed = keyed.filter(F.col(s).isin(list(quotas[s])))
     if core is not None:
         keyed = keyed.join(core.select(*[economy, *[c for c in ("indicator", "year") if c in columns]]), [economy, *[c for c in ("indicator", "year") if c in columns]], "left_anti")
-    remaining = cut_lineage(prune_pool(keyed, strata, quotas, economy, per_economy, total))
-    taken = None
+    rows = prune_pool(keyed, strata, quotas, total, per_economy, repeats)
     if core is not None:
-        taken = cut_lineage(core.select(columns).withColumn("attempt_id", ids).withColumn("_key", F.lit("")))
-    limits = [(s, F.try_element_at(F.create_map(*[F.lit(x) for kv in quotas[s].items() for x in kv]), F.col(s))) for s in strata]
-    limits.append((economy, F.lit(per_economy)))
-    while True:
-        left = remaining
-        if taken is not None:
-            for s, limit in limits:
-                used = taken.groupBy("attempt_id", s).agg(F.count("*").alias(f"_used_{s}"))
-                left = left.join(used, ["attempt_id", s], "left")
-        for s, limit in limits:
-            used = F.coalesce(F.col(f"_used_{s}"), F.lit(0)) if taken is not None else F.lit(0)
-            left = left.withColumn(f"_left_{s}", limit - used)
-        left = left.filter(reduce(lambda a, b: a & b, [F.col(f"_left_{s}") > 0 for s, _ in limits]))
-        for s, _ in limits:
-            left = left.withColumn(f"_rank_{s}", F.row_number().over(Window.partitionBy("attempt_id", s).orderBy("_key")))
-        fits = reduce(lambda a, b: a & b, [F.col(f"_rank_{s}") <= F.col(f"_left_{s}") for s, _ in limits])
-        marked = cut_lineage(left.select(*columns, "attempt_id", "_key", fits.alias("_fits")))
-        accepted = marked.filter("_fits").drop("_fits")
-        if accepted.isEmpty():
-            break
-        taken = cut_lineage(accepted if taken is None else taken.unionByName(accepted))
-        remaining = marked.filter("NOT _fits").drop("_fits")
-    if taken is None:
-        taken = keyed.limit(0)
-    position = F.row_number().over(Window.partitionBy("attempt_id").orderBy("_key"))
-    return taken.withColumn("position", position).drop("_key")
+        rows = rows.unionByName(core.select(columns).withColumn("attempt_id", ids).withColumn("_key", F.lit("")))
+    marks = F.array(*[F.concat(F.lit(f"{s}="), F.col(s).cast("string")) for s in strata])
+    item = F.struct("_key", marks.alias("_marks"), F.col(economy).alias("_economy"), F.struct(*columns).alias("row"))
+    listed = rows.select("attempt_id", item.alias("r"))
+    kind = listed.schema["r"].dataType.simpleString()
+    quota = F.create_map(*[x for s in strata for v, n in quotas[s].items() for x in (F.lit(f"{s}={v}"), F.lit(n))])
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), quota.alias("left"))
+
+    def step(acc, r):
+        room = F.forall(r["_marks"], lambda m: F.element_at(acc["left"], m) > 0)
+        fresh = F.size(F.filter(acc["taken"], lambda t: t["_economy"] == r["_economy"])) < per_economy
+        left = F.transform_values(acc["left"], lambda m, n: F.when(F.array_contains(r["_marks"], m), n - 1).otherwise(n))
+        return F.when(room & fresh, F.struct(F.array_append(acc["taken"], r).alias("taken"), left.alias("left"))).otherwise(acc)
+
+    # one task per attempt, each over the pruned rows of that attempt only
+    walked = listed.repartition(attempts, "attempt_id").groupBy("attempt_id").agg(F.array_sort(F.collect_list("r")).alias("walk"))
+    drawn = walked.select("attempt_id", F.aggregate("walk", start, step)["taken"].alias("taken"))
+    return drawn.select("attempt_id", F.posexplode("taken").alias("pos", "t")).select("t.row.*", "attempt_id", (F.col("pos") + 1).alias("position"))
 
 
 def winning_attempt(drawn: DataFrame, total: int) -> DataFrame:
@@ -135,6 +126,38 @@ def winning_attempt(drawn: DataFrame, total: int) -> DataFrame:
     return drawn.join(F.broadcast(chosen), "attempt_id")
 
 
+def draw_until_full(
+    pool: DataFrame,
+    seed: str,
+    namespace: str,
+    quotas: dict[str, dict],
+    wave: int = 16,
+    max_attempts: int = 1000,
+    core: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """First attempt that fills every quota, drawn in waves of parallel attempts.
+
+    When none of ``max_attempts`` does, the largest draw is kept and ``shortfall``
+    says how many rows it lacks.  Every attempt is a bounded sample, so only sizes
+    and the best draw so far are carried from wave to wave.
+    """
+    total = min(sum(q.values()) for q in quotas.values())
+    kept = cut_lineage(pool)
+    best, missing = None, None
+    for start in range(0, max_attempts, wave):
+        n = min(wave, max_attempts - start)
+        drawn = quota_draw(kept, seed, namespace, quotas, attempts=n, core=core, first_attempt=start, **options)
+        top = cut_lineage(winning_attempt(drawn, total))
+        row = top.select("shortfall").first()
+        lacking = total if row is None else row[0]
+        if missing is None or lacking < missing:
+            best, missing = top, lacking
+        if missing <= 0:
+            break
+    return best
+
+
 def one_per_indicator(pool: DataFrame, seed: str, indicators: list[str], years: list[int]) -> DataFrame:
     """Recency draw: indicators in seeded order, years cycled, an economy used at most once.
 
