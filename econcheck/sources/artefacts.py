@@ -19,7 +19,7 @@ def read_artefact(spark: SparkSession, path: str, run: str) -> DataFrame:
 
 
 def read_answer_files(spark: SparkSession, root: str) -> DataFrame:
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(root)
+    text = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
     return answer_files(text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body")))
 
 

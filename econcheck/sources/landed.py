@@ -20,7 +20,7 @@ IMF_CODES = {"WBG": "PSE", "UVK": "XKX"}
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """One row per file (recursive)."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
