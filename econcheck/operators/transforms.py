@@ -1,7 +1,8 @@
 """Sequence transforms on long series tables, aware of gaps in the calendar.
 
 ``keys`` name one series.  A series has one row per period label, so its length
-is bounded by the calendar; nothing here depends on the number of series.
+is bounded by the calendar and a series key cannot run hot; nothing here depends on
+the number of series.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from econcheck.functions import periods as P
-from econcheck.plans.joins import lookup_join
 
 SERIES_KEYS = ["source", "indicator", "iso3", "edition"]
 
@@ -31,7 +31,7 @@ def trim_null_edges(obs: DataFrame, keys: list[str]) -> DataFrame:
         F.min("period").alias("_first"), F.max("period").alias("_last")
     )
     return (
-        lookup_join(obs, edges, keys, "period", "inner")
+        obs.join(edges, keys)
         .filter(F.col("period").between(F.col("_first"), F.col("_last")))
         .drop("_first", "_last")
     )
@@ -105,7 +105,7 @@ def rebase_index(obs: DataFrame, keys: list[str], base_period: str | None = None
     base = F.col("_base.value")
     usable = F.coalesce(base != 0, F.lit(False))
     return (
-        lookup_join(obs, bases, keys, "period")
+        obs.join(bases, keys, "left")
         .withColumn("value", F.when(usable, F.col("value") / base * 100))
         .withColumn("base_period", F.col("_base.period"))
         .withColumn("usable_base", usable)

@@ -29,7 +29,7 @@ def freeze(questions: DataFrame, obs: DataFrame, retrieved_on: str) -> DataFrame
     found = joined.groupBy("iso3", "indicator", "year").agg(
         *[F.max(F.when((F.col("_off") == k) & F.col("series_id").isNotNull(), o)).alias(n) for k, n in ((0, "here"), (-1, "prev"), (1, "next"))]
     )
-    out = lookup_join(questions, found, ["iso3", "indicator", "year"], "qid")
+    out = questions.join(found, ["iso3", "indicator", "year"], "left")
     return out.select(
         *questions.columns,
         F.col("here.value").alias("value"), F.col("here.series_id").alias("series_id"),
