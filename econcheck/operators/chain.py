@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from econcheck.functions import periods as P
-from econcheck.plans.joins import dim_join, lookup_join
+from econcheck.plans.joins import dim_join, lookup_join, measured_join
 
 DEFAULT_LIMIT = 80
 TRANSFORMS = ("none", "yoy", "pct_change", "index")
@@ -101,12 +101,12 @@ def covered(requests: DataFrame, areas: DataFrame, fixed_to: dict[str, str]) ->
     """Coverage of area-coded series: ``area`` when published, else ``absence`` says why.
 
     ``fixed_to`` maps a single-economy series to the only code it answers for;
-    every other request needs its economy in the ``areas`` allowlist (at most a few
-    hundred stated codes), never a guess from the two-letter code.
+    every other request needs its economy in the ``areas`` allowlist, never a guess
+    from the two-letter code.
     """
     only = F.create_map(*[F.lit(x) for kv in fixed_to.items() for x in kv])
     fixed = F.try_element_at(only, F.col("indicator"))
-    joined = dim_join(requests, areas, ["iso3"])
+    joined = measured_join(requests, areas, ["iso3"], "left")
     absence = F.when(
         fixed.isNotNull(), F.when(fixed != F.col("iso3"), F.lit("only_published_for_" + "|".join(sorted(set(fixed_to.values())))))
     ).when(F.col("area").isNull(), F.lit("area_not_published"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from econcheck.dims import benchmark as B
-from econcheck.plans.joins import dim_join
+from econcheck.plans.joins import measured_join
 from econcheck.plans.ranking import rank_descending
 
 
@@ -90,7 +90,7 @@ def apply_exclusions(cells: DataFrame, stated: DataFrame, derived: DataFrame) ->
     """
     rules = stated.select("iso3", F.col("indicators").alias("_i"), F.col("years").alias("_y"), F.col("reason").alias("_r"))
     rules = rules.groupBy("iso3").agg(F.collect_list(F.struct("_i", "_y", "_r")).alias("_rules"))
-    out = dim_join(cells, rules, ["iso3"]).join(derived, "iso3", "left")
+    out = measured_join(cells, rules, ["iso3"], "left").join(derived, "iso3", "left")
     ind, year = F.col("indicator"), F.col("year")
     hits = F.filter(
         F.coalesce("_rules", F.array().cast("array<struct<_i:array<string>,_y:array<int>,_r:string>>")),

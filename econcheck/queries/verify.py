@@ -198,8 +198,8 @@ def _verified(t: Tables):
     sql(f"""SELECT claim_id, indicator, iso3, period, source, CASE WHEN source IS NULL THEN 'error' ELSE 'ok' END AS status,
             CASE WHEN source IS NULL THEN CASE WHEN down AND NOT dated THEN 'source_unavailable' ELSE 'no_published_data' END END AS error,
             {_VERDICT9} AS verdict, round(official, 4) AS official_value,
-            CASE WHEN {_VERDICT9} <> 'cannot_verify' THEN round(claimed_value - official, 6) END AS difference,
-            CASE WHEN {_VERDICT9} <> 'cannot_verify' AND official <> 0 THEN round((claimed_value - official) / abs(official) * 100, 3) END AS relative_difference_pct,
+            CASE WHEN {_VERDICT9} <> 'cannot_verify' THEN round(claimed_value - official, 6) + 0.0::DOUBLE END AS difference,
+            CASE WHEN {_VERDICT9} <> 'cannot_verify' AND official <> 0 THEN round((claimed_value - official) / abs(official) * 100, 3) + 0.0::DOUBLE END AS relative_difference_pct,
             coalesce(official IS NOT NULL AND note IS NOT NULL, FALSE) AS is_projection,
             CASE WHEN official IS NULL THEN 'unknown' WHEN source IN ('imf_datamapper', 'archive') THEN
                 CASE WHEN note IS NOT NULL THEN 'projection' ELSE 'estimate_or_actual' END
