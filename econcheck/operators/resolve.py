@@ -67,7 +67,8 @@ def containment_pairs(inputs: DataFrame, names: DataFrame) -> DataFrame:
     k = F.least(F.length("name_key"), g)
     lengths = names.select(k.alias("len")).distinct()
     in_input = (
-        inputs.join(F.broadcast(lengths.filter(F.col("len").between(1, GRAM))), how="inner", on=F.length("key") >= F.col("len"))
+        inputs.select("key", F.explode(F.sequence(F.lit(1), F.least(F.length("key"), g))).alias("len"))
+        .join(F.broadcast(lengths), "len")  # at most GRAM rows
         .select("key", F.explode(grams(F.col("key"), F.col("len"))).alias("gram"))
         .join(names.select("iso3", "name_key", F.substr(F.col("name_key"), F.lit(1), k).alias("gram")), "gram")
     )

@@ -8,6 +8,7 @@ from econcheck.operators import compare as K
 from econcheck.operators import money as M
 from econcheck.operators import transforms as X
 from econcheck.operators.frame import missing_cells
+from econcheck.plans.durable import cut_lineage
 from econcheck.queries.cte import sql
 from econcheck.queries.inputs import DATED, Tables, nation_code
 from econcheck.queries.registry import query
@@ -25,7 +26,8 @@ def _three_sources(t: Tables):
     third = t.shipments().select(
         F.lit("dbnomics").alias("source"), F.lit("order_value").alias("indicator"), "iso3", "period", "year", "value", none.alias("note")
     )
-    return t.observations().select("source", "indicator", "iso3", "period", "year", "value", "note").unionByName(third)
+    landed = t.observations().select("source", "indicator", "iso3", "period", "year", "value", "note").unionByName(third)
+    return cut_lineage(landed)  # one row per nation, year and source
 
 
 def _three_chain(t: Tables):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from econcheck.operators import frame as B
 from econcheck.operators import truth as G
+from econcheck.plans.durable import cut_lineage
 from econcheck.queries.cte import judge_sql, sql
 from econcheck.queries.inputs import TODAY, Tables, customer_code
 from econcheck.queries.registry import query
@@ -23,7 +24,7 @@ def economies(t: Tables):
 
 def latest_level(t: Tables):
     """Latest yearly total per customer, withheld for every fiftieth one."""
-    g = t.customer_annual().groupBy("custkey", "iso3").agg(F.max_by("value", "year").alias("gdp"))
+    g = t.frozen_customer_annual.groupBy("custkey", "iso3").agg(F.max_by("value", "year").alias("gdp"))
     return g.select("iso3", F.when(F.col("custkey") % 50 != 0, F.col("gdp")).alias("gdp"))
 
 
@@ -32,7 +33,7 @@ def tier_table(t: Tables):
 
 
 def frame_obs(t: Tables):
-    a, k = t.customer_annual(), F.col("custkey")
+    a, k = t.frozen_customer_annual, F.col("custkey")
     entries = F.array(
         F.struct(F.lit("order_value").alias("indicator"), F.when((k + F.col("year")) % 7 != 0, F.col("value")).alias("value")),
         F.struct(F.lit("order_count").alias("indicator"), F.col("n").cast("double").alias("value")),
@@ -48,14 +49,15 @@ def frame_obs(t: Tables):
 def frame_cells(t: Tables):
     grid = B.complete_grid(tier_table(t).select("custkey", "iso3", "tier"), HEADLINE + PROBES, YEARS)
     k = F.col("custkey")
-    loads = t.customer_annual().select("custkey", "iso3").distinct().select(
+    loads = t.frozen_customer_annual.select("custkey", "iso3").distinct().select(
         "iso3", F.explode(F.array(*[F.lit(i) for i in HEADLINE + PROBES])).alias("indicator"), F.when(k % 23 == 0, F.lit("transient")).otherwise(F.lit("ok")).alias("status")
     )
     return B.enumerate_frame(grid, frame_obs(t), loads, PROBES, CLASSES)
 
 
 def excluded_cells(t: Tables):
-    cells = frame_cells(t)
+    # the frame is frozen before exclusions and draws read it
+    cells = cut_lineage(frame_cells(t))
     stated = t.spark.createDataFrame(
         [("C5", ["order_count"], [1997, 1998], "contested_official_data"), ("C7", None, YEARS, "contested_official_data")],
         "iso3 string, indicators array<string>, years array<int>, reason string",

@@ -183,6 +183,13 @@ class Tables:
         g = self.orders.groupBy("o_custkey", F.year("o_orderdate").alias("year")).agg(money("o_totalprice").alias("value"), F.count("*").alias("n"))
         return g.select(F.col("o_custkey").alias("custkey"), customer_code(F.col("o_custkey")).alias("iso3"), "year", "value", "n")
 
+    @cached_property
+    def frozen_customer_annual(self) -> DataFrame:
+        """``customer_annual`` behind a durable checkpoint, for plans that look it up several times."""
+        from econcheck.plans.durable import cut_lineage
+
+        return cut_lineage(self.customer_annual())
+
     # --- money ---------------------------------------------------------------------
 
     def daily_quotes(self) -> DataFrame:

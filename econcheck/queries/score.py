@@ -407,7 +407,7 @@ def a17(t: Tables):
               UNION ALL SELECT model, 'retrieval', CASE WHEN year % 3 = 0 AND status = 'mismatch' THEN 'close' ELSE status END FROM head WHERE custkey % 4 = 1) GROUP BY 1, 2"""),
 )
 def a18(t: Tables):
-    s = scored(t).select("model", "qid", "segment", "status", "tier", "year")
+    s = cut_lineage(scored(t).select("model", "qid", "segment", "status", "tier", "year"))  # a run's scores are frozen
     better = F.when((F.col("year") % 3 == 0) & (F.col("status") == "mismatch"), F.lit("close")).otherwise(F.col("status"))
     # the retrieval arm answers the sibling run of one tier only
     both = s.withColumn("arm", F.lit("memory")).unionByName(s.filter("tier = 'T2'").withColumn("status", better).withColumn("arm", F.lit("retrieval")))
