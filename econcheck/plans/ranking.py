@@ -17,14 +17,13 @@ def rank_descending(df: DataFrame, value: str, tie: str, out: str = "rank") -> D
     before it, so only range counts (a few hundred rows) meet in one task.
     """
     probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 10_000).alias("_cuts")).withColumn("_one", F.lit(1))
+    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 10_000).alias("_cuts"))
     bucket = F.when(
         F.col(value).isNotNull(), F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c > F.col(value)))
     ).otherwise(F.lit(BUCKETS))
     sub = F.when(F.col(value).isNull(), F.substring(F.col(tie), 1, 4)).otherwise(F.lit(""))
-    # the cut points are one row
-    with_cuts = df.withColumn("_one", F.lit(1)).join(F.broadcast(cuts), "_one")
-    cut = with_cuts.withColumn("_bucket", bucket).withColumn("_sub", sub).drop("_one", "_cuts")
+    with_cuts = df.withColumn("_cuts", cuts.scalar())
+    cut = with_cuts.withColumn("_bucket", bucket).withColumn("_sub", sub).drop("_cuts")
     sizes = cut.groupBy("_bucket", "_sub").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_bucket", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
