@@ -285,6 +285,10 @@ def f9(t: Tables):
     return V.validate_claims(c, t.indicators()).select("claim_id", "claim_error")
 
 
+def _spend_key(custkey) -> F.Column:
+    return F.when(custkey % 2 == 0, F.lit("spend_even")).otherwise(F.lit("spend_odd"))
+
+
 @query(
     "f12_absence_class",
     sql("""SELECT iso3, start_year, CASE WHEN n_all IS NULL THEN 'no_published_data' WHEN n_in = 0 THEN 'outside_window' END AS absence,
@@ -298,11 +302,11 @@ def f12(t: Tables):
 
     start = (F.lit(1995) + F.col("c_custkey") % 12).cast("int")
     requests = t.customer.select(
-        F.col("c_custkey").alias("request_id"), F.lit("spend").alias("indicator"), customer_code(F.col("c_custkey")).alias("iso3"),
+        F.col("c_custkey").alias("request_id"), _spend_key(F.col("c_custkey")).alias("indicator"), customer_code(F.col("c_custkey")).alias("iso3"),
         start.alias("start_year"), (start + 1).alias("end_year"), F.lit("none").alias("transform"), F.lit(80).alias("limit"), F.lit(False).alias("strict"),
     )
-    obs = t.monthly().withColumn("source", F.lit("wdi")).withColumn("indicator", F.lit("spend"))
-    chain = t.spark.createDataFrame([("spend", "wdi", 1)], "indicator string, source string, priority int")
+    obs = t.monthly().withColumn("source", F.lit("wdi")).withColumn("indicator", _spend_key(F.substring("iso3", 2, 20).cast("long")))
+    chain = t.spark.createDataFrame([("spend_even", "wdi", 1), ("spend_odd", "wdi", 1)], "indicator string, source string, priority int")
     _, outcomes = S.get_series(requests, obs, chain)
     return outcomes.join(requests.select("request_id", "start_year"), "request_id").select("iso3", "start_year", "absence", "available_from", "available_to")
 
@@ -326,11 +330,11 @@ def v11(t: Tables):
 
     name = F.element_at(F.array(*[F.lit(x) for x in S.TRANSFORMS]), (F.col("c_custkey") % 4 + 1).cast("int"))
     requests = t.customer.select(
-        F.col("c_custkey").alias("request_id"), F.lit("spend").alias("indicator"), customer_code(F.col("c_custkey")).alias("iso3"),
+        F.col("c_custkey").alias("request_id"), _spend_key(F.col("c_custkey")).alias("indicator"), customer_code(F.col("c_custkey")).alias("iso3"),
         F.lit(1996).alias("start_year"), F.lit(2000).alias("end_year"), name.alias("transform"), F.lit(6).alias("limit"), F.lit(False).alias("strict"),
     )
-    obs = t.monthly().withColumn("source", F.lit("wdi")).withColumn("indicator", F.lit("spend"))
-    chain = t.spark.createDataFrame([("spend", "wdi", 1)], "indicator string, source string, priority int")
+    obs = t.monthly().withColumn("source", F.lit("wdi")).withColumn("indicator", _spend_key(F.substring("iso3", 2, 20).cast("long")))
+    chain = t.spark.createDataFrame([("spend_even", "wdi", 1), ("spend_odd", "wdi", 1)], "indicator string, source string, priority int")
     rows, _ = S.get_series(requests, obs, chain)
     return rows.select("request_id", "period", F.round("value", 4).alias("value"))
 
