@@ -52,8 +52,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of consecutive rows of at most ``limit`` bytes; null reads as empty."""
+def runs(column: pa.Array, limit: int = RUN_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of consecutive rows of at most ``limit`` bytes and ``rows`` rows; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -66,7 +66,7 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int, n
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + rows)
         yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
         lo = hi
 

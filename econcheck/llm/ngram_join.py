@@ -75,9 +75,10 @@ def _ordered(s: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.unique((late[(s >> U64(44)).astype(np.int64)] << U64(60)) | (core.mix(s) >> U64(4)))
 
 
-def _sets(docs: DataFrame, n: int, late, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix): set size, 128-bit key of the set, its first shingles."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("prefix", pa.binary())])
+def _sets(docs: DataFrame, n: int, late, percent: int, prefix: bool) -> DataFrame:
+    """(doc_id, n, k1, k2): set size and 128-bit key of the set; or (doc_id, n, prefix): its first shingles."""
+    last = [("prefix", pa.binary())] if prefix else [("k1", pa.int64()), ("k2", pa.int64())]
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *last])
 
     def rows(batches):
         order = late.value
@@ -87,10 +88,13 @@ def _sets(docs: DataFrame, n: int, late, percent: int) -> DataFrame:
                 for i, s in enumerate(core.shingle_sets(data, off, n)):
                     s = _ordered(s, order)
                     m = len(s)
-                    k1, k2 = (int(x.sum(dtype=U64).astype(np.int64)) for x in (core.mix(s), core.mix(s ^ U64(0xA5A5A5A55A5A5A5A))))
-                    yield [ids[lo + i], m, k1, k2, s[: m - _need(m, percent) + 1].astype("<u8").tobytes() if m else b""]
+                    if prefix:
+                        yield [ids[lo + i], m, s[: m - _need(m, percent) + 1].astype("<u8").tobytes() if m else b""]
+                    else:
+                        yield [ids[lo + i], m, *(int(x.sum(dtype=U64).astype(np.int64)) for x in (core.mix(s), core.mix(s ^ U64(0xA5A5A5A55A5A5A5A))))]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: core.batches(rows(b), schema), "doc_id long, n long, k1 long, k2 long, prefix binary")
+    kind = "doc_id long, n long, " + ("prefix binary" if prefix else "k1 long, k2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: core.batches(rows(b), schema, 1024), kind)
 
 
 def _postings(classes: DataFrame) -> DataFrame:
@@ -153,16 +157,50 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def _across(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a prefix shingle, fit in size and lie in different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(rep, n, comp):
-        for i in range(1, len(rep)):
+    """(a, b, an, bn) once for each prefix shingle that two sets of fitting sizes and different components share."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32())])
+
+    def out(rep, n, x, y):
+        flip = rep[x] > rep[y]
+        x, y = np.where(flip, y, x), np.where(flip, x, y)
+        return pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y]), pa.array(n[x]), pa.array(n[y])], schema=schema)
+
+    def small(first, rep, n, comp):
+        """Groups of like sizes side by side: every row against the row ``d`` before it, for each ``d``."""
+        place = np.arange(len(rep)) - first
+        at = np.flatnonzero(place > 0)
+        d = 0
+        while len(at):
+            d += 1
+            at = at[place[at] >= d]
+            at = at[n[at - d] >= _need(n[at].astype(np.int64), percent)]  # sizes fall further back
+            hit = at[comp[at] != comp[at - d]]
+            for i in range(0, len(hit), 1 << 16):
+                yield out(rep, n, hit[i : i + (1 << 16)], hit[i : i + (1 << 16)] - d)
+
+    def large(rep, n, comp):
+        """One group: only members outside its largest component are compared, with all that fit."""
+        names, counts = np.unique(comp, return_counts=True)
+        main = names[counts.argmax()]
+        for i in np.flatnonzero(comp != main):
             lo = int(np.searchsorted(n, _need(int(n[i]), percent)))
-            other = np.flatnonzero(comp[lo:i] != comp[i]) + lo
-            if len(other):
-                x, y = rep[other], np.full(len(other), rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+            hi = int(np.searchsorted(n, int(n[i]) * 100 // percent, side="right"))
+            near = np.arange(lo, hi)
+            near = near[(comp[lo:hi] != comp[i]) & ((comp[lo:hi] == main) | (near < i))]
+            if len(near):
+                yield out(rep, n, np.full(len(near), i), near)
+
+    def emit(g, rep, n, comp):
+        new = np.concatenate(([True], g[1:] != g[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(g)))
+        big = size > 64
+        few = np.repeat(~big, size)
+        if few.any():
+            first = np.maximum.accumulate(np.where(new[few], np.arange(few.sum()), 0))
+            yield from small(first, rep[few], n[few], comp[few])
+        for lo, m in zip(start[big], size[big], strict=True):
+            yield from large(rep[lo : lo + m], n[lo : lo + m], comp[lo : lo + m])
 
     def rows(batches):
         held: list[np.ndarray] = []
@@ -172,17 +210,26 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
                 continue
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            bounds = [0, *cut.tolist()]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if (cols[3][lo:hi] != cols[3][lo]).any():
-                    yield from pairs(*(c[lo:hi] for c in cols[1:]))
-            held = [c[bounds[-1] :] for c in cols]
-        if held and (held[3] != held[3][0]).any():
-            yield from pairs(*held[1:])
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the group that may go on
+            if last:
+                yield from emit(*(c[:last] for c in cols))
+            held = [c[last:] for c in cols]
+        if held:
+            yield from emit(*held)
 
     kept = shared.repartition("g").sortWithinPartitions("g", "n", "rep")
-    return kept.select("g", "rep", "n", "comp").mapInArrow(rows, "a long, b long").where("a <> b").distinct()
+    return kept.select("g", "rep", "n", "comp").mapInArrow(rows, "a long, b long, an int, bn int").where("a <> b")
+
+
+def _likely(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, an, bn, shared) of the pairs that share enough prefix shingles.
+
+    With sizes x and y the overlap must reach ``o = percent (x + y) / (100 + percent)``. Behind
+    the prefix that ends first lie at most ``ceil(percent / 100 max(x, y)) - 1`` common
+    shingles, so the rest of ``o`` must be shared inside the prefixes.
+    """
+    least = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - ((greatest(an, bn) * {percent} + 99) div 100 - 1)")
+    return pairs.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -270,28 +317,33 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     """
     spark = docs.sparkSession
     late = spark.sparkContext.broadcast(_classes_of_counters(_counters(docs, n)))
-    sets = written(_sets(docs, n, late, percent))
+    sets = written(_sets(docs, n, late, percent, prefix=False))
     known = sets.where("n > 0 and doc_id is not null")
-    classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.min("prefix").alias("prefix")))
-    shared = written(_shared(_postings(classes)))
-    fits = F.col("lead_n") * 100 >= F.col("n") * percent
-    first = written(shared.where("rep <> lead").where(fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct())
+    classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
+    prefixes = _sets(docs, n, late, percent, prefix=True).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = written(_shared(_postings(prefixes.withColumnRenamed("doc_id", "rep"))))
+    star = shared.where("rep <> lead").where(F.col("lead_n") * 100 >= F.col("n") * percent)
+    sized = [F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.when(F.expr("rep < lead"), F.col("n")).otherwise(F.col("lead_n")).alias("an"), F.when(F.expr("rep < lead"), F.col("lead_n")).otherwise(F.col("n")).alias("bn")]
+    # each set first against the one smaller member it shares most with
+    best = _likely(star.select(*sized), percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    first = written(best.select("a", "b"))
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         return written(_linked(pairs, _wanted_sets(docs, ids, n, late), percent).distinct())
 
-    reps = known.select("doc_id", "k1", "k2", "n").join(classes.drop("prefix"), ["k1", "k2", "n"])
+    reps = known.join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
     repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
     same = reps.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = written(links(first).union(same))
     comp = components(found)
-    labelled = written(shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n", "lead", F.coalesce("component", "rep").alias("comp")))
+    labelled = written(shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp")))
     mixed = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    rest = written(_across(labelled.join(mixed, "g", "left_semi"), percent).join(first, ["a", "b"], "left_anti"))
+    rest = _likely(_across(labelled.join(mixed, "g", "left_semi"), percent), percent)
+    rest = written(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = components(found.union(links(rest)))
-    of_class = classes.drop("prefix").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     return sets.join(of_class, ["k1", "k2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
