@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import re
 import struct
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS_HELD = 1 << 19
+WORDS_HELD = 1 << 20
 _RANK_SLOTS = 1 << 16
 _NONE = 1 << 30
 
@@ -109,49 +110,86 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Words(dict):
-    """Word -> its ids as little-endian 32-bit numbers; a word is folded when it is first asked for."""
+    """Word -> its ids as little-endian 32-bit numbers, for the distinct words seen so far."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS_HELD:  # a bound on memory: words are folded anew after that
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        merges = [(ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
+        table = np.array(sorted(merges), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.rank = table[:, 0], table[:, 1].astype(np.int32)
+
+    def encode(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list of words; words not seen before are folded together."""
+        new = set().union(*lists).difference(self)
+        if len(self) + len(new) > WORDS_HELD:  # a bound on memory: words are then folded anew
             self.clear()
-        ranks, parts = self.ranks, word.encode()
-        own = ranks.get(parts)
-        if own is not None:
-            found = own.to_bytes(4, "little")
-        else:
-            found = _folded([parts[i : i + 1] for i in range(len(parts))], ranks)
-        self[word] = found
-        return found
-
-
-def _folded(parts: list[bytes], ranks: dict[bytes, int]) -> bytes:
-    """Merge the adjacent pair of lowest rank, the leftmost first, until none has a rank."""
-    get = ranks.get
-    if len(parts) > 256:
-        return _folded_long(parts, ranks)
-    pair = [get(a + b, _NONE) for a, b in zip(parts, parts[1:], strict=False)]
-    while pair:
-        low = min(pair)
-        if low == _NONE:
-            break
-        i = pair.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pair[i]
-        if i:
-            pair[i - 1] = get(parts[i - 1] + parts[i], _NONE)
-        if i < len(pair):
-            pair[i] = get(parts[i] + parts[i + 1], _NONE)
-    return struct.pack(f"<{len(parts)}I", *(ranks[p] for p in parts))
+            new = set().union(*lists)
+        self._learn(new)
+        return [b"".join(map(self.__getitem__, words)) for words in lists]
+
+    def _learn(self, words: set[str]) -> None:
+        rest: list[tuple[int, str, bytes]] = []
+        for word in words:
+            raw = word.encode()
+            own = self.ranks.get(raw)
+            if own is not None:
+                self[word] = own.to_bytes(4, "little")
+            elif len(raw) > 48:
+                self[word] = _folded_long([raw[i : i + 1] for i in range(len(raw))], self.ranks)
+            else:
+                rest.append((len(raw), word, raw))
+        rest.sort(key=lambda x: x[0])
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            ids, count = self._fold(np.frombuffer(b"".join(x[2] for x in part), dtype=np.uint8), np.array([x[0] for x in part]))
+            end = np.cumsum(count) * 4
+            for (_, word, _), i, j in zip(part, (end - count * 4).tolist(), end.tolist(), strict=True):
+                self[word] = ids[i:j]
+
+    def _ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank[at], _NONE).astype(np.int32)
+
+    def _fold(self, data: np.ndarray, size: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Fold ranked merges over the byte arrays of many words at once, one merge of each word a step.
+
+        A piece stands by its id, which is its rank. A step merges, in every word, the
+        adjacent pair of lowest rank, the leftmost first, until no word has a pair with a rank.
+        """
+        wide = int(size.max())
+        piece = np.full((len(size), wide + 1), -1, dtype=np.int32)
+        piece[:, :wide][np.arange(wide) < size[:, None]] = self.byte[data]
+        rank = np.full((len(size), wide), _NONE, dtype=np.int32)
+        both = np.nonzero(piece[:, 1:] >= 0)
+        rank[both] = self._ranks_of(piece[both], piece[both[0], both[1] + 1])
+        live = np.arange(len(size))
+        column = np.arange(wide + 1)
+        while len(live):
+            r = rank[live]
+            k = r.argmin(1)
+            low = r[np.arange(len(live)), k]
+            ok = low < _NONE
+            live, k, low, r = live[ok], k[ok], low[ok], r[ok]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            p = np.take_along_axis(piece[live], np.minimum(column + (column > k[:, None]), wide), 1)
+            p[row, k] = low
+            r = np.take_along_axis(r, np.minimum(column[:-1] + (column[:-1] >= k[:, None]), wide - 1), 1)
+            r[:, -1] = _NONE
+            left = np.flatnonzero(k > 0)
+            r[left, k[left] - 1] = self._ranks_of(p[left, k[left] - 1], low[left])
+            after = p[row, k + 1]
+            r[row, k] = np.where(after >= 0, self._ranks_of(low, after), _NONE)
+            piece[live], rank[live] = p, r
+        return piece[piece >= 0].astype("<u4").tobytes(), (piece >= 0).sum(1)
 
 
 def _folded_long(parts: list[bytes], ranks: dict[bytes, int]) -> bytes:
-    """The same for very long words, with a heap instead of a scan for each merge."""
-    import heapq
-
+    """The fold of one long word, with a heap of pairs."""
     n = len(parts)
     after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
@@ -170,17 +208,28 @@ def _folded_long(parts: list[bytes], ranks: dict[bytes, int]) -> bytes:
     return struct.pack(f"<{sum(live)}I", *(ranks[p] for p, ok in zip(parts, live, strict=True) if ok))
 
 
-def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[str], bytes]:
-    """Text -> its ids as little-endian unsigned 32-bit numbers."""
-    words, split = Words(ranks), splitter(pattern)
-    return lambda text: b"".join(map(words.__getitem__, split(text)))
+_held: list = []  # of this Python worker: the words it has folded, kept from task to task
+
+
+def encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts -> the ids of each as little-endian unsigned 32-bit numbers."""
+    if not _held or _held[0].ranks is not ranks and _held[0].ranks != ranks:
+        _held[:] = [Words(ranks)]
+    words, split = _held[0], splitter(pattern)
+    return lambda texts: words.encode([split(t) for t in texts])
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Iterator[str]]]:
+def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches of at most 512 rows and about a megabyte of text, with their texts."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            yield part, (x.as_py() or "" for x in part.column(part.schema.get_field_index(column)))
+        values = batch.column(batch.schema.get_field_index(column))
+        lo, size, texts = 0, 0, []
+        for i in range(batch.num_rows):
+            texts.append(values[i].as_py() or "")
+            size += len(texts[-1])
+            if size > 1 << 20 or len(texts) == 512 or i + 1 == batch.num_rows:
+                yield batch.slice(lo, i + 1 - lo), texts
+                lo, size, texts = i + 1, 0, []
 
 
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -191,7 +240,7 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> Data
     def rows(batches):
         encode = encoder(held.value, pattern)
         for part, texts in _texts(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([encode(t) for t in texts], pa.binary())], names=[*part.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(encode(texts), pa.binary())], names=[*part.schema.names, "ids"])
 
     return plain.mapInArrow(rows, T.StructType([*plain.schema.fields, T.StructField("ids", T.BinaryType())]))
 
@@ -213,8 +262,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: boo
         pieces = {rank: piece for piece, rank in held.value.items()}.__getitem__
         for part, texts in _texts(batches, "text"):
             n, a, b = [], [], []
-            for text in texts:
-                ids = encode(text)
+            for ids in encode(texts):
                 numbers = np.frombuffer(ids, dtype="<u4")
                 n.append(len(numbers))
                 a.append(hashlib.sha256(ids).hexdigest())

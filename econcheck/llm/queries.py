@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from econcheck.llm import ann, bpe, langid, ngram_join, quality, toxicity, url_rules, warc
+from econcheck.llm import ann, bpe, decontaminate, langid, ngram_join, packing, quality, toxicity, url_rules, warc
 from econcheck.llm.store import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -25,11 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_bytes(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -79,7 +87,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_byte_level_bpe, op4_ngram_jaccard_join, op5_warc, op6_language_id, op7_quality_rules, op8_url_rules, op9_nearest_neighbours, op10_toxicity]
+    found = [op1_packing, op2_byte_level_bpe, op3_decontamination, op4_ngram_jaccard_join, op5_warc, op6_language_id, op7_quality_rules, op8_url_rules, op9_nearest_neighbours, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
