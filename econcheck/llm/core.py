@@ -1,7 +1,7 @@
 """Vectorised reading of texts inside tasks: words, hashes and shingles of an Arrow batch.
 
 Everything works on the UTF-8 bytes of a bounded run of documents at a time, so memory in
-a task depends on the run (two megabytes, or one longer document), not on the partition.
+a task depends on the run (one megabyte, or one longer document), not on the partition.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)

@@ -18,7 +18,9 @@ RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table; Python workers of this session can then import this package."""
+    """One given table; Python workers of this session can then import this package, and get small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     known = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
