@@ -29,12 +29,18 @@ HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 def sha1_base32(data: Column) -> Column:
     """Upper-case base32 of the SHA-1 of a binary column (32 characters, no padding)."""
-    digest = F.sha1(data)
-    parts = []
-    for i in range(8):
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        parts += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*parts)
+    return base32(F.sha1(data))
+
+
+def base32(hexes: Column) -> Column:
+    """Upper-case base32 of 40 hexadecimal digits."""
+
+    def five(h: Column, i: int) -> Column:
+        bits = F.conv(F.substring(h, 5 * i + 1, 5), 16, 10).cast("int")
+        return F.get(F.transform(F.array(bits), lambda b: F.concat(*[F.substring(F.lit(BASE32), F.shiftright(b, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)])), F.lit(0))
+
+    # bound as a lambda's variable, the digest is worked out once
+    return F.get(F.transform(F.array(hexes), lambda h: F.concat(*[five(h, i) for i in range(8)])), F.lit(0))
 
 
 def _record_id(page: Column, digest: Column) -> Column:
@@ -51,11 +57,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     page_id is written as an empty field and is never the response of a group that has ids.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", sha1_base32(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
+    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     keys = rows.select("page_id", "digest", "size").where(F.col("size") >= min_bytes)
     groups = keys.groupBy("digest", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = keys.join(groups, ["digest", "size"]).where("not (page_id <=> first)").select("page_id", "digest", "first").distinct()
-    both = rows.join(copies, rows.page_id.eqNullSafe(copies.page_id) & (rows.digest == copies.digest), "left").select(rows["*"], "first")
+    both = rows.join(copies, rows.page_id.eqNullSafe(copies.page_id) & (rows.digest == copies.digest), "left").select(rows["*"], "first").withColumn("digest", base32(F.col("digest")))
     again = F.col("first").isNotNull()
     uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
     head = F.concat(
