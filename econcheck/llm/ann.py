@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample and kept in memory with a neighbour graph. Every
 vector is filed under its nearest centroid, and near a boundary under others as well. A
 query walks the graph, keeps the lists whose distance is within a ratio of the nearest, and
-is scored against their members. Long lists are cut into chunks of like size, and so are the
-queries that meet in a list, so no task holds an unbounded list.
+is scored against their members. Lists are bundled so that a task has some 65,536 members and
+16,384 questions to a list; larger bundles are cut by a hash of the ids, so no task holds an
+unbounded list, and a query gets its best from each bundle once.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ SAMPLE = 20_000
 MEMBERS = 256
 MAX_LISTS = 4_096
 DEGREE = 24
-CHUNK = 4_096
-QUERY_CHUNK = 1_024
+BUNDLE = 65_536
+ASKS = 16_384
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -140,7 +141,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
     size = base.agg(F.count("*").alias("n"), F.max("norm2").alias("m"), F.avg(F.sqrt("norm2")).alias("mean")).first()
     asked = usable(queries)
     if not size.n:
-        return base.join(asked, "vec_id").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("norm2").alias("score")).where("false")
+        return base.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("norm2").alias("score")).where("false")
     lift = float(np.sqrt(size.m))
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     x = _matrix(sample.column("v").combine_chunks()).astype(np.float64)
@@ -150,31 +151,56 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float =
     model = spark.sparkContext.broadcast((centres, neighbour_graph(centres)))
     members, probed = _filed(base, model, copies, closure, 1, lift, False), _filed(asked, model, max(least, int(probes * lists)), ratio, least, lift, True)
     # at most MAX_LISTS rows, whatever the input
-    sizes = members.groupBy("list").count().withColumnRenamed("count", "m").join(probed.groupBy("list").count().withColumnRenamed("count", "q"), "list").collect()
-    cuts = spark.createDataFrame([(r.list, -(-r.m // CHUNK), -(-r.q // QUERY_CHUNK)) for r in sizes], "list int, chunks int, shares int")
-    cut = F.broadcast(cuts)
-    chunk = members.join(cut, "list").select("list", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "vec_id", "v")
-    share = probed.join(cut, "list").select("list", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.pmod(F.xxhash64("vec_id"), "shares").cast("int").alias("share"), "vec_id", "v")
+    sizes = members.groupBy("list").agg(F.count("*").alias("m"), F.lit(0).alias("q")).union(probed.groupBy("list").agg(F.lit(0), F.count("*"))).groupBy("list").agg(F.sum("m").alias("m"), F.sum("q").alias("q")).collect()
+    bundles = max(1, -(-sum(r.m for r in sizes) // BUNDLE))
+    held, asks = [0] * bundles, [0] * bundles
+    for r in sizes:
+        held[r.list % bundles] += r.m
+        asks[r.list % bundles] += r.q
+    cut = F.broadcast(spark.createDataFrame([(i, max(1, -(-m // (2 * BUNDLE))), max(1, -(-q // ASKS))) for i, (m, q) in enumerate(zip(held, asks, strict=True))], "bundle int, chunks int, shares int"))
+    bundle = F.pmod("list", F.lit(bundles)).alias("bundle")
+    chunk = members.select("list", bundle, "vec_id", "v").join(cut, "bundle").select("list", "bundle", F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"), F.explode(F.expr("sequence(0, shares - 1)")).alias("share"), "vec_id", "v")
+    share = probed.select("list", bundle, "vec_id", "v").join(cut, "bundle").select("list", "bundle", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), F.pmod(F.xxhash64("vec_id"), "shares").cast("int").alias("share"), "vec_id", "v")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
+    def top(s: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the k best distinct ids, ties to the smaller; an id stands in the lists of a bundle ``copies`` times at most, and each repeated row as often."""
+        at = np.arange(len(s))
+        m = 2 * k * copies
+        while True:
+            if m < len(s):
+                at = np.flatnonzero(s >= np.partition(s, -m)[-m])
+            order = at[np.lexsort((ids[at], -s[at]))]
+            order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+            if len(order) >= k or m >= len(s):
+                return order[:k]
+            m *= 4
+
     def score(m: pa.Table, q: pa.Table) -> pa.Table:
-        ids, asks = m.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
+        best: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        if m.num_rows and q.num_rows:
+            mx, qx = (_matrix(t.column("v").combine_chunks()).astype(np.float64) for t in (m, q))
+            ml, ql, mi, qi = m.column("list").to_numpy(), q.column("list").to_numpy(), m.column("vec_id").to_numpy(), q.column("vec_id").to_numpy()
+            for name in np.unique(ql):
+                own, asking = np.flatnonzero(ml == name), np.flatnonzero(ql == name)
+                for lo in range(0, len(asking) if len(own) else 0, 256):
+                    part = asking[lo : lo + 256]
+                    s = qx[part] @ mx[own].T
+                    ids = mi[own]
+                    s[qi[part][:, None] == ids[None, :]] = -np.inf
+                    for i, row in zip(qi[part].tolist(), s, strict=True):
+                        at = top(row, ids)
+                        at = at[np.isfinite(row[at])]
+                        best.setdefault(i, []).append((ids[at], row[at]))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(ids) and len(asks):
-            a = _matrix(q.column("v").combine_chunks()).astype(np.float64)
-            s = a @ _matrix(m.column("v").combine_chunks()).astype(np.float64).T
-            s[asks[:, None] == ids[None, :]] = -np.inf
-            for i in range(len(asks)):
-                # the k best and all that tie with the last of them; an id may stand here twice
-                floor = np.partition(s[i], -min(2 * k, len(ids)))[-min(2 * k, len(ids))]
-                at = np.flatnonzero((s[i] >= floor) & np.isfinite(s[i]))
-                at = at[np.lexsort((ids[at], -s[i][at]))]
-                at = at[np.sort(np.unique(ids[at], return_index=True)[1])][:k]
-                out.append((np.full(len(at), asks[i]), ids[at], s[i][at]))
+        for i, found in best.items():
+            ids, s = (np.concatenate(c) for c in zip(*found, strict=True))
+            at = top(s, ids) if len(ids) else np.zeros(0, dtype=int)
+            out.append((np.full(len(at), i), ids[at], s[at]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)], schema=schema)
 
-    key = ["list", "chunk", "share"]
+    key = ["bundle", "chunk", "share"]
     found = chunk.groupBy(*key).cogroup(share.groupBy(*key)).applyInArrow(score, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
