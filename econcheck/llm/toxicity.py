@@ -17,7 +17,8 @@ from econcheck.llm import core
 from econcheck.llm.samples import by_class, remainder
 
 BUCKETS = 1 << 18
-PER_CLASS = 3_000
+PER_CLASS = 4_000
+EVIDENCE = 15.0
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 13, 33, 46, 63]] = True  # line ends and ! . ?
 
@@ -38,17 +39,24 @@ def _instances(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def fit_noisy_or(docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray, rounds: int = 400, lasso: float = 2e-4) -> tuple[float, np.ndarray]:
     """(bias, weight of each bucket) that maximise the likelihood of document labels under the noisy-or.
 
-    ``docs``: (bucket, sentence number) arrays. Buckets in fewer than four toxic documents keep
-    weight zero.
+    ``docs``: (bucket, sentence number) arrays. Only buckets that toxic documents hold
+    significantly more often (likelihood ratio of ``EVIDENCE`` or more) can have a weight.
     """
     out = np.zeros(BUCKETS)
     if not len(docs) or not y.any() or y.all():
         return float(np.log((y.mean() if len(y) else 0.5) * 0.02 + 0.001)), out
-    seen = np.zeros(BUCKETS)
+    held = np.zeros((2, BUCKETS))
     for (b, _), v in zip(docs, y, strict=True):
-        if v:
-            seen[np.unique(b)] += 1
-    names = np.flatnonzero(seen >= 4)
+        held[int(v), np.unique(b)] += 1
+    size = np.array([[(y == 0).sum()], [(y == 1).sum()]], dtype=float)
+    both = held.sum(0)
+
+    def likelihood(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        share = np.clip(n / m, 1e-12, 1 - 1e-12)
+        return n * np.log(share) + (m - n) * np.log1p(-share)
+
+    ratio = 2 * (likelihood(held, size).sum(0) - likelihood(both, size.sum()))
+    names = np.flatnonzero((ratio >= EVIDENCE) & (held[1] / size[1] > held[0] / size[0]))
     number = np.full(BUCKETS, -1)
     number[names] = np.arange(len(names))
     word, sent, sent_doc, total = [], [], [], 0
@@ -108,7 +116,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, cap: int = PER_CLASS) -> tu
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words, pa.binary()), pa.array(numbers, pa.binary())], names=["toxic", "b", "s"])
 
     text = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    got = text.mapInArrow(rows, "toxic int, b binary, s binary").toPandas().sort_values(["toxic", "b"])
+    got = text.mapInArrow(rows, "toxic int, b binary, s binary").toPandas().drop_duplicates(["toxic", "b"]).sort_values(["toxic", "b"])  # copies teach nothing new
     y = got["toxic"].to_numpy().clip(0, 1).astype(float)
     have = {c: max(1, int((got["toxic"] == c).sum())) for c in counts}
     weight = got["toxic"].map({c: counts[c] / have[c] for c in counts}).to_numpy(float)
