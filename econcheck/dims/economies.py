@@ -34,10 +34,11 @@ ALIASES = {
 }
 
 # Small island developing states (39).
-SIDS = (
-    "ATG BHS BRB BLZ CPV COM COK CUB DMA DOM FJI GRD GNB GUY HTI JAM KIR MDV MHL FSM "
-    "MUS NRU NIU PLW PNG WSM STP SGP KNA LCA VCT SYC SLB SUR TLS TON TTO TUV VUT"
-).split()
+SIDS = [
+    "ATG", "BHS", "BRB", "BLZ", "CPV", "COM", "COK", "CUB", "DMA", "DOM", "FJI", "GRD", "GNB",
+    "GUY", "HTI", "JAM", "KIR", "MDV", "MHL", "FSM", "MUS", "NRU", "NIU", "PLW", "PNG", "WSM",
+    "STP", "SGP", "KNA", "LCA", "VCT", "SYC", "SLB", "SUR", "TLS", "TON", "TTO", "TUV", "VUT",
+]
 
 # Policy-rate areas (economy code -> area code). The euro area is XM here only.
 POLICY_RATE_AREAS = dict(

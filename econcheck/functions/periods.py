@@ -104,9 +104,7 @@ def next_edition_label(edition: Column) -> Column:
 def edition_label_parts(label: Column) -> Column:
     """``World Economic Outlook (April 2026)`` -> struct(year, month); NULL when unreadable."""
     # Month names in edition labels.
-    months = (
-        "january february march april may june july august september october november december"
-    ).split()
+    months = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
     name = F.lower(F.regexp_extract(label, r"\(([A-Za-z]+)\s+\d{4}\)\s*$", 1))
     year = F.regexp_extract(label, r"\([A-Za-z]+\s+(\d{4})\)\s*$", 1).try_cast("int")
     month = F.array_position(F.array(*[F.lit(m) for m in months]), name).cast("int")

@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and their base letters (decomposable ones only).
-ACCENTED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-BASE = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+def _folds(form: str, lower: bool) -> tuple[str, str]:
+    """Characters that a Unicode normal form turns into one character (marks left out), and that character."""
+    pairs = []
+    for c in map(chr, range(0x80, 0x30000)):
+        shown = "".join(x for x in unicodedata.normalize(form, c) if form != "NFD" or not unicodedata.combining(x))
+        shown = shown.lower() if lower else shown
+        if len(shown) == 1 and shown != c:
+            pairs.append((c, shown))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+@lru_cache
+def _tables() -> tuple[tuple[str, str], tuple[str, str]]:
+    return _folds("NFD", lower=True), _folds("NFKC", lower=False)
+
+
+def plain_forms(text: Column) -> Column:
+    """Compatibility characters of one letter (full-width and styled forms) as their plain form."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_tables()[1])).otherwise(text)
 
 
 def name_key(name: Column) -> Column:
-    """Lower case, marks stripped, punctuation to blanks, blanks collapsed."""
-    s = F.translate(F.lower(name), ACCENTED, BASE)
-    s = F.regexp_replace(s, r"[̀-ͯ]", "")
+    """Lower case, marks stripped (canonical decomposition), punctuation to blanks, blanks collapsed."""
+    s = F.lower(name)
+    s = F.when(s.rlike(r"[^\x00-\x7F]"), F.translate(s, *_tables()[0])).otherwise(s)
+    s = F.regexp_replace(s, r"\p{M}", "")
     s = F.regexp_replace(s, r"[^a-z0-9 ]+", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

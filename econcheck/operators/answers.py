@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from econcheck.plans.barrier import evaluate_once
 
-NOTE_LENGTH = 140
 
 
 def strict_array(text: Column) -> Column:
@@ -94,7 +93,7 @@ def typed_fields(df: DataFrame, item: str) -> DataFrame:
             "year_basis": F.when(whole, F.col("_n_year_basis").cast("int")),
             "confidence": F.when(sure, F.col("_n_confidence")),
             "refused": F.coalesce("_b_refused", F.lit(False)),
-            "basis_note": F.substring("_s_basis_note", 1, NOTE_LENGTH),
+            "basis_note": F.col("_s_basis_note"),
             "parse_flags": F.when(F.col("_obj"), flags).otherwise(F.array(F.lit("item_not_object"))),
         }
     )

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from econcheck.functions import periods as P
-from econcheck.plans.joins import dim_join, lookup_join, measured_join
+from econcheck.plans.joins import dim_join, lookup_join
 
-DEFAULT_LIMIT = 80
 TRANSFORMS = ("none", "yoy", "pct_change", "index")
 
 
@@ -106,7 +105,7 @@ def covered(requests: DataFrame, areas: DataFrame, fixed_to: dict[str, str]) ->
     """
     only = F.create_map(*[F.lit(x) for kv in fixed_to.items() for x in kv])
     fixed = F.try_element_at(only, F.col("indicator"))
-    joined = measured_join(requests, areas, ["iso3"], "left")
+    joined = dim_join(requests, areas, ["iso3"], "left")
     absence = F.when(
         fixed.isNotNull(), F.when(fixed != F.col("iso3"), F.lit("only_published_for_" + "|".join(sorted(set(fixed_to.values())))))
     ).when(F.col("area").isNull(), F.lit("area_not_published"))
@@ -170,7 +169,6 @@ def _shaped(requests: DataFrame, obs: DataFrame, chain: DataFrame, availability:
     asked = (
         requests.withColumn("transform", F.coalesce("transform", F.lit("none")))
         .withColumn("strict", F.coalesce("strict", F.lit(False)))
-        .withColumn("limit", F.coalesce("limit", F.lit(DEFAULT_LIMIT)))
     )
     order = chain.groupBy("indicator").agg(F.min("priority").alias("_first")).join(chain.select("indicator", "source", "priority"), "indicator")
     tried = dim_join(asked, order, ["indicator"]).filter(F.col("source").isNull() | ~F.col("strict") | (F.col("priority") == F.col("_first")))
@@ -251,7 +249,7 @@ def get_series(
     answered = (
         shown.withColumn("_latest", latest)
         .withColumn("_rn", F.row_number().over(one.orderBy(F.col("period").desc())))
-        .filter(F.when(F.col("limit") == 1, F.col("period") == F.col("_latest")).otherwise(F.col("_rn") <= F.col("limit")))
+        .filter(F.when(F.col("limit") == 1, F.col("period") == F.col("_latest")).otherwise(F.col("limit").isNull() | (F.col("_rn") <= F.col("limit"))))
         .select("request_id", "source", "period", F.col("shaped").alias("value"), "note")
     )
     absence = (

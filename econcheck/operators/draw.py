@@ -90,6 +90,8 @@ def quota_draw(
     key = key or cell_key()
     columns = pool.columns
     ids = F.explode(F.sequence(F.lit(first_attempt), F.lit(first_attempt + attempts - 1)))
+    if core is not None:
+        _check_core(core, quotas)
     keyed = pool.withColumn("attempt_id", ids)
     keyed = keyed.withColumn("_key", seeded_key(seed, F.concat(F.lit(namespace + ":"), F.col("attempt_id").cast("string")), *key))
     for s in strata:  # rows of a value without quota can never be taken
@@ -118,6 +120,19 @@ def quota_draw(
     return drawn.select("attempt_id", F.posexplode("taken").alias("pos", "t")).select("t.row.*", "attempt_id", (F.col("pos") + 1).alias("position"))
 
 
+def _check_core(core: DataFrame, quotas: dict[str, dict]) -> None:
+    """Core rows are taken before the draw, so they must fit the quotas; otherwise the draw is an error.
+
+    One job over the core panel; at most one row per stratum value comes back.
+    """
+    marks = F.explode(F.array(*[F.struct(F.lit(s).alias("stratum"), F.col(s).cast("string").alias("value")) for s in quotas]))
+    room = {(s, str(v)): n for s, q in quotas.items() for v, n in q.items()}
+    held = core.select(marks.alias("m")).groupBy("m.stratum", "m.value").agg(F.count("*").alias("n")).collect()
+    over = [f"{r.stratum}={r.value}: {r.n} of {room.get((r.stratum, r.value), 0)}" for r in held if r.n > room.get((r.stratum, r.value), 0)]
+    if over:
+        raise ValueError("core rows exceed their quota: " + "; ".join(sorted(over)))
+
+
 def winning_attempt(drawn: DataFrame, total: int) -> DataFrame:
     """First attempt that reached ``total``, else the largest one; ``shortfall`` says what is missing."""
     sizes = drawn.groupBy("attempt_id").agg(F.count("*").alias("n"))
@@ -134,12 +149,13 @@ def draw_until_full(
     wave: int = 16,
     max_attempts: int = 1000,
     core: DataFrame | None = None,
+    partial: bool = False,
     **options,
 ) -> DataFrame:
     """First attempt that fills every quota, drawn in waves of parallel attempts.
 
-    When none of ``max_attempts`` does, the largest draw is kept and ``shortfall``
-    says how many rows it lacks.  Every attempt is a bounded sample, so only sizes
+    When none of ``max_attempts`` does, that is an error; with ``partial`` the largest draw
+    is kept and ``shortfall`` says how many rows it lacks.  Every attempt is a bounded sample, so only sizes
     and the best draw so far are carried from wave to wave.
     """
     total = min(sum(q.values()) for q in quotas.values())
@@ -154,7 +170,9 @@ def draw_until_full(
         if missing is None or lacking < missing:
             best, missing = top, lacking
         if missing <= 0:
-            break
+            return best
+    if not partial:
+        raise ValueError(f"no attempt of {max_attempts} fills the quotas; the best lacks {missing} of {total} rows")
     return best
 
 

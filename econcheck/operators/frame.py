@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from econcheck.dims import benchmark as B
-from econcheck.plans.joins import measured_join
+from econcheck.plans.joins import dim_join
 from econcheck.plans.ranking import rank_descending
 
 
@@ -85,15 +85,17 @@ def derived_exclusions(cells: DataFrame, world_source: str, imf_sources: list[st
 def apply_exclusions(cells: DataFrame, stated: DataFrame, derived: DataFrame) -> DataFrame:
     """Mark excluded cells.
 
-    ``stated``: iso3, indicators (NULL = all), years, reason - a hand-kept list of
-    a few rows.  ``derived`` has one row per economy.
+    ``stated``: iso3, indicators (NULL = all), years, reason and optionally ordinal - a
+    hand-kept list of a few rows; of several that match, the last by ordinal (without one,
+    by reason) gives the reason.  ``derived`` has one row per economy.
     """
-    rules = stated.select("iso3", F.col("indicators").alias("_i"), F.col("years").alias("_y"), F.col("reason").alias("_r"))
-    rules = rules.groupBy("iso3").agg(F.collect_list(F.struct("_i", "_y", "_r")).alias("_rules"))
-    out = measured_join(cells, rules, ["iso3"], "left").join(derived, "iso3", "left")
+    place = F.col("ordinal") if "ordinal" in stated.columns else F.lit(0)
+    rules = stated.withColumn("_o", place.cast("long")).select("_o", "iso3", F.col("indicators").alias("_i"), F.col("years").alias("_y"), F.col("reason").alias("_r"))
+    rules = rules.groupBy("iso3").agg(F.array_sort(F.collect_list(F.struct("_o", "_r", "_y", "_i"))).alias("_rules"))
+    out = dim_join(cells, rules, ["iso3"], "left").join(derived, "iso3", "left")
     ind, year = F.col("indicator"), F.col("year")
     hits = F.filter(
-        F.coalesce("_rules", F.array().cast("array<struct<_i:array<string>,_y:array<int>,_r:string>>")),
+        F.coalesce("_rules", F.array().cast("array<struct<_o:bigint,_r:string,_y:array<int>,_i:array<string>>>")),
         lambda r: (r["_i"].isNull() | F.array_contains(r["_i"], ind)) & F.array_contains(r["_y"], year),
     )
     stated_reason = F.when(F.size(hits) > 0, F.element_at(hits, -1)["_r"])

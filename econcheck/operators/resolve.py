@@ -14,7 +14,6 @@ from econcheck.dims import registry
 from econcheck.functions.text import deletion_keys, grams, name_key, short_name, within_one_edit
 from econcheck.plans.joins import lookup_join
 
-GRAM = 4
 MIN_CONTAINMENT = 4
 MIN_FUZZY = 5
 
@@ -52,28 +51,26 @@ def _unique_hit(pairs: DataFrame, step: str) -> DataFrame:
     )
 
 
-def containment_pairs(inputs: DataFrame, names: DataFrame) -> DataFrame:
-    """(key, iso3) where one normalised string contains the other.
+def _parts(long: DataFrame, text: str, short: DataFrame, part: str, least: int) -> DataFrame:
+    """``long`` with each substring of ``text`` that has the length of some ``short.part``, as column ``_part``."""
+    sizes = short.select(F.length(part).alias("_size")).where(F.col("_size") >= least).distinct()
+    sized = long.withColumn("_size", F.explode(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))))).join(sizes, "_size")
+    return sized.withColumn("_part", F.explode(grams(F.col(text), F.col("_size")))).drop("_size")
 
-    Two strings in containment share the first gram of the shorter one, so both
-    directions are equi-joins on a gram; names shorter than a gram join on
-    themselves.
+
+def containment_pairs(inputs: DataFrame, names: DataFrame, least: int = 1) -> DataFrame:
+    """(key, iso3, name_key) where one normalised string contains the other.
+
+    Both directions are equi-joins on the whole contained string: the longer text is cut at
+    the lengths that occur on the other side, so every joined row is a match and a word that
+    many names share makes no further pairs. Inputs shorter than ``least`` are left out.
     """
-    g = F.lit(GRAM)
-    head = F.substring("key", 1, GRAM)
-    in_name = inputs.select("key", head.alias("gram")).join(
-        names.select("iso3", "name_key", F.explode(grams(F.col("name_key"), g)).alias("gram")), "gram"
-    )
-    k = F.least(F.length("name_key"), g)
-    lengths = names.select(k.alias("len")).distinct()
-    in_input = (
-        inputs.select("key", F.explode(F.sequence(F.lit(1), F.least(F.length("key"), g))).alias("len"))
-        .join(F.broadcast(lengths), "len")  # at most GRAM rows
-        .select("key", F.explode(grams(F.col("key"), F.col("len"))).alias("gram"))
-        .join(names.select("iso3", "name_key", F.substr(F.col("name_key"), F.lit(1), k).alias("gram")), "gram")
-    )
-    both = in_name.select("key", "iso3", "name_key").unionByName(in_input.select("key", "iso3", "name_key"))
-    return both.filter(F.col("key").contains(F.col("name_key")) | F.col("name_key").contains(F.col("key")))
+    inputs = inputs.where(F.length("key") >= least)
+    cut_names = _parts(names.select("iso3", "name_key"), "name_key", inputs, "key", least).withColumnRenamed("_part", "key")
+    in_name = inputs.select("key").join(cut_names, "key").select("key", "iso3", "name_key")
+    cut_keys = _parts(inputs.select("key"), "key", names, "name_key", 1).withColumnRenamed("_part", "name_key")
+    in_input = cut_keys.join(names.select("iso3", "name_key"), "name_key").select("key", "iso3", "name_key")
+    return in_name.union(in_input).distinct()
 
 
 def one_edit_pairs(inputs: DataFrame, names: DataFrame) -> DataFrame:
@@ -92,14 +89,17 @@ def resolve_distinct(names: DataFrame, economies: DataFrame, strict: bool = Fals
         name_key(F.col("name")).alias("key"),
         upper.alias("upper"),
     )
-    codes = economies.select(F.explode(F.array("iso3", "iso2")).alias("code"), F.col("iso3").alias("by_code")).dropDuplicates(["code"])
+    listed = F.col("ordinal") if "ordinal" in economies.columns else F.col("iso3")
+    spelled = economies.select(F.explode(F.array("iso3", "iso2")).alias("code"), "iso3", listed.alias("_listed")).where("code IS NOT NULL")
+    # of economies that share a code, the first in the listing
+    codes = spelled.groupBy("code").agg(F.min_by("iso3", F.struct("_listed", "iso3")).alias("by_code"))
     index = name_index(economies).withColumnRenamed("iso3", "by_name").withColumnRenamed("name_key", "key")
     step1 = inputs.join(codes, "code", "left").join(index, "key", "left")
     open_keys = (
         step1.filter(F.col("by_code").isNull() & F.col("by_name").isNull() & (F.length("key") >= MIN_CONTAINMENT)).select("key").distinct()
     )
     primary = economies.select("iso3", name_key(F.col("name")).alias("name_key")).filter(F.col("name_key") != "")
-    contained = _unique_hit(containment_pairs(open_keys, primary), "contains").select("key", F.col("iso3").alias("by_part"))
+    contained = _unique_hit(containment_pairs(open_keys, primary, MIN_CONTAINMENT), "contains").select("key", F.col("iso3").alias("by_part"))
     fuzzy_keys = open_keys.filter(F.length("key") >= MIN_FUZZY)
     fuzzy = _unique_hit(one_edit_pairs(fuzzy_keys, primary), "one_edit").select("key", F.col("iso3").alias("by_edit"))
     out = step1.join(contained, "key", "left").join(fuzzy, "key", "left")
@@ -123,51 +123,28 @@ def resolve_names(df: DataFrame, column: str, economies: DataFrame, spread_by: s
     return lookup_join(df, resolved, [column], spread_by)
 
 
-def suggest(names: DataFrame, economies: DataFrame, limit: int = 5) -> DataFrame:
-    """Up to ``limit`` economies per unresolved text: prefix 3, containment 2, shared word 1."""
+def suggest(names: DataFrame, economies: DataFrame, limit: int | None = 5) -> DataFrame:
+    """The ``limit`` best economies per unresolved text (None: all): prefix 3, containment 2, shared word 1."""
     n, cn = F.col("key"), F.col("name_key")
     inputs = names.select("name", name_key(F.col("name")).alias("key")).filter(F.col("key") != "")
     primary = economies.select("iso3", F.col("name").alias("economy"), name_key(F.col("name")).alias("name_key"))
     keys = inputs.select("key").distinct()
-    whole = _short_and_long_containment(keys, primary.select("iso3", "name_key"))
+    whole = containment_pairs(keys, primary.select("iso3", "name_key").where("name_key <> ''"))
     word = keys.select("key", F.explode(F.array_distinct(F.split("key", " "))).alias("word")).filter(F.length("word") > 2)
-    by_word = (
-        word.withColumn("gram", F.substring("word", 1, 3))
-        .join(primary.select("iso3", "name_key", F.explode(grams(F.col("name_key"), F.lit(3))).alias("gram")), "gram")
-        .filter(cn.contains(F.col("word")))
-        .select("key", "iso3", "name_key")
-    )
+    words = word.select("word").distinct()
+    holders = words.join(_parts(primary.select("iso3", "name_key"), "name_key", words, "word", 3).withColumnRenamed("_part", "word"), "word")
+    if limit is not None:
+        # a word scores the same for all its holders, so beyond whole matches only the first ``limit`` can place
+        holders = holders.withColumn("_rn", F.row_number().over(Window.partitionBy("word").orderBy("iso3", "name_key"))).where(F.col("_rn") <= limit).drop("_rn")
+    by_word = word.join(holders, "word").select("key", "iso3", "name_key")
     prefixed = cn.startswith(n) | n.startswith(cn)
     contains = cn.contains(n) | n.contains(cn)
     score = F.when(prefixed, F.lit(3)).when(contains, F.lit(2)).otherwise(F.lit(1))
-    scored = whole.unionByName(by_word).select("key", "iso3", score.alias("score")).distinct()
+    scored = whole.unionByName(by_word).groupBy("key", "iso3").agg(F.max(score).alias("score"))
     best = Window.partitionBy("name").orderBy(F.col("score").desc(), F.col("iso3"))
-    return (
-        inputs.join(scored, "key")
-        .withColumn("position", F.row_number().over(best))
-        .filter(F.col("position") <= limit)
-        .join(primary.select("iso3", "economy"), "iso3")
-        .select("name", "position", "iso3", "economy", "score")
-    )
-
-
-def _short_and_long_containment(keys: DataFrame, names: DataFrame) -> DataFrame:
-    """Containment pairs for keys of any length (short keys join on grams of their own length)."""
-    long = containment_pairs(keys.filter(F.length("key") >= GRAM), names)
-    short_keys = keys.filter(F.length("key") < GRAM)
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(GRAM - 1)))
-    short_names = names.withColumn("size", sizes).select(
-        "iso3", "name_key", F.explode(grams(F.col("name_key"), F.col("size"))).alias("key")
-    )
-    inside_name = short_keys.join(short_names, "key").select("key", "iso3", "name_key")
-    short_primary = names.filter(F.length("name_key") < GRAM)
-    inside_key = (
-        short_keys.withColumn("size", sizes)
-        .select("key", F.explode(grams(F.col("key"), F.col("size"))).alias("name_key"))
-        .join(short_primary, "name_key")
-        .select("key", "iso3", "name_key")
-    )
-    return long.unionByName(inside_name).unionByName(inside_key)
+    ranked = inputs.join(scored, "key").withColumn("position", F.row_number().over(best))
+    kept = ranked if limit is None else ranked.filter(F.col("position") <= limit)
+    return kept.join(primary.select("iso3", "economy"), "iso3").select("name", "position", "iso3", "economy", "score")
 
 
 def indicator_scores(q: Column, words: Column) -> Column:
@@ -200,13 +177,14 @@ def indicator_scores(q: Column, words: Column) -> Column:
     return F.when(q != "", F.filter(scored, lambda e: e["neg"] < 0))
 
 
-def search_indicators(queries: DataFrame, text: str, key: str, limit: int = 8) -> DataFrame:
-    """Best registry keys per search text, registry order on ties; equal texts are ranked once."""
+def search_indicators(queries: DataFrame, text: str, key: str, limit: int | None = 8) -> DataFrame:
+    """The ``limit`` best registry keys per search text (None: all), registry order on ties; equal texts are ranked once."""
     q = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.col(text)), r"[^a-z0-9% ]+", " "), r"\s+", " "))
     asked = queries.select(key, q.alias("_q"))
     words = F.filter(F.split("_q", " "), lambda w: F.length(w) > 1)
     distinct = asked.select("_q").distinct().withColumn("_words", words)
-    top = F.slice(F.array_sort(indicator_scores(F.col("_q"), F.col("_words"))), 1, limit)
+    top = F.array_sort(indicator_scores(F.col("_q"), F.col("_words")))
+    top = top if limit is None else F.slice(top, 1, limit)
     ranked = distinct.select("_q", top.alias("_top"))
     return (
         lookup_join(asked, ranked, ["_q"], key, "inner")
@@ -217,9 +195,13 @@ def search_indicators(queries: DataFrame, text: str, key: str, limit: int = 8) -
     )
 
 
-def extract_country(queries: DataFrame, text: str, key: str, economies: DataFrame, max_words: int = 12, default: str = "WLD") -> DataFrame:
-    """Economy named in a search text: longest word run first, then leftmost, strict resolution."""
-    words = F.slice(F.filter(F.split(F.col(text), r"\s+"), lambda w: w != ""), 1, max_words)
+def extract_country(queries: DataFrame, text: str, key: str, economies: DataFrame, max_words: int | None = None, default: str = "WLD") -> DataFrame:
+    """Economy named in a search text: longest word run first, then leftmost, strict resolution.
+
+    The whole text is searched; ``max_words`` restricts it to a beginning.
+    """
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    words = words if max_words is None else F.slice(words, 1, max_words)
     n_words = F.size("words")
     runs = F.flatten(
         F.transform(

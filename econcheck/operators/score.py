@@ -283,33 +283,27 @@ def arm_comparison(scored: DataFrame) -> DataFrame:
 def pairwise(scored: DataFrame, roster: list[str]) -> DataFrame:
     """Discordant counts for every model pair over the questions both could be scored on.
 
-    Each question is folded to the two bit sets "scored" and "within" (one bit per
-    roster model, so one row per question), and the pairs are counted from those:
-    no self-join of the answers.
+    Each question is folded to the lists of roster models "scored" and "within", equal
+    patterns are counted, and the pairs come from those: no self-join of the answers, and no
+    bound on the roster. A scored model that the roster lacks is an error.
     """
-    position = F.array_position(F.array(*[F.lit(m) for m in roster]), F.col("model")).cast("int") - 1
-    bit = F.expr("shiftleft(1L, _pos)")
+    names = F.array(*[F.lit(m) for m in roster])
+    place = F.array_position(names, F.col("model")).cast("int")
+    place = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("model not in roster: "), F.coalesce("model", F.lit("NULL")))).cast("int"))
     ok = F.col("status").isin(*WITHIN)
-    rows = _scoreable(scored).withColumn("_pos", position).filter("_pos >= 0")
-    folded = rows.groupBy("qid").agg(F.bit_or(bit).alias("seen"), F.bit_or(F.when(ok, bit).otherwise(F.lit(0).cast("long"))).alias("within"))
+    rows = _scoreable(scored).withColumn("_pos", place)
+    folded = rows.groupBy("qid").agg(F.array_sort(F.collect_set("_pos")).alias("seen"), F.array_sort(F.collect_set(F.when(ok, F.col("_pos")))).alias("within"))
     patterns = folded.groupBy("seen", "within").agg(F.count("*").alias("n"))
-    pairs = [(i, j) for i in range(len(roster)) for j in range(i + 1, len(roster))]
-    spread = patterns.withColumn(
-        "p", F.explode(F.array(*[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i, j in pairs]))
-    )
-
-    def has(column, side):
-        return F.expr(f"(shiftright({column}, p.{side}) & 1) = 1")
-
-    both = has("seen", "a") & has("seen", "b")
-    counted = spread.filter(both).groupBy("p.a", "p.b").agg(
+    first = patterns.select("seen", "within", "n", F.explode("seen").alias("a"))
+    spread = first.select("within", "n", "a", F.explode(F.filter("seen", lambda m: m > F.col("a"))).alias("b"))
+    a, b = F.array_contains("within", F.col("a")), F.array_contains("within", F.col("b"))
+    counted = spread.groupBy("a", "b").agg(
         F.sum("n").alias("common_scoreable"),
-        F.sum(F.when(has("within", "a") & ~has("within", "b"), F.col("n")).otherwise(0)).alias("a_only_within"),
-        F.sum(F.when(~has("within", "a") & has("within", "b"), F.col("n")).otherwise(0)).alias("b_only_within"),
+        F.sum(F.when(a & ~b, F.col("n")).otherwise(0)).alias("a_only_within"),
+        F.sum(F.when(~a & b, F.col("n")).otherwise(0)).alias("b_only_within"),
     )
-    names = F.array(*[F.lit(m) for m in roster])
     return counted.select(
-        F.get(names, F.col("a")).alias("model_a"), F.get(names, F.col("b")).alias("model_b"), "common_scoreable", "a_only_within", "b_only_within"
+        F.element_at(names, F.col("a")).alias("model_a"), F.element_at(names, F.col("b")).alias("model_b"), "common_scoreable", "a_only_within", "b_only_within"
     )
 
 

@@ -1,6 +1,7 @@
 """Join shapes shared by the operators.
 
-* ``dim_join``   - side whose size is bounded by a stated constant table: broadcast.
+* ``dim_join``   - a dimension the caller supplies: a plain join, so Spark broadcasts it by
+  its measured bytes or not at all.
 * ``lookup_join`` - a fact table against a table with one row per key.  Neither
   side is assumed small and one key may hold a large share of the facts, so the
   key is salted: facts spread over ``salts`` tasks, the lookup row is repeated
@@ -12,22 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_SALTS = 8
-MAX_BROADCAST_ROWS = 100_000
 
 
 def dim_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Join a table built from a stated constant list (a few hundred rows at most)."""
-    return df.join(F.broadcast(dim), on, how)
-
-
-def measured_join(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Broadcast ``dim`` only after counting it; beyond the bound join by shuffle.
-
-    Counting stops at the bound, so the check itself stays cheap on a large table.
-    """
-    if dim.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
-        return df.join(F.broadcast(dim), on, how)
+    """Join a dimension without a hint: nothing bounds what a caller supplies."""
     return df.join(dim, on, how)
 
 
@@ -37,9 +26,13 @@ def lookup_join(
     on: list[str],
     spread_by: Column | str,
     how: str = "left",
-    salts: int = DEFAULT_SALTS,
+    salts: int | None = None,
 ) -> DataFrame:
-    """Salted equi-join of facts to a one-row-per-key lookup; result is independent of ``salts``."""
+    """Salted equi-join of facts to a one-row-per-key lookup; result is independent of ``salts``.
+
+    By default a key is spread over as many tasks as the session shuffles to.
+    """
+    salts = salts or max(1, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = F.col(spread_by) if isinstance(spread_by, str) else spread_by
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -47,7 +40,7 @@ def lookup_join(
 
 
 def null_safe_lookup_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], spread_by: Column | str, how: str = "left", salts: int = DEFAULT_SALTS
+    facts: DataFrame, lookup: DataFrame, on: list[str], spread_by: Column | str, how: str = "left", salts: int | None = None
 ) -> DataFrame:
     """As ``lookup_join`` where key columns may be NULL on both sides (compared as text)."""
     marked = [f"_k_{c}" for c in on]

@@ -35,14 +35,14 @@ def pool(t: Tables):
 
 def headline(t: Tables):
     """The drawn headline questions (first attempt that fills the quotas, else the largest)."""
-    return D.draw_until_full(pool(t).select("iso3", "tier", "indicator", "year", "value"), SEED, "headline-draw:0", QUOTAS)
+    return D.draw_until_full(pool(t).select("iso3", "tier", "indicator", "year", "value"), SEED, "headline-draw:0", QUOTAS, partial=True)
 
 
 def bank(t: Tables):
     """A whole bank: headline draw, recency questions and null probes, with blind ids."""
     cells = cut_lineage(excluded_cells(t).select("iso3", "tier", "indicator", "year", "value", "eligible", "excluded", "null_probe_indicator", "reason"))
     base = D.headline_pool(cells, RESTRICTION).select("iso3", "tier", "indicator", "year", "value")
-    head = D.draw_until_full(base, SEED, "headline-draw:0", QUOTAS).select("iso3", "tier", "indicator", "year", "value")
+    head = D.draw_until_full(base, SEED, "headline-draw:0", QUOTAS, partial=True).select("iso3", "tier", "indicator", "year", "value")
     recency = D.one_per_indicator(base, SEED, HEADLINE, [2001]).drop("turn")
     probes = D.null_probes(cells, t.customer_annual().limit(0).select("iso3", F.lit("x").alias("indicator"), "year", "value"), SEED, 10)
     return D.blind_ids(D.assemble_bank(head, recency, probes), "R1", SEED)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from econcheck.functions.text import latency_bucket
 from econcheck.operators import usage as U
-from econcheck.streaming.usage import windowed_roll_up
+from econcheck.plans.durable import ensure_checkpoint_dir
+from econcheck.streaming.usage import read_event_stream, read_usage, start_usage_sink, windowed_roll_up
 from econcheck.queries.cte import sql
 from econcheck.queries.inputs import INDICATORS, Tables
 from econcheck.queries.registry import query
@@ -14,10 +17,10 @@ from econcheck.queries.registry import query
 CODES = [f"N{i:02d}" for i in range(25)]
 
 
-def raw_events(t: Tables):
+def raw_events(t: Tables, events=None):
     """Raw usage records from events, hostile fields included."""
     k = F.col("event_id")
-    return t.events.select(
+    return (t.events if events is None else events).select(
         "ts",
         F.when(k % 3 == 0, F.lit("rest")).otherwise(F.lit("stdio")).alias("transport"),
         F.when(k % 7 == 0, F.lit("DROP TABLE x;")).otherwise(F.col("event_type")).alias("op"),
@@ -81,3 +84,19 @@ def a16_levels(t: Tables):
 def st1(t: Tables):
     out = windowed_roll_up(clean_events(t), ["op", "outcome", "bucket"])
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
+
+
+_WINDOWS = f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS window_start, op, outcome, bucket, {_MEASURES} FROM clean GROUP BY ALL"
+
+
+@query("st1_usage_stream", sql(_WINDOWS, clean=_CLEAN))
+def st1_stream(t: Tables):
+    """The same windows from a stream over the events, whose partial sums land in the shared folder."""
+    spark = t.events.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/usage-{uuid.uuid4().hex}"
+    by = ["op", "outcome", "bucket"]
+    stream = raw_events(t, read_event_stream(spark, f"{t.dir}/events.parquet*", t.events.schema))
+    running = start_usage_sink(stream, CODES, by, f"{folder}/sums", f"{folder}/progress", INDICATORS)
+    running.awaitTermination()
+    out = read_usage(spark, f"{folder}/sums", by)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))

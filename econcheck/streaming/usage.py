@@ -1,4 +1,4 @@
-"""Streaming twin of the usage roll-up."""
+"""The usage roll-up on a stream of event files."""
 
 from __future__ import annotations
 
@@ -8,34 +8,47 @@ from pyspark.sql import functions as F
 from econcheck.operators.usage import anonymise, usage_measures, with_means
 
 DEFAULT_WINDOW = "1 hour"
-DEFAULT_LATENESS = "2 hours"
+
+
+def partial_roll_up(clean: DataFrame, by: list[str], window: str = DEFAULT_WINDOW) -> DataFrame:
+    """Additive measures per tumbling window and group."""
+    return clean.groupBy(F.window("ts", window)["start"].alias("window_start"), *by).agg(*usage_measures())
 
 
 def windowed_roll_up(clean: DataFrame, by: list[str], window: str = DEFAULT_WINDOW) -> DataFrame:
-    """Tumbling-window roll-up; the same expression runs on a batch and on a stream."""
-    grouped = clean.groupBy(F.window("ts", window).alias("w"), *by).agg(*usage_measures())
-    return with_means(grouped).withColumn("window_start", F.col("w.start")).drop("w")
+    return with_means(partial_roll_up(clean, by, window))
+
+
+def read_event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def usage_stream(
+def start_usage_sink(
     raw: DataFrame,
     known_codes,
     by: list[str],
+    path: str,
+    checkpoint: str,
     known_indicators: list[str] | None = None,
     window: str = DEFAULT_WINDOW,
-    lateness: str = DEFAULT_LATENESS,
-) -> DataFrame:
-    """Anonymise and roll up a stream of raw events; the watermark bounds the state."""
-    clean = anonymise(raw, known_codes, known_indicators).withWatermark("ts", lateness)
-    return windowed_roll_up(clean, by, window)
+    trigger: str | None = None,
+):
+    """Write each micro-batch's partial sums to its own folder under ``path``.
 
+    The measures add up, so no row is ever too late and the stream keeps no state; a batch
+    that is run again after a failure overwrites its own folder only.
+    """
 
-def read_event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-
+    def add(batch: DataFrame, batch_id: int) -> None:
+        sums = partial_roll_up(anonymise(batch, known_codes, known_indicators), by, window)
+        sums.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def start_usage_sink(rolled: DataFrame, path: str, checkpoint: str, trigger: str | None = None):
-    """Append closed windows to a Parquet folder; restart-safe through the query checkpoint."""
-    writer = rolled.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    writer = raw.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
     return writer.start()
+
+
+def read_usage(spark: SparkSession, path: str, by: list[str]) -> DataFrame:
+    """The roll-up over everything the sink has written so far."""
+    sums = spark.read.parquet(path).groupBy("window_start", *by)
+    return with_means(sums.agg(*[F.sum(c).alias(c) for c in ("events", "total_ms", "ok_events")]))

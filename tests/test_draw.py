@@ -68,7 +68,7 @@ def test_draw_until_full_or_best(spark):
     full = D.draw_until_full(frame(spark, cells), "s", "d", QUOTAS, wave=4, max_attempts=40)
     assert full.count() == 14 and full.first().shortfall == 0
     tiny = [c for c in cells if c["indicator"] == "a"][:3]
-    best = D.draw_until_full(frame(spark, tiny), "s", "d", QUOTAS, wave=2, max_attempts=2)
+    best = D.draw_until_full(frame(spark, tiny), "s", "d", QUOTAS, wave=2, max_attempts=2, partial=True)
     assert best.first().shortfall == 14 - best.count()
 
 
@@ -149,3 +149,13 @@ def test_reanchor(spark):
     kept, bad = D.reanchor(drawn, seen)
     assert {(r.iso3, r.value, r.frame_value_reanchored) for r in kept.collect()} == {("A", 1.0, False), ("B", 2.0, True)}
     assert {r.iso3 for r in bad.collect()} == {"C", "D"} and {r.iso3 for r in D.redraw_pool(drawn, bad).collect()} == {"A", "B"}
+
+
+def test_draw_refuses_silent_shortfalls(spark):
+    cells = [("A", "t1", "x", 2000), ("B", "t1", "x", 2001)]
+    df = spark.createDataFrame(cells, "iso3 string, tier string, indicator string, year int")
+    quotas = {"tier": {"t1": 1}, "indicator": {"x": 5}}
+    with pytest.raises(ValueError, match="core rows exceed"):
+        D.quota_draw(df, "s", "d", quotas, attempts=1, core=df)
+    with pytest.raises(ValueError, match="lacks"):
+        D.draw_until_full(df, "s", "d", {"tier": {"t1": 9}, "indicator": {"x": 9}}, wave=2, max_attempts=2)

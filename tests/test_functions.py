@@ -211,3 +211,13 @@ def test_citation_formats_share_fields(rows):
 def test_template(rows):
     out = T.fill_template(F.col("t"), {"COUNTRY": F.lit("Fiji"), "YEAR": F.lit(2020), "UNIT_HINT": F.lit(None).cast("string")})
     assert rows([("{COUNTRY} {YEAR}{UNIT_HINT}, {COUNTRY}",)], "t string", out) == ["Fiji 2020, Fiji"]
+
+
+def test_full_normal_forms(rows):
+    from econcheck.functions.text import name_key
+    from econcheck.functions.units import declared_unit
+
+    got = rows([("Việt Nam",), ("CÔTE d’Ivoire",), ("Ǻland",), ("São Tomé",)], "s string", name_key(F.col("s")))
+    assert got == ["viet nam", "cote d ivoire", "aland", "sao tome"]
+    got = rows([("ＵＳＤ ｍｉｌｌｉｏｎｓ",), ("US$ bn",), ("US dollars/year",)], "s string", declared_unit(F.col("s"), F.lit("level")))
+    assert [(r.ok, r.factor) for r in got] == [(True, 1e6), (True, 1e9), (True, 1.0)]

@@ -50,8 +50,26 @@ def test_containment_join_equals_brute_force(spark):
     keys = sorted({word(rng.randint(1, 14)) for _ in range(120)})
     nd = spark.createDataFrame([(f"E{i}", n) for i, n in enumerate(names)], "iso3 string, name_key string")
     kd = spark.createDataFrame([(k,) for k in keys], "key string")
-    got = {(r.key, r.iso3) for r in R._short_and_long_containment(kd, nd).collect()}
-    assert got == {(k, f"E{i}") for k in keys for i, n in enumerate(names) if k in n or n in k}
+    for least in (1, 4):
+        got = {(r.key, r.iso3) for r in R.containment_pairs(kd, nd, least).collect()}
+        assert got == {(k, f"E{i}") for k in keys if len(k) >= least for i, n in enumerate(names) if k in n or n in k}
+
+
+def test_candidates_grow_with_the_names_that_share_a_word(spark):
+    counts = []
+    for n in (200, 400):
+        names = spark.range(n).select(F.concat(F.lit("E"), "id").alias("iso3"), F.concat(F.lit("trader "), F.sha2(F.col("id").cast("string"), 256).substr(1, 8)).alias("name_key"))
+        keys = names.select(F.concat("name_key", F.lit(" ltd")).alias("key"))
+        counts.append(R.containment_pairs(keys, names).count())
+    assert counts == [200, 400]
+
+
+def test_whole_texts_and_shared_codes(spark):
+    df = spark.createDataFrame([("AA1", "ZZ", "First Land", ["x"], 1), ("AA2", "ZZ", "Second Land", ["y"], 2)], "iso3 string, iso2 string, name string, aliases array<string>, ordinal int")
+    assert {r.iso3 for r in R.resolve_distinct(spark.createDataFrame([("ZZ",)], "name string"), df).collect()} == {"AA1"}
+    texts = spark.createDataFrame([(1, "word " * 30 + "Second Land")], "id int, q string")
+    assert [r.iso3 for r in R.extract_country(texts, "q", "id", df).collect()] == ["AA2"]
+    assert [r.iso3 for r in R.extract_country(texts, "q", "id", df, max_words=12).collect()] == ["WLD"]
 
 
 def test_suggestions(spark, economies):

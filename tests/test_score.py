@@ -27,7 +27,7 @@ def test_alignment_and_types(spark):
     answers, extra = N.align(expected, files)
     got = {(r.model, r.qid): r for r in answers.collect()}
     a = got[("m", "q1")]
-    assert (a.value, a.unit, a.year_basis, a.confidence, a.refused, len(a.basis_note), a.parse_flags) == (3.5, "%", 2020, 0.9, False, 140, [])
+    assert (a.value, a.unit, a.year_basis, a.confidence, a.refused, len(a.basis_note), a.parse_flags) == (3.5, "%", 2020, 0.9, False, 200, [])
     b = got[("m", "q2")]
     assert b.value is None and b.parse_flags == ["value_not_number", "unit_not_string", "year_basis_not_integer", "confidence_invalid", "refused_not_boolean"]
     assert got[("m", "q3")].refused and got[("m", "q3")].parse_flags == []
