@@ -126,7 +126,7 @@ def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
     """
     wanted = expected.groupBy("model", "batch_id").agg(F.collect_list("qid").alias("qids"))
     called = files.select("model").distinct()  # at most the roster
-    both = wanted.join(F.broadcast(called), "model", "left_semi").join(files, ["model", "batch_id"], "left")
+    both = wanted.join(called, "model", "left_semi").join(files, ["model", "batch_id"], "left")
     opened = parse_batches(both).withColumn("elements", _elements(F.col("parsed")))
     return opened.withColumn("ids", F.transform("elements", _item_id)).drop("original", "repair", "parsed")
 

@@ -20,7 +20,7 @@ def servable_chain(indicator_sources: DataFrame, ledger: DataFrame | None = None
     if ledger is None:
         return indicator_sources
     refused = ledger.filter(F.col("license_verdict") == "refused").select("source")
-    return indicator_sources.join(F.broadcast(refused), "source", "left_anti")
+    return indicator_sources.join(refused, "source", "left_anti")
 
 
 def registry_listing(indicators: DataFrame, indicator_sources: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def rate_on_day(requests: DataFrame, rates: DataFrame, until: str, spread_by: st
 
 def annual_rate_table(official: DataFrame, currency_economy: DataFrame) -> DataFrame:
     """(currency, year, usd_per_unit): reciprocal of local currency per USD, and the latest year's row."""
-    priced = official.filter(F.col("value").isNotNull() & (F.col("value") != 0)).join(F.broadcast(currency_economy), "iso3")
+    priced = official.filter(F.col("value").isNotNull() & (F.col("value") != 0)).join(currency_economy, "iso3")
     rows = priced.select("currency", "year", (F.lit(1.0) / F.col("value")).alias("usd_per_unit"))
     latest = rows.groupBy("currency").agg(F.max(F.struct("year", "usd_per_unit")).alias("l"))
     span = rows.groupBy("currency").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
@@ -119,7 +119,7 @@ def fx_convert(
     usd_latest = usd.select(F.col("latest_rate").alias("usd_l")).agg(F.max("usd_l").alias("usd_l")).scalar()
     legs = legs.withColumn("usd_eur", F.when(F.col("day").isNotNull(), F.col("usd_d")).otherwise(usd_latest))
 
-    means = annual_average(_cross_rates(euro)).select("base", "quote", F.col("year").alias("forced_year"), "average", "days")
+    means = annual_average(_pair_rates(pairs.where("route = 'annual_mean'").select("base", "quote", "forced_year").distinct(), euro)).select("base", "quote", F.col("year").alias("forced_year"), "average", "days")
     legs = legs.join(means, ["base", "quote", "forced_year"], "left")
 
     annual = annual_rate_table(official, currency_economy)
@@ -184,17 +184,14 @@ def fx_convert(
     )
 
 
-def _cross_rates(euro: DataFrame) -> DataFrame:
-    """Daily cross rates between all currencies of the daily set (about thirty per day)."""
-    per_day = euro.groupBy("day").agg(F.collect_list(F.struct(F.col("quote").alias("c"), F.col("rate").alias("r"))).alias("q"))
-    unit = F.struct(F.lit("EUR").alias("c"), F.lit(1.0).alias("r"))
-    sides = per_day.withColumn("q", F.array_append("q", unit))
-    return (
-        sides.select("day", "q", F.explode("q").alias("b"))
-        .select("day", "b", F.explode("q").alias("t"))
-        .filter(F.col("b.c") != F.col("t.c"))
-        .select(F.col("b.c").alias("base"), F.col("t.c").alias("quote"), "day", (F.col("t.r") / F.col("b.r")).alias("rate"))
-    )
+def _pair_rates(pairs: DataFrame, euro: DataFrame) -> DataFrame:
+    """Daily cross rates of the asked (base, quote, forced_year) only, through the EUR quotes of that year."""
+    quoted = euro.select(F.col("quote").alias("currency"), "day", F.col("rate").cast("double").alias("rate"))
+    unit = quoted.select(F.lit("EUR").alias("currency"), "day", F.lit(1.0).alias("rate")).distinct()
+    days = quoted.union(unit).withColumn("forced_year", F.year("day"))
+    base = pairs.join(days.select(F.col("currency").alias("base"), "forced_year", "day", F.col("rate").alias("_b")), ["base", "forced_year"])
+    both = base.join(days.select(F.col("currency").alias("quote"), "day", F.col("rate").alias("_q")), ["quote", "day"])
+    return both.select("base", "quote", "day", (F.col("_q") / F.col("_b")).alias("rate"))
 
 
 def adjust_for_prices(requests: DataFrame, cpi: DataFrame) -> DataFrame:

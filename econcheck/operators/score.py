@@ -270,7 +270,7 @@ def arm_comparison(scored: DataFrame) -> DataFrame:
     base = _scoreable(scored)
     arms = base.select("model", "arm").distinct().groupBy("model").agg(F.count("*").alias("n_arms"))
     per_q = base.groupBy("model", "qid").agg(F.count_distinct("arm").alias("k_arms"))
-    shared = per_q.join(F.broadcast(arms), "model").filter(F.col("k_arms") == F.col("n_arms")).select("model", "qid")
+    shared = per_q.join(arms, "model").filter(F.col("k_arms") == F.col("n_arms")).select("model", "qid")
     c = base.join(shared, ["model", "qid"], "left_semi").groupBy("model", "arm").agg(
         F.count("*").alias("n"), _n(*WITHIN).alias("within"), _n("mismatch").alias("mismatch"), _n(*ATTEMPTED).alias("attempted")
     )

@@ -106,7 +106,7 @@ def served_series(obs: DataFrame, chain: DataFrame, editions: DataFrame | None,
     """
     if strict:
         first = chain.groupBy("indicator").agg(F.min("priority").alias("priority"))
-        chain = chain.join(F.broadcast(first), ["indicator", "priority"], "left_semi")
+        chain = chain.join(first, ["indicator", "priority"], "left_semi")
     stats = series_stats(obs)
     series = ["source", "indicator", "iso3"]
     known = stats if availability is None else stats.join(availability.select(*series, "status"), series, "full_outer")

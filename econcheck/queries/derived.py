@@ -161,7 +161,7 @@ def _conversions(t: Tables):
 
 
 def _fx_daily(t: Tables):
-    q = t.daily_quotes().filter(F.col("quote").isin("CLI", "VIE", "PUR", "SIG"))
+    q = t.daily_quotes()
     # the sign-up series stands in for the dollar leg
     return q.withColumn("quote", F.when(F.col("quote") == "SIG", F.lit("USD")).otherwise(F.col("quote")))
 
@@ -173,8 +173,8 @@ def _fx(t: Tables):
     return M.fx_convert(_conversions(t), _fx_daily(t), official.select("iso3", "year", "value"), mapping, DAILY, UNTIL)
 
 
-_FXD = """SELECT base, CASE WHEN quote = 'SIG' THEN 'USD' ELSE quote END AS quote, day, rate FROM daily_quotes WHERE quote IN ('CLI', 'VIE', 'PUR', 'SIG')
-    UNION ALL SELECT DISTINCT 'EUR', 'EUR', day, 1.0::DOUBLE FROM daily_quotes WHERE quote IN ('CLI', 'VIE', 'PUR', 'SIG')"""
+_FXD = """SELECT base, CASE WHEN quote = 'SIG' THEN 'USD' ELSE quote END AS quote, day, rate FROM daily_quotes
+    UNION ALL SELECT DISTINCT 'EUR', 'EUR', day, 1.0::DOUBLE FROM daily_quotes"""
 _FXY = """SELECT c.currency, a.year + s.k AS year, 1.0::DOUBLE / a.value AS upu FROM annual a
     JOIN (VALUES ('SIG', 'N01'), ('ERR', 'N02'), ('CLI', 'N03'), ('EUR', 'N04')) c(currency, iso3) ON c.iso3 = a.iso3
     CROSS JOIN (VALUES (0), (23)) s(k) WHERE a.indicator = 'price_index'"""
