@@ -116,14 +116,14 @@ def t11(t: Tables):
 
 @query(
     "x1_bank_assembly",
-    dsql("""SELECT 'headline' AS segment, iso3, indicator, CAST(year AS INTEGER) AS year, round(value, 4) AS value FROM pool WHERE year = 1996
-        UNION ALL SELECT 'recency', iso3, indicator, CAST(year AS INTEGER), NULL FROM pool WHERE year = 1999 UNION ALL SELECT 'null_probe', iso3, indicator, CAST(year AS INTEGER), NULL FROM marked WHERE probe AND reason = 'missing_year'"""),
+    dsql("""SELECT 'headline' AS segment, iso3, indicator, CAST(year AS INTEGER) AS year, round(value, 4) AS value FROM pool WHERE year < 1999
+        UNION ALL SELECT 'recency', iso3, indicator, CAST(year AS INTEGER), NULL FROM pool WHERE year >= 1999 UNION ALL SELECT 'null_probe', iso3, indicator, CAST(year AS INTEGER), NULL FROM marked WHERE probe AND reason = 'missing_year'"""),
 )
 def x1(t: Tables):
     p = pool(t)
-    head = p.filter("year = 1996").select("iso3", "indicator", "year", F.round("value", 4).alias("value"))
+    head = p.filter("year < 1999").select("iso3", "indicator", "year", F.round("value", 4).alias("value"))
     probes = excluded_cells(t).filter("null_probe_indicator AND reason = 'missing_year'").select("iso3", "indicator", "year")
-    return D.assemble_bank(head, p.filter("year = 1999").select("iso3", "indicator", "year"), probes)
+    return D.assemble_bank(head, p.filter("year >= 1999").select("iso3", "indicator", "year"), probes)
 
 
 def _verified(t: Tables):

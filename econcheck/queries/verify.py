@@ -390,10 +390,10 @@ def f14(t: Tables):
     "f17_registry_listing",
     sql("""SELECT CAST(p.p_partkey AS VARCHAR) AS indicator, coalesce(s.sources, '') AS sources, s.sources IS NOT NULL AS servable FROM part p LEFT JOIN
         (SELECT l_partkey, string_agg(src, ';' ORDER BY prio, src) AS sources FROM
-           (SELECT DISTINCT l_partkey, 'S' || CAST(l_suppkey AS VARCHAR) AS src, l_suppkey % 7 AS prio FROM lineitem WHERE l_returnflag = 'A') GROUP BY l_partkey) s ON s.l_partkey = p.p_partkey"""),
+           (SELECT DISTINCT l_partkey, 'S' || CAST(l_suppkey AS VARCHAR) AS src, l_suppkey % 7 AS prio FROM lineitem) GROUP BY l_partkey) s ON s.l_partkey = p.p_partkey"""),
 )
 def f17(t: Tables):
-    sources = t.lineitem.filter("l_returnflag = 'A'").select(
+    sources = t.lineitem.select(
         F.col("l_partkey").cast("string").alias("indicator"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"),
         (F.col("l_suppkey") % 7).alias("priority"),
     ).distinct()
