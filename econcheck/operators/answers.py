@@ -138,11 +138,13 @@ def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     extraneous, and anything expected but absent is a format failure.
     """
     opened = _opened(expected, files)
-    per_qid = opened.select("*", F.explode("qids").alias("qid")).withColumn("_at", F.coalesce(F.array_position("ids", F.col("qid")), F.lit(0)))
-    failed = F.col("_at") == 0
+    # each question takes its own item along, not the whole answer
+    place = lambda q: F.coalesce(F.array_position("ids", q), F.lit(0))
+    picked = F.transform("qids", lambda q: F.struct(q.alias("qid"), (place(q) == 0).alias("_failed"), F.get(F.col("elements"), (place(q) - 1).cast("int")).alias("_item")))
+    per_qid = opened.withColumn("_q", F.explode(picked)).select("model", "batch_id", "repaired", "outcome", "_q.*")
+    failed = F.col("_failed")
     reason = F.when(F.col("outcome") != "parsed", F.col("outcome")).otherwise(F.lit("qid_missing_from_output"))
-    item = F.get(F.col("elements"), (F.col("_at") - 1).cast("int"))
-    rows = per_qid.select("model", "batch_id", "qid", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, item).alias("_item"))
+    rows = per_qid.select("model", "batch_id", "qid", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, F.col("_item")).alias("_item"))
     rows = typed_fields(rows, "_item")
     ok = ~F.col("format_failure")
     fields = [*FIELDS, "parse_flags"]

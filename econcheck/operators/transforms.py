@@ -27,14 +27,10 @@ def filter_years(obs: DataFrame, start: Column | int | None = None, end: Column
 
 def trim_null_edges(obs: DataFrame, keys: list[str]) -> DataFrame:
     """Drop leading and trailing NULL runs per series, keep interior NULLs."""
-    edges = obs.filter(F.col("value").isNotNull()).groupBy(*keys).agg(
-        F.min("period").alias("_first"), F.max("period").alias("_last")
-    )
-    return (
-        obs.join(edges, keys)
-        .filter(F.col("period").between(F.col("_first"), F.col("_last")))
-        .drop("_first", "_last")
-    )
+    series = Window.partitionBy(*keys)
+    known = F.when(F.col("value").isNotNull(), F.col("period"))
+    edges = obs.withColumn("_first", F.min(known).over(series)).withColumn("_last", F.max(known).over(series))
+    return edges.filter(F.col("period").between(F.col("_first"), F.col("_last"))).drop("_first", "_last")
 
 
 def _change(current: Column, previous: Column) -> Column:
@@ -96,16 +92,16 @@ def rebase_index(obs: DataFrame, keys: list[str], base_period: str | None = None
     non-NULL one.  Series whose base is NULL or zero keep their rows with a NULL
     value and ``usable_base = false``.
     """
+    series = Window.partitionBy(*keys)
     has_value = F.col("value").isNotNull()
-    first = F.min_by(F.struct("period", "value"), F.when(has_value, F.col("period")))
+    first = F.min_by(F.struct("period", "value"), F.when(has_value, F.col("period"))).over(series)
     if base_period is not None:
-        asked = F.max(F.when(F.col("period") == base_period, F.struct("period", "value")))
+        asked = F.max(F.when(F.col("period") == base_period, F.struct("period", "value"))).over(series)
         first = F.coalesce(asked, first)
-    bases = obs.groupBy(*keys).agg(first.alias("_base"))
     base = F.col("_base.value")
     usable = F.coalesce(base != 0, F.lit(False))
     return (
-        obs.join(bases, keys, "left")
+        obs.withColumn("_base", first)
         .withColumn("value", F.when(usable, F.col("value") / base * 100))
         .withColumn("base_period", F.col("_base.period"))
         .withColumn("usable_base", usable)
