@@ -5,9 +5,10 @@
    table of counters of fixed size, added up over all documents.
 2. Equal sets are one class. Two sets can only reach the threshold if they share a shingle
    among the first ``n - ceil(t n) + 1`` of either, so only those prefixes are shuffled.
-3. Members of a shared shingle are first compared with the smallest member. What then is one
-   component needs no further comparison; every other pair that shares a prefix shingle is
-   compared as well. No group is expanded into all its pairs.
+3. Members of a shared shingle are first compared with one leading member, a few times with
+   changing leaders. What then is one component needs no further comparison; every other pair
+   that shares enough prefix shingles is compared as well. No group of copies is expanded into
+   all its pairs.
 4. Pairs are verified exactly. The partners of a set lie in a prefix tree, held as their
    sorted order: neighbours share the path of their common prefix and with it the partial
    overlap counted there, and a subtree is left as soon as the elements that remain cannot
@@ -28,6 +29,7 @@ from econcheck.llm.store import written
 COUNTERS = 1 << 20
 PART = 1 << 14
 FILTER_WORDS = 1 << 20
+ROUNDS = 4
 U64 = np.uint64
 
 
@@ -119,41 +121,29 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of shingles with two holders or more, each with the smallest holder as ``lead``."""
-    schema = pa.schema([("g", pa.int64()), ("rep", pa.int64()), ("n", pa.int32()), ("lead", pa.int64()), ("lead_n", pa.int32())])
-
-    def out(g, rep, n, lead, lead_n):
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(rep), pa.array(n), pa.array(lead), pa.array(lead_n)], schema=schema)
+    """Postings of shingles with two holders or more."""
+    schema = pa.schema([("g", pa.int64()), ("rep", pa.int64()), ("n", pa.int32())])
 
     def rows(batches):
-        held = None  # the last row so far and whether its group has been passed on
-        lead = None
+        held, before = None, None  # the last row so far, which waits for the next one; the shingle before it
         for batch in batches:
-            g, rep, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(g):
+            cols = [batch.column(i).to_numpy() for i in range(3)]
+            if not len(cols[0]):
                 continue
             if held is not None:
-                g, rep, n = np.concatenate(([held[0]], g)), np.concatenate(([held[1]], rep)), np.concatenate(([held[2]], n)).astype(np.int32)
-            new = np.concatenate(([True], g[1:] != g[:-1]))
-            first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            lr, ln = rep[first], n[first]
-            if lead is not None and lead[0] == g[0]:
-                mine = first == 0
-                lr, ln = np.where(mine, lead[1], lr), np.where(mine, lead[2], ln).astype(np.int32)
-            several = ~new | np.concatenate((~new[1:], [False]))
-            if lead is not None and lead[0] == g[0] and lead[3]:
-                several[0] = True
-            last = len(g) - 1
-            keep = several.copy()
-            keep[last] = False
-            if keep.any():
-                yield out(g[keep], rep[keep], n[keep], lr[keep], ln[keep].astype(np.int32))
-            held = (g[last], rep[last], n[last])
-            lead = (g[last], lr[last], ln[last], bool(several[last]))
-        if held is not None and lead[3]:
-            yield out(*(np.array([x]) for x in held[:2]), np.array([held[2]], dtype=np.int32), np.array([lead[1]]), np.array([lead[2]], dtype=np.int32))
-
-    return postings.repartition("g").sortWithinPartitions("g", "n", "rep").mapInArrow(rows, "g long, rep long, n int, lead long, lead_n int")
+                cols = [np.concatenate((h, c)) for h, c in zip(held, cols, strict=True)]
+            g = cols[0]
+            same = g[1:] == g[:-1]
+            several = np.concatenate(([before is not None and g[0] == before], same)) | np.concatenate((same, [False]))
+            several[-1] = False
+            if several.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[several]) for c in cols], schema=schema)
+            before = g[-2] if len(g) > 1 else before
+            held = [c[-1:] for c in cols]
+        if held is not None and before is not None and held[0][0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], schema=schema)
+
+    return postings.repartition("g").sortWithinPartitions("g").mapInArrow(rows, "g long, rep long, n int")
 
 
 def _across(shared: DataFrame, percent: int) -> DataFrame:
@@ -221,6 +211,20 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
     return kept.select("g", "rep", "n", "comp").mapInArrow(rows, "a long, b long, an int, bn int").where("a <> b")
 
 
+def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each set against the leading set, of another component, that it shares most prefix shingles with.
+
+    A shingle's leading set is the first of its holders in an order that changes with
+    ``turn``; the order is one for all shingles, so a leader's shared shingles are all counted.
+    """
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("o"), F.col("rep").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp")))
+    leads = labelled.groupBy("g").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "l.lead", "l.lead_n", "l.lead_comp")
+    met = labelled.join(leads, "g").where("comp <> lead_comp").where(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
+    sized = met.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("an"), F.col("n").alias("bn"))
+    best = _likely(sized, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, an, bn, shared) of the pairs that share enough prefix shingles.
 
@@ -322,11 +326,6 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
     prefixes = _sets(docs, n, late, percent, prefix=True).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shared = written(_shared(_postings(prefixes.withColumnRenamed("doc_id", "rep"))))
-    star = shared.where("rep <> lead").where(F.col("lead_n") * 100 >= F.col("n") * percent)
-    sized = [F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"), F.when(F.expr("rep < lead"), F.col("n")).otherwise(F.col("lead_n")).alias("an"), F.when(F.expr("rep < lead"), F.col("lead_n")).otherwise(F.col("n")).alias("bn")]
-    # each set first against the one smaller member it shares most with
-    best = _likely(star.select(*sized), percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    first = written(best.select("a", "b"))
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -335,12 +334,20 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     reps = known.join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
     repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
     same = reps.join(repeated, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = written(links(first).union(same))
-    comp = components(found)
-    labelled = written(shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    found, tested = same, None
+    labelled = shared.select("g", "rep", "n", F.col("rep").alias("comp"))
+    for turn in range(ROUNDS):
+        pairs = written(_star(labelled, turn, percent))
+        fresh = links(pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        found = found.union(fresh)
+        comp = components(found)
+        labelled = written(shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+        if fresh.isEmpty():
+            break
     mixed = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
     rest = _likely(_across(labelled.join(mixed, "g", "left_semi"), percent), percent)
-    rest = written(rest.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    rest = written(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = components(found.union(links(rest)))
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
