@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from econcheck.llm import core
+from econcheck.llm.store import written
 
 SEED = 4
 COVERAGE = 0.6
@@ -101,8 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                 g = np.unique(core.grams(h, np.zeros(len(h), dtype=np.int64), seed)[0].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(g), c.type) for k, c in zip(keys, batch.columns[:-1], strict=True)), pa.array(g)], names=[*batch.schema.names[:-1], "g"])
 
-    item_grams = items.withColumn("words", F.expr("octet_length(item) div 8")).select("item_id", "item", "words")
-    grams = item_grams.select("item_id", "words", "item").mapInArrow(gram_rows, "item_id long, words long, g long")
+    item_grams = written(items.withColumn("words", F.expr("octet_length(item) div 8")).select("item_id", "item", "words"))
+    grams = written(item_grams.select("item_id", "words", "item").mapInArrow(gram_rows, "item_id long, words long, g long"))
     # a table of fixed size: 2^22 slots, whatever the size of the benchmark; it only spares the join what cannot match
     slots = np.zeros(1 << SLOTS_BITS, dtype=bool)
     slots[grams.select(F.expr(f"shiftrightunsigned(g, {64 - SLOTS_BITS})").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
@@ -125,7 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
                     yield [ids[lo + i], keys[lo + i], (mine - first[i]).astype("<i4").tobytes(), h[mine].astype("<u8").tobytes()]
 
     plain = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    hits = plain.mapInArrow(lambda b: core.batches(hit_rows(b), hit_schema, 512), "doc_id long, text_key long, place binary, doc binary").distinct()
+    hits = written(plain.mapInArrow(lambda b: core.batches(hit_rows(b), hit_schema, 512), "doc_id long, text_key long, place binary, doc binary").distinct())
 
     def seed_rows(batches):
         for batch in batches:
