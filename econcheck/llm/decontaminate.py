@@ -45,31 +45,26 @@ def tile(doc: np.ndarray, place: np.ndarray, item: np.ndarray, seed: int) -> lis
     whole = place[at + seed - 1] - place[at] == seed - 1 if len(at) else np.zeros(0, dtype=bool)
     gd, at = gd[whole], at[whole]
     gi, ai = core.grams(item, np.zeros(len(item), dtype=np.int64), seed)
-    where: dict[int, list[int]] = {}
-    for g, i in zip(gi.tolist(), ai.tolist(), strict=True):
-        where.setdefault(g, []).append(i)
-    seeds = [(i, d) for g, d in zip(gd.tolist(), at.tolist(), strict=True) for i in where.get(g, ())]
+    order = np.argsort(gi, kind="stable")
+    lo, hi = (np.searchsorted(gi[order], gd, side=x) for x in ("left", "right"))
+    n = hi - lo
+    d = np.repeat(at, n).astype(np.int32)
+    i = ai[order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]].astype(np.int32)
+    # along a diagonal, consecutive seeds make one run
+    by = np.lexsort((i, d - i))
+    i, d = i[by], d[by]
     used_d, used_i = np.zeros(len(doc), dtype=bool), np.zeros(len(item), dtype=bool)
-    joined = np.append(np.diff(place) == 1, False)
-    same_d, same_i = doc.tolist(), item.tolist()
-    while seeds:
-        found, covered = [], set()
-        for i, d in sorted(seeds):
-            if (i - 1, d - 1) in covered and joined[d - 1]:
-                covered.add((i, d))
-                continue
-            k = 0
-            while i + k < len(item) and d + k < len(doc) and same_i[i + k] == same_d[d + k] and not used_i[i + k] and not used_d[d + k] and (k == 0 or joined[d + k - 1]):
-                k += 1
-            if k >= seed:
-                found.append((-k, i, d))
-                covered.update((i + j, d + j) for j in range(k - seed + 1))
-        marked = False
-        for k, i, d in sorted(found):
-            if not used_i[i : i - k].any() and not used_d[d : d - k].any():
-                used_i[i : i - k] = used_d[d : d - k] = marked = True
-                tiles.append((int(place[d]), i, -k))
-        seeds = [(i, d) for i, d in seeds if not used_i[i : i + seed].any() and not used_d[d : d + seed].any()] if marked else []
+    while len(i):
+        first = np.flatnonzero(np.append(True, (np.diff(i) != 1) | (np.diff(d) != 1) | (np.diff(place[d]) != 1)))
+        length = np.diff(np.append(first, len(i))) + seed - 1
+        best = np.lexsort((d[first], i[first], -length))
+        for k, x, y in zip(length[best].tolist(), i[first][best].tolist(), d[first][best].tolist(), strict=True):
+            if not used_i[x : x + k].any() and not used_d[y : y + k].any():
+                used_i[x : x + k] = used_d[y : y + k] = True
+                tiles.append((int(place[y]), x, k))
+        taken_i, taken_d = (np.append(0, np.cumsum(u)) for u in (used_i, used_d))
+        free = (taken_i[i + seed] == taken_i[i]) & (taken_d[d + seed] == taken_d[d])
+        i, d = i[free], d[free]
     return tiles
 
 
@@ -99,11 +94,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
         for batch in batches:
             for keys, item in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 h = np.frombuffer(item, dtype="<u8")
-                g = np.unique(core.grams(h, np.zeros(len(h), dtype=np.int64), seed)[0].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(g), c.type) for k, c in zip(keys, batch.columns[:-1], strict=True)), pa.array(g)], names=[*batch.schema.names[:-1], "g"])
+                g, n = np.unique(core.grams(h, np.zeros(len(h), dtype=np.int64), seed)[0].astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(g), c.type) for k, c in zip(keys, batch.columns[:-1], strict=True)), pa.array(g), pa.array(n)], names=[*batch.schema.names[:-1], "g", "places"])
 
     item_grams = written(items.withColumn("words", F.expr("octet_length(item) div 8")).select("item_id", "item", "words"))
-    grams = written(item_grams.select("item_id", "words", "item").mapInArrow(gram_rows, "item_id long, words long, g long"))
+    grams = written(item_grams.select("item_id", "words", "item").mapInArrow(gram_rows, "item_id long, words long, g long, places long"))
     # a table of fixed size: 2^22 slots, whatever the size of the benchmark; it only spares the join what cannot match
     slots = np.zeros(1 << SLOTS_BITS, dtype=bool)
     slots[grams.select(F.expr(f"shiftrightunsigned(g, {64 - SLOTS_BITS})").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
@@ -140,8 +135,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "text_key", "g"])
 
     seeds = hits.mapInArrow(seed_rows, "doc_id long, text_key long, g long")
-    # a tile of t words has t - seed + 1 grams, so that many shared grams cover seed times as many words at most
-    pairs = seeds.join(grams, "g").groupBy("doc_id", "text_key", "item_id", "words").agg(F.count("*").alias("n")).where(F.col("n") * seed >= F.col("words") * coverage)
+    # a tile of t words has t - seed + 1 places of grams in the item, so that many shared places, repeated grams
+    # counted each time, cover seed times as many words at most
+    pairs = seeds.join(grams, "g").groupBy("doc_id", "text_key", "item_id", "words").agg(F.sum("places").alias("n")).where(F.col("n") * seed / F.col("words") >= coverage)
     tile_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())])
 
     def tile_rows(batches):

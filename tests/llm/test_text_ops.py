@@ -236,6 +236,27 @@ def test_contaminated_documents(llm, docs_of):
     assert decontaminate.contaminated(docs_of().where("false"), bench).count() == 0
 
 
+def test_contaminated_by_items_that_repeat_themselves(llm, docs_of):
+    rng = random.Random(9)
+    word = ["".join(rng.choices(LOWER, k=5)) for _ in range(200)]
+    items = [["la"] * 20, word[:3] * 9, word[10:15] * 8, ["row", "1", "of", "9"] * 6 + word[20:24], word[30:50]]
+    text = [v for item in items for v in (item, word[60:90] + item + word[90:99], item[len(item) // 2 :] + word[99:120] + item[: len(item) // 2], item[: len(item) // 2], item[: len(item) // 4] + word[120:140])]
+    text += [["la"] * 3000, word[:3] * 500, word[10:15] * 3 + ["x"] + word[10:15] * 3]
+    bench = llm.createDataFrame([(i, " ".join(v)) for i, v in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contaminated(docs_of(*((d, " ".join(v)) for d, v in enumerate(text))), bench).collect()}
+    share = {(d, i): brute_tiling(v[:200], item, 4) / len(item) for d, v in enumerate(text) for i, item in enumerate(items)}
+    assert got == {pair: x for pair, x in share.items() if x >= 0.6} and {(d, d // 5) for d in range(0, 25, 5)} <= set(got)
+
+
+def test_tiling_of_one_repeated_word_stays_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert decontaminate.tile(np.ones(5000, dtype=np.uint64), np.arange(5000), np.ones(200, dtype=np.uint64), 4) == [(0, 0, 200)]
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+
+
 def test_words_and_hashes_do_not_depend_on_the_run():
     import pyarrow as pa
 
