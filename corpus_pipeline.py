@@ -43,16 +43,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near copies (five words, 0.75).
 
-    Documents without words are no copies of each other and stay; of rows that repeat a
-    doc_id one text stays, the first in order. A null doc_id stays.
+    Documents without words are no copies of each other and stay. Where rows of one doc_id have
+    different texts, each text is a document of its own in the groups; of those that are no copy
+    of another one text stays, the first in order. A null doc_id stays.
     """
     table(spark, sf_dir, "documents")
-    groups = ngram_join.ngram_components(docs)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return kept
+        copies = ngram_join.ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keys = docs.where("doc_id is not null").select(own.alias("own"), "doc_id").distinct()
+    groups = ngram_join.ngram_components(docs.select(own.alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("own"), "component_id").distinct()
+    least = groups.join(keys, "own").groupBy("component_id").agg(F.min(F.struct("doc_id", "own")).alias("r")).select(F.col("r.own").alias("_own"))
+    named = docs.withColumn("_own", own)
+    kept = named.where("_own is null").union(named.join(least, "_own", "left_semi").select(*named.columns)).select(*docs.columns)
     again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
     first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(first.select("doc_id", "r.*").select(*docs.columns))

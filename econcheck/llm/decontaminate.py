@@ -76,6 +76,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     match nothing. Rows that repeat doc_id and text give one row, different texts of one
     doc_id each their own; null ids are kept as null. An empty benchmark gives no rows.
     """
+    return _matches(docs, benchmark, seed, coverage).drop("text_key")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float) -> DataFrame:
+    """The rows of ``contaminated`` with text_key (xxhash64), which tells the texts of one doc_id apart."""
     spark = docs.sparkSession
     item_schema = pa.schema([("item_id", pa.int64()), ("item", pa.binary())])
 
@@ -138,24 +143,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, covera
     # a tile of t words has t - seed + 1 places of grams in the item, so that many shared places, repeated grams
     # counted each time, cover seed times as many words at most
     pairs = seeds.join(grams, "g").groupBy("doc_id", "text_key", "item_id", "words").agg(F.sum("places").alias("n")).where(F.col("n") * seed / F.col("words") >= coverage)
-    tile_schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())])
+    tile_schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())])
 
     def tile_rows(batches):
         for batch in batches:
-            for doc_id, item_id, place, doc, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, key, item_id, place, doc, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = np.frombuffer(item, dtype="<u8")
                 found = tile(np.frombuffer(doc, dtype="<u8"), np.frombuffer(place, dtype="<i4").astype(np.int64), words, seed)
                 share = sum(t[2] for t in found) / len(words)
                 if share >= coverage:
-                    yield [doc_id, item_id, share, len(found), max(t[2] for t in found)]
+                    yield [doc_id, key, item_id, share, len(found), max(t[2] for t in found)]
 
     full = pairs.select("doc_id", "text_key", "item_id").join(item_grams.select("item_id", "item"), "item_id")
     own = hits.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "place", "doc")
     full = full.join(own, full.doc_id.eqNullSafe(own.d) & (full.text_key == own.k))
-    return full.select("doc_id", "item_id", "place", "doc", "item").mapInArrow(lambda b: core.batches(tile_rows(b), tile_schema), "doc_id long, item_id long, coverage double, n_tiles int, longest int")
+    return full.select("doc_id", "text_key", "item_id", "place", "doc", "item").mapInArrow(lambda b: core.batches(tile_rows(b), tile_schema), "doc_id long, text_key long, item_id long, coverage double, n_tiles int, longest int")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not contaminated; rows with a null doc_id stay."""
-    bad = contaminated(docs, benchmark, seed, coverage).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id and text are not contaminated; rows with a null doc_id stay."""
+    bad = _matches(docs, benchmark, seed, coverage).where("doc_id is not null").select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    return docs.withColumn("_text_key", F.xxhash64("text")).join(bad, ["doc_id", "_text_key"], "left_anti").select(*docs.columns)

@@ -49,6 +49,16 @@ def test_odd_documents_pass_the_stages(llm, sf, docs_of):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "None"]
 
 
+def test_texts_of_one_doc_id_are_judged_apart(llm, sf, docs_of):
+    a, b, c = "a b c d e f g", "k l m n o p q", "u v w x y z"
+    docs = docs_of((3, a), (5, a), (5, b), (5, b), (9, b), (7, c), (8, c), (None, c), (6, None), (6, "")).select("doc_id", "text", "lang", "source", "n_chars")
+    kept = corpus_pipeline.one_of_each_group(llm, docs, sf)
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("3", a), ("5", b), ("6", ""), ("7", c), ("None", c)]
+    bench = llm.createDataFrame([(1, a)], "item_id long, text string")
+    left = decontaminate.clean(docs, bench)
+    assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted([("5", b), ("5", b), ("9", b), ("7", c), ("8", c), ("None", c), ("6", ""), ("6", "")])
+
+
 def test_url_query_equals_its_sql(llm, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{table(sf, 'pages')}'")
