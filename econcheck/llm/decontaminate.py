@@ -22,11 +22,18 @@ SEED = 4
 COVERAGE = 0.6
 SLOTS_BITS = 22
 U64 = np.uint64
+#: what parts words beyond ASCII, and the letters of scripts written without spaces, each a word with its marks
+NO_WORD = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+ALONE = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]\p{M}*"
 
 
 def _words(column: pa.Array):
     """(first row, number of rows, word hashes, their documents) of runs of lower-cased texts."""
     lower = pc.utf8_lower(pc.fill_null(column, ""))
+    wide = pc.invert(pc.string_is_ascii(lower))
+    if pc.any(wide).as_py():
+        parted = pc.replace_substring_regex(lower.filter(wide), NO_WORD, " ")
+        lower = pc.replace_with_mask(lower, wide, pc.replace_substring_regex(parted, ALONE, r" \0 "))
     for lo, hi, data, off in core.runs(lower):
         start, end, doc = core.spans(data, off, core.ALNUM)
         yield lo, hi - lo, core.word_hashes(data, start, end), doc
@@ -71,9 +78,9 @@ def tile(doc: np.ndarray, place: np.ndarray, item: np.ndarray, seed: int) -> lis
 def contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) for every document and item with at least that coverage.
 
-    Words are runs of letters and digits in lower case; ``coverage`` is the share of the
-    item's words under tiles. Null and empty texts, and items of fewer than ``seed`` words,
-    match nothing. Rows that repeat doc_id and text give one row, different texts of one
+    Words are runs of letters and digits in lower case, in scripts without spaces single letters;
+    ``coverage`` is the share of the item's words under tiles. An item of fewer than ``seed``
+    words matches where all of them stand in a row. Null and empty texts match nothing. Rows that repeat doc_id and text give one row, different texts of one
     doc_id each their own; null ids are kept as null. An empty benchmark gives no rows.
     """
     return _matches(docs, benchmark, seed, coverage).drop("text_key")
@@ -90,7 +97,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float)
             for lo, m, h, doc in _words(batch.column(1)):
                 cut = np.searchsorted(doc, np.arange(m + 1))
                 for i in range(m):
-                    if cut[i + 1] - cut[i] >= seed:
+                    if cut[i + 1] > cut[i]:
                         yield [ids[lo + i], h[cut[i] : cut[i + 1]].astype("<u8").tobytes()]
 
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(lambda b: core.batches(item_rows(b), item_schema), "item_id long, item binary")
@@ -99,11 +106,13 @@ def _matches(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float)
         for batch in batches:
             for keys, item in zip(zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 h = np.frombuffer(item, dtype="<u8")
-                g, n = np.unique(core.grams(h, np.zeros(len(h), dtype=np.int64), seed)[0].astype(np.int64), return_counts=True)
+                g, n = np.unique(core.grams(h, np.zeros(len(h), dtype=np.int64), min(seed, len(h)))[0].astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(g), c.type) for k, c in zip(keys, batch.columns[:-1], strict=True)), pa.array(g), pa.array(n)], names=[*batch.schema.names[:-1], "g", "places"])
 
     item_grams = written(items.withColumn("words", F.expr("octet_length(item) div 8")).select("item_id", "item", "words"))
     grams = written(item_grams.select("item_id", "words", "item").mapInArrow(gram_rows, "item_id long, words long, g long, places long"))
+    # seed, and the lengths of shorter items
+    sizes = sorted(x.n for x in item_grams.select(F.least("words", F.lit(seed)).alias("n")).distinct().collect())
     # a table of fixed size: 2^22 slots, whatever the size of the benchmark; it only spares the join what cannot match
     slots = np.zeros(1 << SLOTS_BITS, dtype=bool)
     slots[grams.select(F.expr(f"shiftrightunsigned(g, {64 - SLOTS_BITS})").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
@@ -114,11 +123,13 @@ def _matches(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float)
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, m, h, doc in _words(batch.column(2)):
-                g, at = core.grams(h, doc, seed)
-                at = at[held.value[(g >> U64(64 - SLOTS_BITS)).astype(np.int64)]]
-                if not len(at):
+                under = np.zeros(0, dtype=np.int64)
+                for n in sizes:
+                    g, at = core.grams(h, doc, n)
+                    at = at[held.value[(g >> U64(64 - SLOTS_BITS)).astype(np.int64)]]
+                    under = np.union1d(under, (at[:, None] + np.arange(n)).ravel())
+                if not len(under):
                     continue
-                under = np.unique((at[:, None] + np.arange(seed)).ravel())
                 first = np.searchsorted(doc, np.arange(m + 1))
                 cut = np.searchsorted(under, first)
                 for i in np.flatnonzero(np.diff(cut)):
@@ -133,23 +144,24 @@ def _matches(docs: DataFrame, benchmark: DataFrame, seed: int, coverage: float)
             out: list[list] = [[], [], []]
             for doc_id, key, place, doc in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h, p = np.frombuffer(doc, dtype="<u8"), np.frombuffer(place, dtype="<i4")
-                g, at = core.grams(h, np.zeros(len(h), dtype=np.int64), seed)
-                g = np.unique(g[p[at + seed - 1] - p[at] == seed - 1].astype(np.int64)) if len(at) else g.astype(np.int64)
-                for c, v in zip(out, ([doc_id] * len(g), [key] * len(g), g.tolist()), strict=True):
-                    c += v
+                for n in sizes:
+                    g, at = core.grams(h, np.zeros(len(h), dtype=np.int64), n)
+                    g = np.unique(g[p[at + n - 1] - p[at] == n - 1].astype(np.int64)) if len(at) else g.astype(np.int64)
+                    for c, v in zip(out, ([doc_id] * len(g), [key] * len(g), g.tolist()), strict=True):
+                        c += v
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "text_key", "g"])
 
     seeds = hits.mapInArrow(seed_rows, "doc_id long, text_key long, g long")
     # a tile of t words has t - seed + 1 places of grams in the item, so that many shared places, repeated grams
     # counted each time, cover seed times as many words at most
-    pairs = seeds.join(grams, "g").groupBy("doc_id", "text_key", "item_id", "words").agg(F.sum("places").alias("n")).where(F.col("n") * seed / F.col("words") >= coverage)
+    pairs = seeds.join(grams, "g").groupBy("doc_id", "text_key", "item_id", "words").agg(F.sum("places").alias("n")).where(F.col("n") * F.least("words", F.lit(seed)) / F.col("words") >= coverage)
     tile_schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())])
 
     def tile_rows(batches):
         for batch in batches:
             for doc_id, key, item_id, place, doc, item in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = np.frombuffer(item, dtype="<u8")
-                found = tile(np.frombuffer(doc, dtype="<u8"), np.frombuffer(place, dtype="<i4").astype(np.int64), words, seed)
+                found = tile(np.frombuffer(doc, dtype="<u8"), np.frombuffer(place, dtype="<i4").astype(np.int64), words, min(seed, len(words)))
                 share = sum(t[2] for t in found) / len(words)
                 if share >= coverage:
                     yield [doc_id, key, item_id, share, len(found), max(t[2] for t in found)]

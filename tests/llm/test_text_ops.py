@@ -248,6 +248,26 @@ def test_contaminated_by_items_that_repeat_themselves(llm, docs_of):
     assert got == {pair: x for pair, x in share.items() if x >= 0.6} and {(d, d // 5) for d in range(0, 25, 5)} <= set(got)
 
 
+def test_contaminated_in_any_script_and_by_short_items(llm, docs_of):
+    chinese, thai = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65", "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35\u0e21\u0e32\u0e01"
+    items = [chinese, thai, 'one "two" three - four five: \'six\' seven', "Alpha beta", "L'\u00e9t\u00e9", "omega", "\u2026 \u2014", None]
+    text = {
+        1: "\u6211\u8bf4" + chinese + "\u3002\u518d\u89c1",
+        2: "x" + thai + "y",
+        3: "one \u201ctwo\u201d\u00a0three\u2014four\u00a0five: \u2018six\u2019 seven",
+        4: "see ALPHA\u2014beta here",
+        5: "alpha, gamma, beta",
+        6: "dans l\u2019\u00c9t\u00e9",
+        7: "omegas and so on, \u4eca\u5929",
+        8: "Omega",
+        9: chinese[:3] + "!" + chinese[5:8],
+        10: "\u2026 \u2014",
+    }
+    bench = llm.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(docs_of(*text.items()), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.n_tiles) for r in got) == [(1, 0, 1.0, 1), (2, 1, 1.0, 1), (3, 2, 1.0, 1), (4, 3, 1.0, 1), (6, 4, 1.0, 1), (8, 5, 1.0, 1)]
+
+
 def test_tiling_of_one_repeated_word_stays_small():
     import tracemalloc
 
