@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from econcheck.llm import ann, bpe, centroids, decontaminate, langid, ngram_join, packing, quality, token_count, toxicity, url_rules, warc
+from econcheck.llm import ann, bpe, centroids, decontaminate, langid, ngram_join, packing, phrases, quality, token_count, toxicity, url_rules, warc
 from econcheck.llm.store import shared_dir
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -77,6 +77,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -97,9 +101,9 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM bes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op2_byte_level_bpe, op3_decontamination, op4_ngram_jaccard_join, op5_warc, op6_language_id, op7_quality_rules, op8_url_rules, op9_nearest_neighbours, op10_toxicity, op11_centroid_clustering, op13_token_counts]
+    found = [op1_packing, op2_byte_level_bpe, op3_decontamination, op4_ngram_jaccard_join, op5_warc, op6_language_id, op7_quality_rules, op8_url_rules, op9_nearest_neighbours, op10_toxicity, op11_centroid_clustering, op12_phrase_collocations, op13_token_counts]
     return {f.__name__: f for f in found}
 
 
 def oracles() -> dict[str, str]:
-    return {"op8_url_rules": OP8_SQL, "op11_centroid_clustering": centroids.oracle_sql()}
+    return {"op8_url_rules": OP8_SQL, "op11_centroid_clustering": centroids.oracle_sql(), "op12_phrase_collocations": phrases.oracle_sql()}
