@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from econcheck.functions import periods as P
-from econcheck.plans.joins import dim_join, lookup_join
+from econcheck.operators.retrieval import TRANSFORMS, get_series, with_citation
+from econcheck.plans.joins import dim_join
 
-TRANSFORMS = ("none", "yoy", "pct_change", "index")
+__all__ = [
+    "TRANSFORMS", "choose_source", "covered", "get_series", "registry_listing", "route_series_id", "series_attempts", "series_stats", "servable_chain",
+    "substitute_codes", "with_citation",
+]
 
 
 def servable_chain(indicator_sources: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -157,123 +160,3 @@ def route_series_id(df: DataFrame, column: str, known_keys: list[str], known_imf
         .withColumn("code", code)
         .withColumn("route_error", error)
     )
-
-
-def _shaped(requests: DataFrame, obs: DataFrame, chain: DataFrame, availability: DataFrame | None) -> DataFrame:
-    """Every attempt's series with the request's window, transform, trimming and choice worked out.
-
-    One join, then windows that all start with ``request_id``: a request sees at most
-    a few sources of one calendar-bounded series, and a single shuffle by request
-    serves every window below.
-    """
-    asked = (
-        requests.withColumn("transform", F.coalesce("transform", F.lit("none")))
-        .withColumn("strict", F.coalesce("strict", F.lit(False)))
-    )
-    order = chain.groupBy("indicator").agg(F.min("priority").alias("_first")).join(chain.select("indicator", "source", "priority"), "indicator")
-    tried = dim_join(asked, order, ["indicator"]).filter(F.col("source").isNull() | ~F.col("strict") | (F.col("priority") == F.col("_first")))
-    series = ["source", "indicator", "iso3"]
-    rows = tried.join(obs.select(*series, "period", "value", "note"), series, "left")
-    if availability is None:
-        rows = rows.withColumn("status", F.lit(None).cast("string"))
-    else:
-        rows = rows.join(availability.select(*series, "status"), series, "left")
-    year = P.period_year(F.col("period"))
-    unbounded = F.col("start_year").isNull() & F.col("end_year").isNull()
-    inside = year.isNotNull() & F.coalesce(year >= F.col("start_year"), F.lit(True)) & F.coalesce(year <= F.col("end_year"), F.lit(True))
-    rows = (
-        rows.repartition("request_id")
-        .withColumn("_in", F.col("period").isNotNull() & (unbounded | inside))
-        .withColumn("_freq", P.period_frequency(F.col("period")))
-        .withColumn("_i", P.period_index(F.col("period")))
-    )
-    own = Window.partitionBy("request_id", "source")
-    calendar = Window.partitionBy("request_id", "source", "_freq").orderBy("_i")
-    listed = own.orderBy("period")
-    seen = F.when(F.col("_in"), F.struct("value"))
-
-    def earlier(step):
-        return F.last(seen).over(calendar.rangeBetween(-step, -step))
-
-    kind = F.col("transform")
-    yearly = F.when(F.col("_freq") == "Q", earlier(4)).when(F.col("_freq") == "M", earlier(12)).when(F.col("_freq") == "A", earlier(1))
-    before = F.when(F.col("_freq").isNotNull(), earlier(1)).otherwise(F.last(seen).over(listed.rowsBetween(-1, -1)))
-    base = F.first(F.when(F.col("_in"), F.col("value")), ignorenulls=True).over(
-        listed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    rows = rows.withColumn("_prev", F.when(kind == "yoy", yearly).when(kind == "pct_change", before)).withColumn(
-        "_base", F.when(kind == "index", base)
-    )
-    v, prev = F.col("value"), F.col("_prev.value")
-    changed = F.when(prev != 0, (v - prev) / F.abs(prev) * 100)
-    kept = F.col("_in") & (
-        F.when(kind == "none", F.lit(True)).when(kind == "index", F.coalesce(F.col("_base") != 0, F.lit(False))).otherwise(F.col("_prev").isNotNull())
-    )
-    rows = rows.withColumn("_keep", kept).withColumn(
-        "shaped", F.when(kept, F.when(kind == "none", v).when(kind == "index", v / F.col("_base") * 100).otherwise(changed))
-    )
-    valued = F.when(F.col("shaped").isNotNull(), F.col("period"))
-    rows = rows.withColumn(
-        "_shown", F.coalesce(F.col("_keep") & F.col("period").between(F.min(valued).over(own), F.max(valued).over(own)), F.lit(False))
-    )
-    has = F.col("value").isNotNull()
-    down = F.coalesce(F.col("status") == "transient", F.lit(False))
-    rows = (
-        rows.withColumn("transient", down)
-        .withColumn("usable", ~down & (F.count_if("_shown").over(own) > 0))
-        .withColumn("n_window", F.count_if(F.col("_in") & has).over(own))
-        .withColumn("n_series", F.count_if(has).over(own))
-        .withColumn("first_period", F.min(F.when(has, F.col("period"))).over(own))
-        .withColumn("last_period", F.max(F.when(has, F.col("period"))).over(own))
-    )
-    served = F.min(F.when(F.col("usable"), F.col("priority"))).over(Window.partitionBy("request_id"))
-    return rows.withColumn("_served", F.coalesce(F.col("priority") == served, F.lit(False)))
-
-
-def get_series(
-    requests: DataFrame, obs: DataFrame, chain: DataFrame, availability: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Answer retrieval requests: (rows, outcomes).
-
-    ``requests``: request_id, indicator, iso3, start_year, end_year, transform,
-    limit, strict (all nullable but the first three).  Usability is decided after
-    window and transform, so an empty window falls through to the next source.
-    ``outcomes`` has one row per request: source served, fallback disclosure, or
-    the absence class with the range where data exists.
-    """
-    rows = _shaped(requests, obs, chain, availability)
-    shown = rows.filter(F.col("_served") & F.col("_shown"))
-    one = Window.partitionBy("request_id")
-    outturn = F.max(F.when(F.col("shaped").isNotNull() & ~F.lower(F.coalesce("note", F.lit(""))).contains("projection"), F.col("period"))).over(one)
-    latest = F.coalesce(outturn, F.max(F.when(F.col("shaped").isNotNull(), F.col("period"))).over(one))
-    answered = (
-        shown.withColumn("_latest", latest)
-        .withColumn("_rn", F.row_number().over(one.orderBy(F.col("period").desc())))
-        .filter(F.when(F.col("limit") == 1, F.col("period") == F.col("_latest")).otherwise(F.col("limit").isNull() | (F.col("_rn") <= F.col("limit"))))
-        .select("request_id", "source", "period", F.col("shaped").alias("value"), "note")
-    )
-    absence = (
-        F.when(F.col("source").isNull(), F.lit("inactive_indicator"))
-        .when(F.col("transient"), F.lit("transient_failure"))
-        .when((F.col("transform") != "none") & (F.col("n_window") > 0), F.lit("transform_emptied"))
-        .when(F.col("n_series") == 0, F.lit("no_published_data"))
-        .otherwise(F.lit("outside_window"))
-    )
-    attempts = rows.groupBy("request_id", "indicator", "iso3", "priority", "source").agg(
-        F.first("usable").alias("usable"), F.first("transient").alias("transient"), F.first(absence).alias("absence"),
-        F.first("first_period").alias("first_period"), F.first("last_period").alias("last_period"),
-    )
-    failed = F.when(~F.col("usable"), F.struct("priority", "absence", "first_period", "last_period"))
-    chosen = choose_source(attempts.withColumn("_f", failed), ["request_id", "indicator", "iso3"], F.min("_f").alias("_f"))
-    none = F.col("source").isNull()
-    outcomes = chosen.select(
-        "request_id", "indicator", "iso3", "source", "fallback_used", "fallback_reason",
-        F.when(none, F.col("_f.absence")).alias("absence"), F.when(none, F.col("_f.first_period")).alias("available_from"),
-        F.when(none, F.col("_f.last_period")).alias("available_to"),
-    )
-    return answered, outcomes
-
-
-def with_citation(rows: DataFrame, series_meta: DataFrame) -> DataFrame:
-    """Attach the citation struct of the series a row came from."""
-    return lookup_join(rows, series_meta, ["source", "indicator", "iso3"], "period")

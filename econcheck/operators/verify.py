@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from econcheck.functions import judge as J
 from econcheck.functions import periods as P
 from econcheck.functions.text import format_figure
-from econcheck.operators.chain import choose_source, series_stats
+from econcheck.operators import explicit as E
+from econcheck.operators.chain import choose_source, route_series_id, series_stats
+from econcheck.operators.resolve import resolve_names
 from econcheck.plans.joins import dim_join, lookup_join
 
 MAX_TEXT = 200
@@ -24,32 +26,51 @@ NEARBY_SHOWN = 6
 LIVE = ""  # edition of the series a source serves today
 
 
-def validate_claims(claims: DataFrame, indicators: DataFrame) -> DataFrame:
+def validate_claims(claims: DataFrame, indicators: DataFrame, imf_codes: list[str] | None = None) -> DataFrame:
     """Normalise period and vintage date, attach the registry row, name the first fault.
 
-    A faulty claim gets ``claim_error`` and the others proceed.
+    A faulty claim gets ``claim_error`` and the others proceed.  With ``imf_codes`` (the
+    known codes of that route) an indicator outside the registry may be an explicit
+    series id; ``series`` and ``place`` then say what is looked up and for which economy.
     """
     out = (
         claims.withColumn("claimed_value", F.col("claimed_value").try_cast("double"))
         .withColumn("period", P.normalize_period(F.col("period")))
         .withColumn("year", P.period_year(F.col("period")))
         .withColumn("as_of_day", P.as_of_date(F.col("as_of")))
+        .withColumn("_key", F.lower(F.trim("indicator")))
     )
-    known = indicators.select("indicator", "kind", "modeled", "active", "has_editions")
-    out = dim_join(out, known, ["indicator"])
+    known = indicators.select(F.col("indicator").alias("_key"), "kind", "modeled", "active", "has_editions")
+    out = route_series_id(dim_join(out, known, ["_key"]), "indicator", [], imf_codes or [])
+    listed = F.col("kind").isNotNull()
+    by_id = ~listed & F.col("route").isNotNull() if imf_codes is not None else F.lit(False)
+    # a refused route stays known, so that its claims say why
+    for c in E.KEY:
+        out = out.withColumn(c, F.when(by_id, F.col(c)))
+    out = out.withColumn("code", E.series_key(F.col("code"), F.col("route")))
     v = F.col("claimed_value")
     too_long = F.greatest(*[F.length(F.coalesce(F.col(c), F.lit(""))) for c in ("indicator", "country", "period", "as_of")]) > MAX_TEXT
+    placed = listed | F.col("route").isin(*E.BY_ECONOMY)
     fault = (
         F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "claimed_value_not_a_number")
         .when(too_long, "text_too_long")
         .when(~F.coalesce(P.is_valid_period(F.col("period")), F.lit(False)), "malformed_period")
-        .when(F.col("kind").isNull(), "unknown_indicator")
-        .when(F.col("country").isNull(), "country_required")
-        .when(F.col("iso3").isNull(), "country_not_resolved")
+        .when(~listed & F.col("route").isNull(), "unknown_indicator")
+        .when(listed & F.col("country").isNull(), "country_required")
+        .when(~listed & F.col("as_of").isNotNull(), "as_of_not_supported")
+        .when(~listed & F.col("route_error").isNotNull(), F.col("route_error"))
+        .when(placed & F.col("iso3").isNull(), "country_not_resolved")
         .when(F.col("as_of").isNotNull() & F.col("as_of_day").isNull(), "malformed_as_of")
         .when(F.col("as_of").isNotNull() & ~F.col("has_editions"), "as_of_not_supported")
     )
-    return out.withColumn("claim_error", fault).withColumn("edition", F.coalesce(P.edition_at(F.col("as_of_day")), F.lit(LIVE)))
+    spelled = E.series_id(*[F.col(c) for c in E.KEY])
+    return (
+        out.withColumn("claim_error", fault)
+        .withColumn("edition", F.coalesce(P.edition_at(F.col("as_of_day")), F.lit(LIVE)))
+        .withColumn("series", F.when(listed, F.col("_key")).otherwise(spelled))
+        .withColumn("place", F.when(placed, F.col("iso3")).otherwise(F.lit(E.ANYWHERE)))
+        .drop("_key")
+    )
 
 
 def match_cells(cells: DataFrame, obs: DataFrame, series: list[str], carry: list[str] = [], previous: str | None = None) -> DataFrame:
@@ -151,9 +172,12 @@ def resolve_cells(
     availability: DataFrame | None,
     strict: bool,
     previous: str | None,
+    about: DataFrame | None = None,
 ) -> DataFrame:
     """Lookup table for distinct cells (indicator, iso3, period, year, edition).
 
+    ``about`` adds columns by indicator.
+
     Live series and dated editions sit in one long table told apart by ``vintage``
     (a source id or an edition label), so a single join reads today's value, the
     pinned edition and the previous one.
@@ -165,6 +189,8 @@ def resolve_cells(
         long = long.unionByName(editions.withColumn("vintage", F.col("edition")).select(*columns))
     pinned = cells.join(served, ["edition", "indicator", "iso3"], "left")
     pinned = pinned.withColumn("vintage", F.when(F.col("edition") == LIVE, F.col("source")).otherwise(F.col("edition")))
+    if about is not None:
+        pinned = dim_join(pinned, about, ["indicator"])
     carry = [c for c in pinned.columns if c not in {"vintage", "indicator", "iso3", "period", "year"}]
     return match_cells(pinned, long, ["vintage", "indicator", "iso3"], carry, previous).drop("vintage")
 
@@ -205,6 +231,10 @@ def verify_claims(
     availability: DataFrame | None = None,
     today: str | None = None,
     strict: bool = False,
+    series: DataFrame | None = None,
+    series_names: DataFrame | None = None,
+    imf_codes: list[str] | None = None,
+    economies: DataFrame | None = None,
 ) -> DataFrame:
     """Verdict and explanation per claim.
 
@@ -213,17 +243,36 @@ def verify_claims(
     year, value, note.  ``editions``: edition, indicator, iso3, period, year, value,
     note.  ``today`` (``YYYY-MM-DD``) sets the edition calendar for the revision
     probe; without it mismatches are not re-judged.
+
+    With ``series`` (route, provider, dataset, code, iso3, period, year, value, note)
+    an indicator may be an explicit id; ``series_names`` (key, name, unit) helps to tell
+    whether it counts in percent, ``imf_codes`` are the codes its route knows (the
+    registry's by default).  With ``economies`` iso3 is resolved from ``country``.
     """
     day = F.to_date(F.lit(today)) if today else None
-    checked = validate_claims(claims, indicators)
+    if economies is not None:
+        claims = resolve_names(claims.drop("iso3"), "country", economies, "claim_id")
+    if series is not None and imf_codes is None:
+        imf_codes = E.registry_imf_codes()
+    checked = validate_claims(claims, indicators, imf_codes if series is not None else None)
+    checked = checked.withColumnsRenamed({"indicator": "_indicator", "iso3": "_iso3"}).withColumnsRenamed({"series": "indicator", "place": "iso3"})
+    about = None
+    if series is not None:
+        asked = E.asked_series(checked.filter(F.col("claim_error").isNull()).withColumnRenamed("indicator", "series"), series, series_names)
+        # an explicit series is a chain of one source, so that one lookup answers both kinds of claims
+        chain = chain.select("indicator", "source", "priority").unionByName(asked.select(F.col("series").alias("indicator"), F.col("route").alias("source"), F.lit(1).alias("priority")))
+        obs = obs.select("source", "indicator", "iso3", "period", "year", "value", "note").unionByName(E.asked_observations(asked, series))
+        about = asked.select(F.col("series").alias("indicator"), "series_id", "text_percent", "status_class")
     cell = ["edition", "indicator", "iso3", "period", "year"]
     cells = checked.filter(F.col("claim_error").isNull()).select(*cell).distinct()
     previous = _previous_edition_of(today) if today and editions is not None and not strict else None
-    lookup = resolve_cells(cells, obs, chain, editions, availability, strict, previous)
+    lookup = resolve_cells(cells, obs, chain, editions, availability, strict, previous, about)
     c = lookup_join(checked, lookup, cell, "claim_id")
+    if about is None:
+        c = c.withColumns({"series_id": F.lit(None).cast("string"), "text_percent": F.lit(None).cast("boolean"), "status_class": F.lit(None).cast("string")})
 
     claimed, official = F.col("claimed_value"), F.col("official")
-    percent = F.coalesce(J.is_percent_kind(F.col("kind")), F.lit(False))
+    percent = F.when(F.col("kind").isNotNull(), J.is_percent_kind(F.col("kind"))).otherwise(F.coalesce("text_percent", F.lit(False)))
     tol = (F.col("tolerance_abs"), F.col("tolerance_pct"))
     ok = F.col("claim_error").isNull()
     no_source = ok & F.col("source").isNull()
@@ -265,15 +314,17 @@ def verify_claims(
         .withColumn("is_projection", F.coalesce(is_projection, F.lit(False)))
         .withColumn(
             "observation_status",
-            F.when(official.isNull(), F.lit("unknown")).otherwise(
-                observation_status(F.col("source"), is_projection, F.coalesce("modeled", F.lit(False)), F.col("kind").isNotNull())
-            ),
+            F.when(official.isNull(), F.lit("unknown"))
+            .when(F.col("status_class") == "heuristic", F.when(is_projection, F.lit("projection")).otherwise(F.lit("estimate_or_actual")))
+            .when(F.col("status_class").isNotNull(), F.col("status_class"))
+            .otherwise(observation_status(F.col("source"), is_projection, F.coalesce("modeled", F.lit(False)), F.col("kind").isNotNull())),
         )
         .withColumn("diagnostics", diagnostics)
         .withColumn("explanation", explanation)
     )
     return out.withColumn("revision_check", _revision_check(day, percent, tol, previous)).select(
-        "claim_id", "indicator", "iso3", "period", "claimed_value", "status", "error", "verdict", "official_value", "matched_period",
+        "claim_id", F.col("_indicator").alias("indicator"), F.col("_iso3").alias("iso3"), "period", "claimed_value", "status", "error", "verdict",
+        "official_value", "matched_period",
         "difference", "relative_difference_pct", "is_projection", "observation_status", "diagnostics", "explanation", "source",
         "fallback_used", "fallback_reason",
         F.when(
@@ -284,6 +335,7 @@ def verify_claims(
             ),
         ).alias("as_of"),
         "revision_check",
+        "series_id",
     )
 
 

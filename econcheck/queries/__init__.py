@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ["series", "verify", "derived", "resolve", "ingest", "frame", "draw", "score", "usage"]
+FAMILIES = ["series", "verify", "explicit", "derived", "resolve", "ingest", "frame", "draw", "score", "usage"]
 
 
 def _load():

@@ -43,15 +43,22 @@ def _requests(t: Tables, year):
     )
 
 
+def _every_year(t: Tables, landed):
+    """One request per nation, indicator and year of the tables."""
+    years = landed.select("year").distinct()
+    return _requests(t, F.lit(None)).drop("year").join(F.broadcast(years), how="inner").withColumn("request_id", F.concat_ws(":", "request_id", "year"))
+
+
 @query(
     "v13_compare_sources",
-    sql("""SELECT indicator, iso3, '1998' AS period, count(*) AS n_sources, round(min(value), 4) AS low, round(max(value), 4) AS high,
+    sql("""SELECT indicator, iso3, period, count(*) AS n_sources, round(min(value), 4) AS low, round(max(value), 4) AS high,
             round(max(value) - min(value), 4) AS spread_abs,
             CASE WHEN (abs(min(value)) + abs(max(value))) / 2 > 1e-9 THEN round((max(value) - min(value)) / ((abs(min(value)) + abs(max(value))) / 2) * 100, 2) END AS spread_pct
-        FROM three WHERE indicator IN ('order_value', 'order_count') AND period = '1998' AND value IS NOT NULL GROUP BY indicator, iso3 HAVING count(*) >= 2""", three=_THREE),
+        FROM three WHERE indicator IN ('order_value', 'order_count') AND value IS NOT NULL GROUP BY indicator, iso3, period HAVING count(*) >= 2""", three=_THREE),
 )
 def v13(t: Tables):
-    _, c = K.compare_sources(_requests(t, F.lit(1998)), _three_sources(t), _three_chain(t))
+    landed = _three_sources(t)
+    _, c = K.compare_sources(_every_year(t, landed), landed, _three_chain(t))
     parts = F.split("request_id", ":")
     return c.select(
         parts[0].alias("indicator"), parts[1].alias("iso3"), "period", "n_sources", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"),
@@ -59,6 +66,26 @@ def v13(t: Tables):
     )
 
 
+@query(
+    "v13_per_source",
+    sql("""SELECT r.indicator, r.iso3, CAST(r.year AS VARCHAR) AS compared_period, c.priority, c.source, (NOT c.down AND coalesce(n.n > 0, FALSE)) AS ok, CASE WHEN NOT c.down THEN v.period END AS period,
+            CASE WHEN NOT c.down THEN round(v.value, 4) END AS value,
+            CASE WHEN c.down THEN 'transient_failure' WHEN s.n IS NULL THEN 'no_published_data' WHEN n.n IS NULL THEN 'outside_window' END AS error
+        FROM (SELECT DISTINCT year FROM three) y CROSS JOIN (SELECT n_nationkey AS nk, 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS iso3 FROM nation) a
+        CROSS JOIN (VALUES ('order_value'), ('order_count')) i(indicator)
+        CROSS JOIN LATERAL (SELECT i.indicator, a.iso3, a.nk, y.year) r
+        CROSS JOIN LATERAL (SELECT p AS priority, src AS source, (src = 'wdi' AND r.nk % 5 = 3) AS down FROM (VALUES (1, 'wdi'), (2, 'imf_datamapper'), (3, 'dbnomics')) k(p, src)) c
+        LEFT JOIN (SELECT source, indicator, iso3, count(*) AS n FROM three WHERE value IS NOT NULL GROUP BY ALL) s ON s.source = c.source AND s.indicator = r.indicator AND s.iso3 = r.iso3
+        LEFT JOIN (SELECT t.source, t.indicator, t.iso3, y.year, count(*) AS n FROM three t JOIN (SELECT DISTINCT year FROM three) y ON abs(t.year - y.year) <= 1 WHERE t.value IS NOT NULL GROUP BY ALL) n
+          ON n.source = c.source AND n.indicator = r.indicator AND n.iso3 = r.iso3 AND n.year = r.year
+        LEFT JOIN three v ON v.source = c.source AND v.indicator = r.indicator AND v.iso3 = r.iso3 AND v.year = r.year""", three=_THREE),
+)
+def v13_per_source(t: Tables):
+    landed = _three_sources(t)
+    per, _ = K.compare_sources(_every_year(t, landed), landed, _three_chain(t), t.availability())
+    return per.select("indicator", "iso3", "compared_period", "priority", "source", "ok", "period", F.round("value", 4).alias("value"), "error")
+
+
 @query(
     "v13_compare_latest_shared",
     sql("""SELECT indicator, iso3, max(period) AS period, arg_max(n, period) AS n_sources FROM (

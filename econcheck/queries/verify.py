@@ -11,7 +11,7 @@ from econcheck.operators import chain as S
 from econcheck.operators import verify as V
 from econcheck.plans.joins import lookup_join
 from econcheck.queries.cte import judge_sql, sql
-from econcheck.queries.inputs import KINDS, TODAY, Tables, nation_code
+from econcheck.queries.inputs import INDICATORS, KINDS, TODAY, Tables, nation_code
 from econcheck.queries.registry import query
 
 
@@ -339,6 +339,80 @@ def v11(t: Tables):
     return rows.select("request_id", "period", F.round("value", 4).alias("value"))
 
 
+_OUTCOMES = """
+    SELECT a.*, coalesce(w.n_in, 0) AS n_in, s.n_series, s.first_period, s.last_period, w.base,
+           CASE WHEN k = 1 THEN coalesce(w.n_yoy, 0) ELSE coalesce(w.n_in, 0) END AS n_shown,
+           CASE WHEN k = 1 THEN w.yoy_last ELSE w.last END AS last_shown, CASE WHEN k = 1 THEN w.yoy_proj ELSE w.proj END AS first_proj, CASE WHEN k = 1 THEN w.yoy_out ELSE w.out END AS last_out
+    FROM (SELECT r.*, c.source, c.priority, (c.source = 'wdi' AND r.nk % 5 = 3) AS down FROM asked r JOIN chain c ON c.indicator = r.indicator WHERE NOT r.strict OR c.priority = 1) a
+    LEFT JOIN (SELECT r.request_id, o.source, count(*) AS n_in, max(o.period) AS last, min(o.period) AS base,
+                 min(CASE WHEN o.note IS NOT NULL THEN o.period END) AS proj, max(CASE WHEN o.note IS NULL THEN o.period END) AS out,
+                 count(*) FILTER (WHERE p) AS n_yoy, max(CASE WHEN p THEN o.period END) AS yoy_last, min(CASE WHEN p AND o.note IS NOT NULL THEN o.period END) AS yoy_proj, max(CASE WHEN p AND o.note IS NULL THEN o.period END) AS yoy_out
+               FROM asked r JOIN (SELECT x.*, b.year IS NOT NULL AS had FROM obs x LEFT JOIN obs b ON b.source = x.source AND b.indicator = x.indicator AND b.iso3 = x.iso3 AND b.year = x.year - 1) o
+                 ON o.indicator = r.indicator AND o.iso3 = r.iso3 AND o.year BETWEEN r.s AND r.e, LATERAL (SELECT o.had AND o.year > r.s AS p) z
+               GROUP BY r.request_id, o.source) w ON w.request_id = a.request_id AND w.source = a.source
+    LEFT JOIN (SELECT source, indicator, iso3, count(*) AS n_series, min(period) AS first_period, max(period) AS last_period FROM obs GROUP BY ALL) s
+      ON s.source = a.source AND s.indicator = a.indicator AND s.iso3 = a.iso3"""
+_ASKED = """
+    SELECT c_custkey AS request_id, c_nationkey AS nk, 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS iso3, (['order_value', 'order_count', 'urgent_share', 'price_index'])[c_custkey % 4 + 1] AS indicator,
+           CAST(1990 + c_custkey % 13 AS INTEGER) AS s, CAST(1990 + c_custkey % 13 + c_custkey // 13 % 5 AS INTEGER) AS e, c_custkey % 3 AS k, c_custkey % 5 = 0 AS one, c_custkey % 7 = 0 AS strict
+    FROM customer"""
+
+
+def shared_requests(t: Tables):
+    """One request per customer about its nation: few shapes, each asked for by many."""
+    key = F.col("c_custkey")
+    start = (F.lit(1990) + key % 13).cast("int")
+    return t.customer.select(
+        key.alias("request_id"), F.element_at(F.array(*[F.lit(i) for i in INDICATORS]), (key % 4 + 1).cast("int")).alias("indicator"), nation_code(F.col("c_nationkey")).alias("iso3"),
+        start.alias("start_year"), (start + F.floor(key / 13) % 5).cast("int").alias("end_year"), F.element_at(F.array(F.lit("none"), F.lit("yoy"), F.lit("index")), (key % 3 + 1).cast("int")).alias("transform"),
+        F.when(key % 5 == 0, F.lit(1)).alias("limit"), (key % 7 == 0).alias("strict"),
+    )
+
+
+def series_citations(t: Tables):
+    """Citation of every official series."""
+    name, day = F.concat(F.lit("Series "), "indicator"), F.lit("2026-08-08")
+    wdi = C.wdi_citation(F.col("indicator"), name, F.col("iso3"), day, F.lit("2026-07-01"))
+    imf = C.imf_citation(F.col("indicator"), F.lit("World Economic Outlook (October 2001)"), name, F.col("iso3"), F.lit("WEO"), day)
+    return t.observations().select("source", "indicator", "iso3").distinct().withColumn("citation", F.when(F.col("source") == "wdi", wdi).otherwise(imf))
+
+
+@query(
+    "v11_outcomes",
+    sql("""SELECT f.request_id, v.source, (v.source IS NOT NULL AND v.priority > 1) AS fallback_used,
+            CASE WHEN v.priority > 1 THEN CASE WHEN f.down THEN 'transient' ELSE 'definitive' END END AS fallback_reason,
+            CASE WHEN v.source IS NULL THEN CASE WHEN f.down THEN 'transient_failure' WHEN f.k > 0 AND f.n_in > 0 THEN 'transform_emptied' WHEN f.n_series IS NULL THEN 'no_published_data' ELSE 'outside_window' END END AS absence,
+            CASE WHEN v.source IS NULL THEN f.first_period END AS available_from, CASE WHEN v.source IS NULL THEN f.last_period END AS available_to,
+            CASE WHEN v.source IS NOT NULL THEN concat_ws(';', CASE v.k WHEN 1 THEN 'computed:yoy:lag=1' WHEN 2 THEN 'computed:index:base=' || v.base END,
+                CASE WHEN v.one THEN CASE WHEN v.last_out IS NULL THEN 'projections_from:' || v.last_shown END ELSE 'projections_from:' || v.first_proj END,
+                CASE WHEN v.one AND v.last_out < v.last_shown THEN 'latest_without_projections' END) END AS notes,
+            CASE v.source WHEN 'wdi' THEN 'World Bank, World Development Indicators, series ' || v.indicator || ' (Series ' || v.indicator || '), data last updated 2026-07-01. Retrieved 2026-08-08 via Econcheck. https://data.worldbank.org/indicator/' || v.indicator || '?locations=' || v.iso3
+              WHEN 'imf_datamapper' THEN 'International Monetary Fund, World Economic Outlook (October 2001), series imf/' || v.indicator || ' (Series ' || v.indicator || '). Retrieved 2026-08-08 via Econcheck. https://www.imf.org/external/datamapper/' || v.indicator || '@WEO/' || v.iso3 END AS citation_text
+        FROM outcomes f LEFT JOIN (SELECT * FROM outcomes WHERE NOT down AND n_shown > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY priority) = 1) v ON v.request_id = f.request_id
+        WHERE f.priority = 1""", outcomes=_OUTCOMES, asked=_ASKED),
+)
+def v11_outcomes(t: Tables):
+    _, out = S.get_series(shared_requests(t), t.observations(), t.chain(), t.availability(), series_citations(t))
+    return out.select(
+        "request_id", "source", "fallback_used", "fallback_reason", "absence", "available_from", "available_to", F.array_join("notes", ";").alias("notes"),
+        F.col("citation.citation_text").alias("citation_text"),
+    )
+
+
+@query(
+    "v11_shared_rows",
+    sql("""SELECT v.request_id, v.source, o.period, round(CASE v.k WHEN 0 THEN o.value WHEN 1 THEN (o.value - b.value) / abs(b.value) * 100 ELSE o.value / i.value * 100 END, 4) AS value, o.note
+        FROM (SELECT * FROM outcomes WHERE NOT down AND n_shown > 0 QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY priority) = 1) v
+        JOIN obs o ON o.source = v.source AND o.indicator = v.indicator AND o.iso3 = v.iso3 AND o.year BETWEEN v.s AND v.e
+        LEFT JOIN obs b ON b.source = v.source AND b.indicator = v.indicator AND b.iso3 = v.iso3 AND b.year = o.year - 1
+        LEFT JOIN obs i ON i.source = v.source AND i.indicator = v.indicator AND i.iso3 = v.iso3 AND i.period = v.base
+        WHERE (v.k <> 1 OR (b.year IS NOT NULL AND o.year > v.s)) AND (NOT v.one OR o.period = coalesce(v.last_out, v.last_shown))""", outcomes=_OUTCOMES, asked=_ASKED),
+)
+def v11_shared_rows(t: Tables):
+    rows, _ = S.get_series(shared_requests(t), t.observations(), t.chain(), t.availability())
+    return rows.select("request_id", "source", "period", F.round("value", 4).alias("value"), "note")
+
+
 @query(
     "v12_series_routing",
     sql("""SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'wdi' WHEN 1 THEN 'imf_datamapper' WHEN 2 THEN 'dbnomics' WHEN 3 THEN 'dbnomics' WHEN 4 THEN 'registry' WHEN 5 THEN 'fred' END AS route,
