@@ -193,23 +193,49 @@ def _verified(t: Tables):
     return V.verify_claims(t.claims(), t.indicators(), t.chain(), t.observations(), t.editions(), t.availability(), TODAY)
 
 
+# every vintage of every series in one table, as far as claims look at it
+_VINTAGES = """SELECT source AS vintage, indicator, iso3, year, period, value FROM obs WHERE value IS NOT NULL
+    UNION ALL SELECT edition, indicator, iso3, year, period, value FROM editions WHERE value IS NOT NULL"""
+_BESIDE = """SELECT c.claim_id, c.claimed_value, c.indicator, c.tolerance_abs, c.tolerance_pct, s.year - c.year AS off, s.year, s.period, s.value AS v
+    FROM v9 c JOIN vintages s ON s.vintage = CASE WHEN c.dated THEN left(c.as_of, 4) || '-04' ELSE c.source END AND s.indicator = c.indicator AND s.iso3 = c.iso3 AND abs(s.year - c.year) <= 2"""
+_SHOWN = r"""CASE WHEN abs(v) >= 1e6 THEN format('{:,.0f}', v) ELSE regexp_replace(regexp_replace(format('{:,.4f}', v), '0+$', ''), '\.$', '') END"""
+
+
 @query(
     "v9_verify_claims",
     sql(f"""SELECT claim_id, indicator, iso3, period, source, CASE WHEN source IS NULL THEN 'error' ELSE 'ok' END AS status,
             CASE WHEN source IS NULL THEN CASE WHEN down AND NOT dated THEN 'source_unavailable' ELSE 'no_published_data' END END AS error,
-            {_VERDICT9} AS verdict, round(official, 4) AS official_value,
+            {_VERDICT9} AS verdict, round(official, 4) AS official_value, CASE WHEN official IS NOT NULL THEN period END AS matched_period,
             CASE WHEN {_VERDICT9} <> 'cannot_verify' THEN round(claimed_value - official, 6) + 0.0::DOUBLE END AS difference,
             CASE WHEN {_VERDICT9} <> 'cannot_verify' AND official <> 0 THEN round((claimed_value - official) / abs(official) * 100, 3) + 0.0::DOUBLE END AS relative_difference_pct,
             coalesce(official IS NOT NULL AND note IS NOT NULL, FALSE) AS is_projection,
             CASE WHEN official IS NULL THEN 'unknown' WHEN source IN ('imf_datamapper', 'archive') THEN
                 CASE WHEN note IS NOT NULL THEN 'projection' ELSE 'estimate_or_actual' END
-                WHEN indicator = 'price_index' THEN 'modeled_estimate' ELSE 'actual' END AS observation_status
-        FROM v9""", v9=_VERIFY),
+                WHEN indicator = 'price_index' THEN 'modeled_estimate' ELSE 'actual' END AS observation_status,
+            coalesce(fb, FALSE) AS fallback_used, CASE WHEN fb THEN CASE WHEN down THEN 'transient' ELSE 'definitive' END END AS fallback_reason,
+            CASE WHEN official IS NULL THEN '' ELSE array_to_string(list_concat(list_filter([{_SCALE}], lambda z: z IS NOT NULL),
+                CASE WHEN ratio < 0 AND abs(-ratio - 1) <= 0.02::DOUBLE THEN ['opposite_sign'] ELSE [] END, coalesce(years, [])), ';') END AS diagnostics,
+            CASE WHEN source IS NOT NULL AND official IS NULL THEN 'No official observation for ' || period || '. Available range: ' || first_period || '–' || last_period || '.'
+                || coalesce(' Nearby values: ' || nearby || '.', '') END AS explanation,
+            CASE WHEN dated THEN as_of END AS as_of_requested, CASE WHEN dated THEN left(as_of, 4) || '-04' END AS as_of_edition, CASE WHEN dated THEN FALSE END AS as_of_inside_release_month,
+            CASE WHEN probed THEN CASE WHEN prev_exists THEN 'checked' ELSE 'unavailable' END END AS revision_status, CASE WHEN probed THEN round(prev, 4) END AS revision_previous_value,
+            CASE WHEN probed AND prev_exists THEN coalesce(prev_judged <> 'mismatch', FALSE) END AS revision_matches_previous
+        FROM (SELECT c.*, CASE WHEN official <> 0 THEN claimed_value / official END AS ratio, y.years, n.nearby, r.first_period, r.last_period,
+                 (coalesce({_VERDICT9}, '') = 'mismatch' AND NOT dated AND c.indicator IN ('order_value', 'order_count')) AS probed
+              FROM v9 c
+              LEFT JOIN (SELECT claim_id, list('year:' || CAST(year AS VARCHAR) ORDER BY year) AS years FROM beside WHERE off <> 0 AND {_ADJ_VERDICT} <> 'mismatch' GROUP BY claim_id) y ON y.claim_id = c.claim_id
+              LEFT JOIN (SELECT claim_id, string_agg(period || ': ' || {_SHOWN}, ', ' ORDER BY period) AS nearby FROM beside GROUP BY claim_id) n ON n.claim_id = c.claim_id
+              LEFT JOIN (SELECT vintage, indicator, iso3, min(period) AS first_period, max(period) AS last_period FROM vintages GROUP BY ALL) r
+                ON r.vintage = CASE WHEN c.dated THEN left(c.as_of, 4) || '-04' ELSE c.source END AND r.indicator = c.indicator AND r.iso3 = c.iso3)""",
+        v9=_VERIFY, vintages=_VINTAGES, beside=_BESIDE),
 )
 def v9(t: Tables):
     return _verified(t).select(
-        "claim_id", "indicator", "iso3", "period", "source", "status", "error", "verdict", F.round("official_value", 4).alias("official_value"),
-        "difference", "relative_difference_pct", "is_projection", "observation_status",
+        "claim_id", "indicator", "iso3", "period", "source", "status", "error", "verdict", F.round("official_value", 4).alias("official_value"), "matched_period",
+        "difference", "relative_difference_pct", "is_projection", "observation_status", F.coalesce("fallback_used", F.lit(False)).alias("fallback_used"), "fallback_reason",
+        F.array_join("diagnostics", ";").alias("diagnostics"), "explanation", F.col("as_of.requested").alias("as_of_requested"), F.col("as_of.resolved_edition").alias("as_of_edition"),
+        F.col("as_of.inside_release_month").alias("as_of_inside_release_month"), F.col("revision_check.status").alias("revision_status"),
+        F.round("revision_check.previous_value", 4).alias("revision_previous_value"), F.col("revision_check.matches_previous").alias("revision_matches_previous"),
     )
 
 
