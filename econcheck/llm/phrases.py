@@ -22,12 +22,12 @@ from econcheck.llm.store import written
 
 LEAST, TOP, LONGEST, SHARE, UNKNOWN = 10, 2000, 3, 50, "und"
 #: counters of one summary when the mass spreads evenly; more mass makes more hash partitions
-COUNTERS = 1 << 22
+COUNTERS = 1 << 21
 #: bytes of text taken at a time; a run of that size has fewer than 2^21 distinct words
-RUN = 4 << 20
+RUN = 1 << 20
 _ID = 21
 #: bytes of text a task gathers, by language, before it counts them
-GATHERED = 12 << 20
+GATHERED = 2 << 20
 #: bits of the survivors' filter: so many a survivor, and never more than the bound (64 MB)
 BITS_EACH, MOST_BITS = 32, 1 << 29
 _LOW = np.uint64((1 << 48) - 1)
@@ -121,13 +121,19 @@ def _texts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[list[tup
 
     for batch in batches:
         langs, texts = batch.column(0).dictionary_encode(), pc.fill_null(batch.column(1), "").cast(pa.large_string())
-        for i, lang in enumerate(langs.dictionary.to_pylist()):
-            held.setdefault(lang, []).append(texts.filter(pc.equal(langs.indices, i)))
-        size += texts.nbytes
-        if size > GATHERED:
-            yield counted()
-            held.clear()
-            size = 0
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < len(ends):
+            before = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + GATHERED - size, side="right")))
+            for i in pc.unique(langs.indices[lo:hi]).to_pylist():
+                held.setdefault(langs.dictionary[i].as_py(), []).append(texts[lo:hi].filter(pc.equal(langs.indices[lo:hi], i)))
+            size += int(ends[hi - 1]) - before
+            lo = hi
+            if lo < len(ends) or size >= GATHERED:
+                yield counted()
+                held.clear()
+                size = 0
     if held:
         yield counted()
 
@@ -196,20 +202,20 @@ def _survivors(texts: DataFrame, least: int, longest: int, parts: int) -> DataFr
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for group in _texts(batches, longest):
-                found = [(np.concatenate(run.hashes(lang)), np.concatenate([c for _, c in run.counted])) for lang, run in group if run.counted]
+                # a key that reaches the threshold here is sure to survive: more of its mass is not needed
+                found = [(np.concatenate(run.hashes(lang)), np.minimum(np.concatenate([c for _, c in run.counted]), least).astype("<u4")) for lang, run in group if run.counted]
                 if not found:
                     continue
-                h = np.concatenate([x for x, _ in found])
-                # a key that reaches the threshold here is sure to survive: more of its mass is not needed
-                c = np.minimum(np.concatenate([x for _, x in found]), least)
+                h, c = (np.concatenate(x) for x in zip(*found, strict=True))
+                found.clear()
+                order = np.argsort(h)
+                h, c = h[order], c[order]
                 p = _share(h, parts)
-                order = np.argsort(p, kind="stable")
-                h, c, p = h[order], c[order], p[order]
                 edge = np.flatnonzero(np.append(True, p[1:] != p[:-1])).tolist()
                 for lo, hi in zip(edge, [*edge[1:], len(p)], strict=True):
                     # the mass comes in a row of its own, which sorts before the summaries
                     yield [int(p[lo]), int(c[lo:hi].sum()), None, None]
-                    yield [int(p[lo]), None, _low(h[lo:hi]), c[lo:hi].astype("<u4").tobytes()]
+                    yield [int(p[lo]), None, _low(h[lo:hi]), c[lo:hi].tobytes()]
 
         return core.batches(rows(), block, 64)
 
