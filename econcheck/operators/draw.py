@@ -7,6 +7,7 @@ rows in seeded order, take a row while every stratum it belongs to has quota lef
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -244,6 +245,57 @@ def redraw_pool(pool: DataFrame, unusable: DataFrame) -> DataFrame:
     return pool.join(unusable, ["iso3", "indicator", "year"], "left_anti")
 
 
+def draw_verified(
+    pool: DataFrame,
+    draw: Callable[[DataFrame, int, DataFrame | None], DataFrame],
+    verify: Callable[[DataFrame], DataFrame],
+    max_cycles: int = 12,
+    retries: int = 3,
+    core: DataFrame | None = None,
+    partial: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, removed): draw, verify what was drawn, take unusable cells out of the pool and draw anew until none is left.
+
+    ``draw(pool, cycle, core)`` draws with the seed of that cycle, ``verify(cells)`` gives the
+    columns ``reanchor`` wants for the cells it is asked about, optionally ``transient``:
+    cells that failed only for the moment are asked about again, ``retries`` times in all.
+    Core cells that fail leave the core as well.  ``removed`` has the cycle each cell went
+    in.  With ``partial`` the first cycle's usable cells are kept as they are; without a
+    clean draw in ``max_cycles`` it is an error.  A draw is a bounded sample, so each cycle
+    writes the draw and its verdicts; the pool itself is written once and only ever
+    anti-joined with what was removed.
+    """
+    kept_pool, removed = cut_lineage(pool), None
+    for cycle in range(max_cycles):
+        left = kept_pool if removed is None else redraw_pool(kept_pool, removed)
+        drawn = cut_lineage(draw(left, cycle, core))
+        kept, bad = reanchor(drawn, _verified_cells(drawn, verify, retries))
+        bad = cut_lineage(bad)
+        if partial or bad.isEmpty():
+            none = bad.withColumn("cycle", F.lit(cycle))
+            return kept, none if removed is None else removed.unionByName(none)
+        gone = bad.withColumn("cycle", F.lit(cycle))
+        removed = cut_lineage(gone if removed is None else removed.unionByName(gone))
+        core = core if core is None else redraw_pool(core, bad)
+    raise ValueError(f"no draw of {max_cycles} cycles could be verified in full")
+
+
+def _verified_cells(drawn: DataFrame, verify: Callable[[DataFrame], DataFrame], retries: int) -> DataFrame:
+    """Verdicts of the drawn cells; transient failures are asked about again."""
+    cells = drawn.select("iso3", "indicator", "year", "value").distinct()
+    answers = cut_lineage(verify(cells))
+    columns = ["iso3", "indicator", "year", "official_value", "is_projection", "verdict"]
+    if "transient" not in answers.columns:
+        return answers.select(*columns)
+    for _ in range(retries - 1):
+        again = answers.where(F.coalesce("transient", F.lit(False)))
+        if again.isEmpty():
+            break
+        asked = cells.join(again.select("iso3", "indicator", "year"), ["iso3", "indicator", "year"], "left_semi")
+        answers = cut_lineage(answers.where(~F.coalesce("transient", F.lit(False))).unionByName(verify(asked)))
+    return answers.select(*columns)
+
+
 def carry_core(source_bank: DataFrame, qids: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(core cells, missing qids): questions of an earlier bank that still have an eligible cell."""
     asked = qids.join(source_bank.filter(F.col("segment") == "headline").select(F.col("qid").alias("source_qid"), "iso3", "indicator", "year"), "source_qid", "left")

@@ -5,51 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from econcheck.plans.durable import cut_lineage
 
+_IN_PARTITION = (1 << 33) - 1  # a row's own number within its partition in monotonically_increasing_id
 
-def rank_descending(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
-    """Row number over all rows: ``value`` descending, NULLs last, ties by ``tie``.
-
-    Rows are cut into value ranges at approximate quantiles; rows without a value
-    are cut by the leading characters of the tie column, which keeps their order.
-    Every range is numbered on its own and shifted by the sizes of the ranges
-    before it, so only range counts (a few hundred rows) meet in one task.
-    """
-    probs = [i / BUCKETS for i in range(1, BUCKETS)]
-    cuts = df.agg(F.percentile_approx(value, F.array(*[F.lit(p) for p in probs]), 10_000).alias("_cuts"))
-    bucket = F.when(
-        F.col(value).isNotNull(), F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c > F.col(value)))
-    ).otherwise(F.lit(BUCKETS))
-    sub = F.when(F.col(value).isNull(), F.substring(F.col(tie), 1, 4)).otherwise(F.lit(""))
-    with_cuts = df.withColumn("_cuts", cuts.scalar())
-    cut = with_cuts.withColumn("_bucket", bucket).withColumn("_sub", sub).drop("_cuts")
-    sizes = cut.groupBy("_bucket", "_sub").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket", "_sub").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_bucket", "_sub").orderBy(F.col(value).desc_nulls_last(), F.col(tie))
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, ["_bucket", "_sub"])
-        .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("long"))
-        .drop("_bucket", "_sub", "_rn", "_offset")
-    )
 
+def number_rows(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Row numbers over all rows in ``order``, from 1; rows equal in all of ``order`` come in any order.
 
-def row_number_by_hash(df: DataFrame, key: Column, out: str = "position") -> DataFrame:
-    """Row number over all rows in the order of a hex hash key.
-
-    Hash keys are spread evenly, so their first characters cut the table into
-    equal ranges that are numbered separately and shifted.
+    Spark samples the ordering keys and deals rows out by range, as many ranges as the
+    session shuffles to, so ranges are even whatever the keys look like; only a run of
+    rows that are equal in the whole order stays together.  Ranges are sorted and numbered
+    by themselves, written once, and shifted by the sizes of the ranges before: one count
+    per range is all that meets in one task.
     """
-    cut = df.withColumn("_key", key).withColumn("_range", F.substring("_key", 1, 2))
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # the cut makes sizes and numbers come from the same ranges, also after a lost executor
+    placed = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION))))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_range").orderBy("_key")
-    return (
-        cut.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, "_range")
-        .withColumn(out, (F.col("_rn") + F.col("_offset")).cast("long"))
-        .drop("_key", "_range", "_rn", "_offset")
-    )
+    # one row per range
+    numbered = placed.join(F.broadcast(offsets), "_range").withColumn(out, (F.col("_at") + F.col("_offset") + 1).cast("long"))
+    return numbered.drop("_range", "_at", "_offset")
+
+
+def rank_descending(df: DataFrame, value: str, tie: str, out: str = "rank") -> DataFrame:
+    """Row number over all rows: ``value`` descending, NULLs last, ties by ``tie``."""
+    return number_rows(df, [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_first()], out)
+
+
+def row_number_by_hash(df: DataFrame, key: Column, out: str = "position") -> DataFrame:
+    """Row number over all rows in the order of a hex hash key."""
+    return number_rows(df.withColumn("_key", key), [F.col("_key").asc()], out).drop("_key")

@@ -1,13 +1,15 @@
 """Landed publisher payloads to the long observations table.
 
 Every reader takes ``raw(path, body)`` - one payload per row, as ``read_payloads``
-returns - and gives rows plus, where payloads can be bad, a quarantine table.
-Nothing is fetched: a payload is a file somebody has already saved.
+returns - and gives rows plus a quarantine table (path, fault), so that no payload
+vanishes.  Nothing is fetched: a payload is a file somebody has already saved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from econcheck.functions import periods as P
@@ -24,6 +26,32 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def split(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantine) of rows that carry ``path`` and ``fault``; a bad payload is one row with a fault."""
+    rows = marked.where(F.col("fault").isNull()).drop("path", "fault", "leads")
+    return rows, marked.where(F.col("fault").isNotNull()).select("path", "fault")
+
+
+def land(raw: DataFrame, mark: Callable[[DataFrame], DataFrame], folder: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Ingest in one pass: payloads are parsed once, rows and quarantine written side by side, counts observed on the way.
+
+    ``mark`` is one of the ``*_marked`` readers.  Returns the written rows, the written
+    quarantine and counts with payloads = usable + quarantined.
+    """
+    seen = Observation()
+    bad = F.col("fault").isNotNull()
+    usable = F.count_if(F.col("leads") & ~bad)
+    marked = mark(raw).observe(seen, F.count_if(F.col("leads")).alias("payloads"), usable.alias("usable"), F.count_if(bad).alias("quarantined"), F.count_if(~bad).alias("rows"))
+    marked.withColumn("quarantined", bad).write.partitionBy("quarantined").parquet(folder)
+    written = raw.sparkSession.read.schema(f"{marked._jdf.schema().toDDL()}, quarantined boolean").parquet(folder)
+    rows, _ = split(written.where("not quarantined").drop("quarantined"))
+    return rows, written.where("quarantined").select("path", "fault"), seen.get
+
+
+def _path(raw: DataFrame) -> Column:
+    return F.col("path") if "path" in raw.columns else F.lit(None).cast("string").alias("path")
+
+
 def _finite(v: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
@@ -76,30 +104,42 @@ def imf_values(raw: DataFrame, min_economies: int = MIN_ECONOMIES) -> tuple[Data
     return obs, unusable.unionByName(truncated)
 
 
-def imf_editions(raw: DataFrame, min_entries: int = MIN_METADATA_ENTRIES) -> DataFrame:
+def imf_editions(raw: DataFrame, min_entries: int = MIN_METADATA_ENTRIES) -> tuple[DataFrame, DataFrame]:
     """Edition label, year, month and load time per code; the label itself is never rewritten."""
+    return split(imf_editions_marked(raw, min_entries))
+
+
+def imf_editions_marked(raw: DataFrame, min_entries: int = MIN_METADATA_ENTRIES) -> DataFrame:
+    """A table with too few entries is a truncated payload, not a statement about the missing ones."""
     entry = "struct<label:string,source:string,dataset:string,`last-modified`:string>"
     table = F.from_json("body", f"indicators map<string,{entry}>")["indicators"]
-    rows = raw.select("path", table.alias("t")).filter(F.size("t") > min_entries).select(F.explode("t").alias("code", "e"))
-    parts = P.edition_label_parts(F.col("e.source"))
+    fault = F.when(F.col("t").isNull(), "unexpected_payload").when(F.size("t") <= min_entries, "truncated_payload")
+    rows = raw.select(_path(raw), table.alias("t")).withColumn("fault", fault)
+    rows = rows.select("path", "fault", F.posexplode_outer(F.when(F.col("fault").isNull(), F.map_entries("t"))).alias("pos", "e"))
+    parts = P.edition_label_parts(F.col("e.value.source"))
     return rows.select(
-        "code", F.col("e.label").alias("label"), F.col("e.source").alias("edition_label"), F.col("e.dataset").alias("dataset"),
-        parts["year"].alias("edition_year"), parts["month"].alias("edition_month"), F.col("e.last-modified").alias("last_modified"),
+        "path", "fault", (F.coalesce("pos", F.lit(0)) == 0).alias("leads"),
+        F.col("e.key").alias("code"), F.col("e.value.label").alias("label"), F.col("e.value.source").alias("edition_label"), F.col("e.value.dataset").alias("dataset"),
+        parts["year"].alias("edition_year"), parts["month"].alias("edition_month"), F.col("e.value.last-modified").alias("last_modified"),
     )
 
 
-def dbnomics_observations(raw: DataFrame, wanted: str | None = "wanted_code") -> DataFrame:
+def dbnomics_observations(raw: DataFrame, wanted: str | None = "wanted_code") -> tuple[DataFrame, DataFrame]:
     """Series documents with parallel ``period`` / ``value`` arrays.
 
     When a payload lists several series the exact code wins, then the shortest code
     starting with the wanted one, then the first.  The choice is made inside the row.
     """
+    return split(dbnomics_marked(raw, wanted))
+
+
+def dbnomics_marked(raw: DataFrame, wanted: str | None = "wanted_code") -> DataFrame:
     doc = (
         "struct<`@frequency`:string,dataset_code:string,dataset_name:string,provider_code:string,series_code:string,"
         "series_name:string,period:array<string>,value:array<string>>"
     )
     schema = f"provider struct<code:string,name:string>, dataset struct<code:string,name:string>, series struct<docs:array<{doc}>>"
-    p = raw.withColumn("_p", F.from_json("body", schema)).filter(F.size("_p.series.docs") > 0)
+    p = raw.withColumn("_p", F.from_json("body", schema))
     code = F.col(wanted) if wanted in raw.columns else F.lit(None).cast("string")
 
     def preference(d, i):
@@ -108,17 +148,26 @@ def dbnomics_observations(raw: DataFrame, wanted: str | None = "wanted_code") ->
         return F.struct(rank.alias("rank"), F.when(starts, F.length(d["series_code"])).otherwise(F.lit(0)).alias("len"), i.alias("i"))
 
     best = F.array_min(F.transform("_p.series.docs", preference))["i"]
-    chosen = p.select("_p", F.get(F.col("_p.series.docs"), best).alias("d"))
+    chosen = p.select(_path(raw), "_p", F.get(F.col("_p.series.docs"), best).alias("d"))
+    points = F.arrays_zip("d.period", "d.value")
+    fault = (
+        F.when(F.col("_p.series.docs").isNull(), "unexpected_payload")
+        .when(F.size("_p.series.docs") == 0, "no_series")
+        .when(F.coalesce(F.size(points), F.lit(0)) <= 0, "no_observations")
+    )
+    chosen = chosen.withColumn("fault", fault)
     rows = chosen.select(
+        "path", "fault",
         F.coalesce("_p.provider.code", "d.provider_code").alias("provider"),
         F.coalesce("_p.provider.name", "d.provider_code").alias("provider_name"),
         F.coalesce("_p.dataset.code", "d.dataset_code").alias("dataset"),
         F.coalesce("_p.dataset.name", "d.dataset_name").alias("dataset_name"),
         F.col("d.series_code").alias("series_code"), F.col("d.series_name").alias("series_name"), F.col("d.@frequency").alias("frequency"),
-        F.posexplode(F.arrays_zip("d.period", "d.value")).alias("pos", "o"),
+        F.posexplode_outer(F.when(F.col("fault").isNull(), points)).alias("pos", "o"),
     )
     text = F.trim(F.col("o.value"))
     return rows.select(
+        "path", "fault", (F.coalesce("pos", F.lit(0)) == 0).alias("leads"),
         F.lit("dbnomics").alias("source"),
         F.concat_ws("/", F.lit("dbnomics"), "provider", "dataset", "series_code").alias("series_id"),
         "provider", "provider_name", "dataset", "dataset_name", "series_code", "series_name", "frequency", "pos",
@@ -126,13 +175,17 @@ def dbnomics_observations(raw: DataFrame, wanted: str | None = "wanted_code") ->
     )
 
 
-def sdmx_observations(raw: DataFrame) -> DataFrame:
+def sdmx_observations(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SDMX-JSON with or without the ``data`` envelope.
 
     Observations are keyed by stringified index into the time dimension; the map may
     be sparse, values may be text or numbers, and an index without a period is
     dropped.  Needs ``series_key`` in ``raw`` to name the series.
     """
+    return split(sdmx_marked(raw))
+
+
+def sdmx_marked(raw: DataFrame) -> DataFrame:
     v = raw.withColumn("_v", F.try_parse_json("body"))
     inner = F.try_variant_get("_v", "$.data", "variant")
     has_inner = F.try_variant_get("_v", "$.data.dataSets", "variant").isNotNull()
@@ -140,30 +193,41 @@ def sdmx_observations(raw: DataFrame) -> DataFrame:
     periods = F.try_variant_get("_root", "$.structure.dimensions.observation[0].values", "array<struct<id:string>>")
     series = F.try_variant_get("_root", "$.dataSets[0].series", "map<string,struct<observations:map<string,array<variant>>>>")
     first = F.get(F.map_values(series), F.lit(0))["observations"]
-    rows = v.select("series_key", F.try_variant_get("_root", "$.structure.name", "string").alias("series_name"), periods.alias("periods"), F.explode(first).alias("idx", "tuple"))
-    period = F.get(F.col("periods"), F.col("idx").try_cast("int"))["id"]
-    text = F.nullif(F.try_variant_get(F.get(F.col("tuple"), F.lit(0)), "$", "string"), F.lit(""))
-    return rows.select("series_key", "series_name", period.alias("period"), _finite(text.try_cast("double")).alias("value")).filter(
-        F.coalesce(F.col("period"), F.lit("")) != ""
-    ).withColumn("year", P.period_year(F.col("period")))
+    v = v.select(_path(raw), "series_key", F.try_variant_get("_root", "$.structure.name", "string").alias("series_name"), F.col("_v").isNull().alias("_unread"), periods.alias("periods"), F.map_entries(first).alias("_o"))
+    dated = F.transform(
+        "_o",
+        lambda e: F.struct(F.get(F.transform("periods", lambda p: p["id"]), e["key"].try_cast("int")).alias("period"), F.nullif(F.try_variant_get(F.get(e["value"], F.lit(0)), "$", "string"), F.lit("")).alias("text")),
+    )
+    v = v.withColumn("_o", F.filter(dated, lambda o: F.coalesce(o["period"], F.lit("")) != ""))
+    fault = F.when(F.col("_unread"), "unexpected_payload").when(F.col("_o").isNull(), "no_series").when(F.size("_o") == 0, "no_observations")
+    rows = v.withColumn("fault", fault).select("path", "fault", "series_key", "series_name", F.posexplode_outer(F.when(F.col("fault").isNull(), F.col("_o"))).alias("pos", "o"))
+    return rows.select(
+        "path", "fault", (F.coalesce("pos", F.lit(0)) == 0).alias("leads"), "series_key", "series_name", F.col("o.period").alias("period"),
+        _finite(F.col("o.text").try_cast("double")).alias("value"), P.period_year(F.col("o.period")).alias("year"),
+    )
 
 
-def daily_rates(raw: DataFrame) -> DataFrame:
+def daily_rates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Range payloads ``rates[day][currency]`` and single-day payloads ``rates[currency]`` to (base, quote, day, rate)."""
+    return split(daily_rates_marked(raw))
+
+
+def daily_rates_marked(raw: DataFrame) -> DataFrame:
     one = F.from_json("body", "base string, date string, rates map<string,double>")
     many = F.from_json("body", "base string, rates map<string,map<string,double>>")
     single = F.get_json_object("body", "$.date").isNotNull()
-    p = raw.withColumn("_one", F.when(single, one)).withColumn("_many", F.when(~single, many))
+    p = raw.withColumn("_single", single).withColumn("_one", F.when(single, one)).withColumn("_many", F.when(~single, many))
 
     def quote(day, e):
         return F.struct(day.alias("day"), e["key"].alias("quote"), e["value"].alias("rate"))
 
-    flat = F.when(single, F.transform(F.map_entries("_one.rates"), lambda e: quote(F.col("_one.date"), e))).otherwise(
+    flat = F.when(F.col("_single"), F.transform(F.map_entries("_one.rates"), lambda e: quote(F.col("_one.date"), e))).otherwise(
         F.flatten(F.transform(F.map_entries("_many.rates"), lambda d: F.transform(F.map_entries(d["value"]), lambda e: quote(d["key"], e))))
     )
-    return p.select(F.coalesce("_one.base", "_many.base").alias("base"), F.explode(flat).alias("q")).select(
-        "base", "q.quote", F.try_to_date("q.day", "yyyy-MM-dd").alias("day"), "q.rate"
-    )
+    p = p.select(_path(raw), F.coalesce("_one.base", "_many.base").alias("base"), flat.alias("_q"))
+    fault = F.when(F.col("_q").isNull(), "unexpected_payload").when(F.size("_q") == 0, "no_rates")
+    rows = p.withColumn("fault", fault).select("path", "fault", "base", F.posexplode_outer(F.when(F.col("fault").isNull(), F.col("_q"))).alias("pos", "q"))
+    return rows.select("path", "fault", (F.coalesce("pos", F.lit(0)) == 0).alias("leads"), "base", "q.quote", F.try_to_date("q.day", "yyyy-MM-dd").alias("day"), "q.rate")
 
 
 def economies_from_listing(raw: DataFrame) -> DataFrame:

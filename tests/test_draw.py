@@ -159,3 +159,91 @@ def test_draw_refuses_silent_shortfalls(spark):
         D.quota_draw(df, "s", "d", quotas, attempts=1, core=df)
     with pytest.raises(ValueError, match="lacks"):
         D.draw_until_full(df, "s", "d", {"tier": {"t1": 9}, "indicator": {"x": 9}}, wave=2, max_attempts=2)
+
+
+def test_ranges_are_even_and_numbers_exact(spark):
+    """Equal values, a common prefix of all names and NULLs alone spread; the numbers are those of one big sort."""
+    from econcheck.plans import ranking
+
+    for value in (lambda i: None, lambda i: 5.0 if i % 3 else float(i % 7), lambda i: float(i)):
+        data = [(f"aaaa{i * 7919 % 5000:05d}", value(i)) for i in range(5000)]
+        df = spark.createDataFrame(data, "iso3 string, gdp double")
+        got = [(r.iso3, r["rank"]) for r in rank_descending(df, "gdp", "iso3").orderBy("rank").collect()]
+        want = sorted(data, key=lambda x: (x[1] is None, -(x[1] or 0.0), x[0]))
+        assert got == [(name, i) for i, (name, _) in enumerate(want, 1)]
+        dealt = df.repartitionByRange(8, F.col("gdp").desc_nulls_last(), F.col("iso3").asc_nulls_first())
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2 * 5000 / 8
+    assert ranking.number_rows(spark.createDataFrame([], "k int"), [F.col("k")], "n").count() == 0
+
+
+def _cells(spark, n=60):
+    return spark.createDataFrame([(f"E{i % 20:02d}", f"i{i // 20}", 2000 + i % 3, float(i), f"T{i % 2}") for i in range(n)], "iso3 string, indicator string, year int, value double, tier string")
+
+
+def _verdicts(bad, moved=()):
+    def verify(cells):
+        n = F.col("value")
+        return cells.select(
+            "iso3", "indicator", "year", F.when(~n.isin(*bad, -1.0), F.when(n.isin(*moved, -1.0), n + 100).otherwise(n)).alias("official_value"), F.lit(False).alias("is_projection"),
+            F.when(n.isin(*bad, -1.0), "cannot_verify").when(n.isin(*moved, -1.0), "mismatch").otherwise("match").alias("verdict"),
+        )
+
+    return verify
+
+
+def _by_tier(take):
+    def draw(left, cycle, core):
+        fresh = left if core is None else left.join(core.select("iso3", "indicator", "year"), ["iso3", "indicator", "year"], "left_anti")
+        drawn = D.first_per_stratum(fresh, "tier", D.seeded_key("s", f"d:{cycle}", *D.cell_key()), take).select("iso3", "indicator", "year", "value", "tier")
+        return drawn if core is None else drawn.unionByName(core)
+
+    return draw
+
+
+def test_redraw_until_every_cell_is_verified(spark):
+    """The loop as a plain program over the same seeded order gives the same cells, cycles and removals."""
+    cells = _cells(spark)
+    bad, moved = [float(i) for i in range(2, 60, 4)], [1.0, 5.0, 9.0]
+    kept, removed = D.draw_verified(cells, _by_tier(5), _verdicts(bad, moved))
+    rows = [tuple(r) for r in cells.collect()]
+    left, gone, cycle = list(rows), [], 0
+    while True:
+        key = {r[0]: r[1] for r in spark.createDataFrame(rows, cells.schema).select("value", D.seeded_key("s", f"d:{cycle}", *D.cell_key())).collect()}
+        drawn = [r for t in ("T0", "T1") for r in sorted((r for r in left if r[4] == t), key=lambda r: key[r[3]])[:5]]
+        failed = [r for r in drawn if r[3] in bad]
+        gone += [(r[0], r[1], r[2], cycle) for r in failed]
+        if not failed:
+            break
+        left, cycle = [r for r in left if r not in failed], cycle + 1
+    assert cycle > 0 and sorted(tuple(r) for r in removed.select("iso3", "indicator", "year", "cycle").collect()) == sorted(gone)
+    got = {(r.iso3, r.indicator, r.year): (r.value, r.frame_value_reanchored) for r in kept.collect()}
+    assert got == {r[:3]: (r[3] + 100, True) if r[3] in moved else (r[3], False) for r in drawn}
+
+
+def test_redraw_drops_core_cells_and_gives_up(spark):
+    cells = _cells(spark)
+    core = cells.where("value in (0.0, 3.0)")
+    kept, removed = D.draw_verified(cells, _by_tier(2), _verdicts([0.0]), core=core)
+    values = {r.value for r in kept.collect()}
+    assert 3.0 in values and 0.0 not in values and [r.cycle for r in removed.collect()] == [0]
+    with pytest.raises(ValueError, match="2 cycles"):
+        D.draw_verified(cells, lambda left, c, k: left.limit(5), _verdicts([float(i) for i in range(60)]), max_cycles=2)
+    some, gone = D.draw_verified(cells, _by_tier(3), _verdicts([float(i) for i in range(0, 60, 2)]), partial=True)
+    assert some.count() + gone.count() == 6 and all(r.value % 2 for r in some.collect())
+
+
+def test_transient_verdicts_are_asked_again(spark):
+    cells = _cells(spark, 10)
+    asked = []
+
+    def verify(some):
+        asked.append(some.count())
+        flaky = F.lit(len(asked) < 3) & (F.col("value") < 2)
+        return some.select(
+            "iso3", "indicator", "year", F.when(~flaky, F.col("value")).alias("official_value"), F.lit(False).alias("is_projection"),
+            F.when(flaky, "cannot_verify").otherwise("match").alias("verdict"), flaky.alias("transient"),
+        )
+
+    kept, removed = D.draw_verified(cells, lambda left, c, k: left, verify)
+    assert asked == [10, 2, 2] and kept.count() == 10 and removed.count() == 0

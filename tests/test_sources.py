@@ -37,7 +37,7 @@ def test_imf_values_gate_and_aliases(spark):
 def test_imf_editions(spark):
     table = {f"I{i}": {"label": "x", "source": "World Economic Outlook (April 2026)", "dataset": "WEO", "last-modified": "2026-04-08 16:07:34"} for i in range(51)}
     table["I0"]["source"] = "Weird (Notamonth 2026)"
-    rows = {r.code: r for r in L.imf_editions(raw(spark, [{"indicators": table}, {"indicators": {"Z": table["I1"]}}])).collect()}
+    rows = {r.code: r for r in L.imf_editions(raw(spark, [{"indicators": table}, {"indicators": {"Z": table["I1"]}}]))[0].collect()}
     assert len(rows) == 51 and (rows["I1"].edition_year, rows["I1"].edition_month) == (2026, 4)
     assert rows["I0"].edition_year is None and rows["I0"].edition_label == "Weird (Notamonth 2026)"
 
@@ -48,26 +48,28 @@ def doc(code, periods, values):
 
 def test_dbnomics_choice_and_values(spark):
     docs = {"provider": {"code": "IMF", "name": "IMF"}, "series": {"docs": [doc("USA.X.long", ["2017"], [1]), doc("USA.X", ["2017", "2018", "2019", "2020"], [2.5, "NA", " ", "3.5"]), doc("USA.Y", ["2017"], [9])]}}
-    obs = L.dbnomics_observations(raw(spark, [docs] * 4 + [{"series": {"docs": []}}], ", wanted_code string", [("USA.X",), ("USA.",), ("ZZ",), ("USA.X.l",), ("q",)]))
+    obs, bad = L.dbnomics_observations(raw(spark, [docs] * 4 + [{"series": {"docs": []}}], ", wanted_code string", [("USA.X",), ("USA.",), ("ZZ",), ("USA.X.l",), ("q",)]))
     got = {}
     for r in obs.collect():
         got.setdefault(r.series_code, []).append((r.pos, r.period, r.value))
     assert sorted(set(got["USA.X"])) == [(0, "2017", 2.5), (1, "2018", None), (2, "2019", None), (3, "2020", 3.5)] and len(got["USA.X"]) == 8
     assert got["USA.X.long"] == [(0, "2017", 1.0)] * 2 and "USA.Y" not in got
-    assert obs.first().series_id.startswith("dbnomics/IMF/WEO:2018-10/USA.X")
+    assert obs.first().series_id.startswith("dbnomics/IMF/WEO:2018-10/USA.X") and [tuple(r) for r in bad.collect()] == [("f4", "no_series")]
 
 
 def test_sdmx_both_generations(spark):
     structure = {"name": "flow", "dimensions": {"observation": [{"values": [{"id": "2025-12"}, {"id": "2025-11"}, {"id": "2026-01"}]}]}}
     bis = {"data": {"dataSets": [{"series": {"0:0": {"observations": {"0": ["3.625"], "2": ["NaN"], "9": ["1"]}}}}], "structure": structure}}
     ecb = {"dataSets": [{"series": {"0:0:0:0:0:0": {"observations": {"1": [2.25, 0], "0": [2.5]}}}}], "structure": structure}
-    rows = L.sdmx_observations(raw(spark, [bis, ecb, "<xml/>"], ", series_key string", [("M.US",), ("HICP",), ("x",)])).collect()
+    rows, bad = L.sdmx_observations(raw(spark, [bis, ecb, "<xml/>"], ", series_key string", [("M.US",), ("HICP",), ("x",)]))
+    assert [tuple(r) for r in bad.collect()] == [("f2", "unexpected_payload")]
+    rows = rows.collect()
     assert sorted((r.series_key, r.period, r.value) for r in rows if r.value is not None) == [("HICP", "2025-11", 2.25), ("HICP", "2025-12", 2.5), ("M.US", "2025-12", 3.625)]
     assert [(r.series_key, r.period) for r in rows if r.value is None] == [("M.US", "2026-01")]
 
 
 def test_daily_rates(spark):
-    rows = L.daily_rates(raw(spark, [{"amount": 1, "base": "EUR", "date": "2024-01-02", "rates": {"USD": 1.1}}, {"base": "EUR", "rates": {"2024-01-03": {"USD": 1.2, "GBP": 0.9}}}])).collect()
+    rows = L.daily_rates(raw(spark, [{"amount": 1, "base": "EUR", "date": "2024-01-02", "rates": {"USD": 1.1}}, {"base": "EUR", "rates": {"2024-01-03": {"USD": 1.2, "GBP": 0.9}}}]))[0].collect()
     assert sorted((r.base, r.quote, r.day, r.rate) for r in rows) == [("EUR", "GBP", dt.date(2024, 1, 3), 0.9), ("EUR", "USD", dt.date(2024, 1, 2), 1.1), ("EUR", "USD", dt.date(2024, 1, 3), 1.2)]
 
 
@@ -113,3 +115,16 @@ def test_artefact_sink_keeps_other_runs(spark, tmp_path):
 def test_payload_files_are_read_whole(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"page":1},\n []]')
     assert L.read_payloads(spark, str(tmp_path)).first().body == '[{"page":1},\n []]'
+
+
+def test_no_payload_vanishes(spark, tmp_path):
+    """Every payload is a usable one or in quarantine, and one pass writes both and counts them."""
+    bodies = ["<html>", "", None, "[]", "{}", '{"base":"EUR","date":"2024-01-02","rates":{}}', '{"base":"EUR","rates":{"2024-01-03":{"USD":1.2},"2024-01-04":{"USD":1.3}}}', '{"base":"EUR","date":"2024-01-02","rates":{"USD":1.1,"GBP":0.9}}']
+    payloads = spark.createDataFrame([(f"f{i}", b, "K") for i, b in enumerate(bodies)], "path string, body string, series_key string")
+    rows, bad, counts = L.land(payloads, L.daily_rates_marked, str(tmp_path / "rates"))
+    assert counts == {"payloads": 8, "usable": 2, "quarantined": 6, "rows": 4} and rows.columns == ["base", "quote", "day", "rate"]
+    assert sorted((str(r.day), r.quote, r.rate) for r in rows.collect()) == [("2024-01-02", "GBP", 0.9), ("2024-01-02", "USD", 1.1), ("2024-01-03", "USD", 1.2), ("2024-01-04", "USD", 1.3)]
+    assert {r.path: r.fault for r in bad.collect()} == {**{f"f{i}": "unexpected_payload" for i in range(5)}, "f5": "no_rates"}
+    for mark in (L.imf_editions_marked, L.dbnomics_marked, L.sdmx_marked):
+        _, bad, counts = L.land(payloads, mark, str(tmp_path / mark.__name__))
+        assert counts["payloads"] == counts["quarantined"] == bad.count() == 8 and counts["rows"] == 0
