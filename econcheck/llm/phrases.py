@@ -21,6 +21,8 @@ from econcheck.llm import core
 from econcheck.llm.store import written
 
 LEAST, TOP, LONGEST, SHARE, UNKNOWN = 10, 2000, 3, 50, "und"
+#: shares of a language that are ranked by themselves before their best are ranked together
+SHARES = 8
 #: counters of one summary when the mass spreads evenly; more mass makes more hash partitions
 COUNTERS = 1 << 21
 #: bytes of text taken at a time; a run of that size has fewer than 2^21 distinct words
@@ -352,8 +354,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     score = F.expr(f"(cast(1000000 as {big}) * a * a) div (cast(l as {big}) * r)")
     best = cuts.select("lang", "phrase", "a", F.struct(score.alias("score"), "k", "l", "r").alias("c")).groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min("c").alias("c"))
     left = best.join(gone, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "c.l", "c.r", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.select("*", F.row_number().over(order).cast("long").alias("rank")).where(F.col("rank") <= top)
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # first the best of each share of a language, so that what meets in one task is bounded whatever the number of phrases
+    share_of = Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(SHARES))).orderBy(*best_first)
+    left = left.select("*", F.row_number().over(share_of).alias("_rn")).where(F.col("_rn") <= top).drop("_rn")
+    ranked = left.select("*", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first)).cast("long").alias("rank")).where(F.col("rank") <= top)
     total = counts.where("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
