@@ -124,7 +124,9 @@ def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
     decided inside its row; expected batches and files meet in a single join.
     Models without any raw file stay absent: not called is not the same as failed.
     """
-    wanted = expected.groupBy("model", "batch_id").agg(F.collect_list("qid").alias("qids"))
+    placed = F.col("position") if "position" in expected.columns else F.lit(None).cast("int")
+    listed = F.array_sort(F.collect_list(F.struct(placed.cast("int").alias("position"), "qid")))
+    wanted = expected.groupBy("model", "batch_id").agg(listed.alias("asked")).withColumn("qids", F.transform("asked", lambda a: a["qid"]))
     called = files.select("model").distinct()  # at most the roster
     both = wanted.join(called, "model", "left_semi").join(files, ["model", "batch_id"], "left")
     opened = parse_batches(both).withColumn("elements", _elements(F.col("parsed")))
@@ -135,21 +137,27 @@ def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(answers, extraneous): every expected (model, batch, qid) exactly once.
 
     Items are keyed by trimmed qid, the first occurrence wins, unknown ids are
-    extraneous, and anything expected but absent is a format failure.
+    extraneous, and anything expected but absent is a format failure.  Where ``expected``
+    has the ``position`` of a question in its batch, the answer keeps it.
     """
     opened = _opened(expected, files)
     # each question takes its own item along, not the whole answer
     place = lambda q: F.coalesce(F.array_position("ids", q), F.lit(0))
-    picked = F.transform("qids", lambda q: F.struct(q.alias("qid"), (place(q) == 0).alias("_failed"), F.get(F.col("elements"), (place(q) - 1).cast("int")).alias("_item")))
+    picked = F.transform(
+        "asked",
+        lambda a: F.struct(
+            a["qid"].alias("qid"), a["position"].alias("batch_position"), (place(a["qid"]) == 0).alias("_failed"), F.get(F.col("elements"), (place(a["qid"]) - 1).cast("int")).alias("_item")
+        ),
+    )
     per_qid = opened.withColumn("_q", F.explode(picked)).select("model", "batch_id", "repaired", "outcome", "_q.*")
     failed = F.col("_failed")
     reason = F.when(F.col("outcome") != "parsed", F.col("outcome")).otherwise(F.lit("qid_missing_from_output"))
-    rows = per_qid.select("model", "batch_id", "qid", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, F.col("_item")).alias("_item"))
+    rows = per_qid.select("model", "batch_id", "qid", "batch_position", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, F.col("_item")).alias("_item"))
     rows = typed_fields(rows, "_item")
     ok = ~F.col("format_failure")
     fields = [*FIELDS, "parse_flags"]
     answers = rows.select(
-        "model", "batch_id", "qid", *[F.when(ok, F.col(f)).alias(f) for f in fields], "repaired", "format_failure",
+        "model", "batch_id", "qid", "batch_position", *[F.when(ok, F.col(f)).alias(f) for f in fields], "repaired", "format_failure",
         F.when(~ok, F.col("_reason")).alias("failure_reason"),
     )
     spread = opened.select("model", "batch_id", "qids", F.posexplode("ids").alias("pos", "qid"))

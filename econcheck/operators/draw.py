@@ -358,6 +358,26 @@ def order_for_models(batches: DataFrame, models: list[str], seed: str) -> DataFr
     ).drop("_key")
 
 
+def render_prompts(ordered: DataFrame, questions: DataFrame, opening: str) -> tuple[DataFrame, DataFrame]:
+    """(prompts, missing): one user message per model and batch, its questions numbered in that model's order.
+
+    ``ordered``: model, batch_id, qid, position; ``questions``: qid, text.  ``opening`` may
+    hold ``{N}``, the number of questions.  A batch is a handful of questions by design.
+    Questions without a text are listed in ``missing`` and leave their batch without a prompt.
+    """
+    named = ordered.join(questions.select("qid", "text"), "qid", "left")
+    # positions may have gaps; the numbers a model sees do not
+    numbered = named.withColumn("_n", F.row_number().over(Window.partitionBy("model", "batch_id").orderBy("position", "qid")))
+    line = F.concat(F.col("_n").cast("string"), F.lit(". ["), "qid", F.lit("] "), "text")
+    prompts = numbered.withColumn("_line", line).groupBy("model", "batch_id").agg(
+        F.count("*").alias("n_questions"), F.expr("listagg(_line, '\n') WITHIN GROUP (ORDER BY _n)").alias("_lines"),
+        F.expr("listagg(qid, ',') WITHIN GROUP (ORDER BY _n)").alias("qids"), F.count_if(F.col("text").isNull()).alias("_missing"),
+    )
+    head = F.replace(F.lit(opening), F.lit("{N}"), F.col("n_questions").cast("string"))
+    whole = prompts.where("_missing = 0").select("model", "batch_id", "n_questions", "qids", F.concat(head, F.lit("\n\n"), "_lines").alias("prompt"))
+    return whole, named.where(F.col("text").isNull()).select("model", "batch_id", "qid")
+
+
 def sibling_run(batch_items: DataFrame, subset: DataFrame) -> DataFrame:
     """Restrict batches to a question subset, keep the order, close the position gaps."""
     kept = batch_items.join(subset.select("qid").distinct(), "qid", "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from econcheck.operators import draw as D
 from econcheck.plans.durable import cut_lineage
+from econcheck.functions.text import fill_template
 from econcheck.plans.ranking import row_number_by_hash
 from econcheck.queries.frame import FVIEWS, HEADLINE, YEARS, excluded_cells
 from econcheck.queries.cte import sql
@@ -123,6 +124,25 @@ def t10_order(t: Tables):
     return D.order_for_models(b, MODELS, SEED).select("model", "batch_id", "qid", "position")
 
 
+_OPENING = "Answer the following {N} questions. Reply with one JSON array of {N} objects."
+
+
+@query(
+    "c12_prompts",
+    sql(f"""SELECT model, batch_id, count(*) AS n_questions, string_agg(qid, ',' ORDER BY n) AS qids,
+            replace('{_OPENING}', '{{N}}', CAST(count(*) AS VARCHAR)) || chr(10) || chr(10) || string_agg(CAST(n AS VARCHAR) || '. [' || qid || '] ' || text, chr(10) ORDER BY n) AS prompt
+        FROM (SELECT m.model, 'batch-' || CAST(o_custkey AS VARCHAR) AS batch_id, 'Q' || CAST(o_orderkey AS VARCHAR) AS qid, 'What was order ' || CAST(o_orderkey AS VARCHAR) || ' worth in ' || strftime(o_orderdate, '%Y') || '?' AS text,
+                row_number() OVER (PARTITION BY m.model, o_custkey ORDER BY sha256('{SEED}:' || m.model || ':batch-' || CAST(o_custkey AS VARCHAR) || ':Q' || CAST(o_orderkey AS VARCHAR))) AS n
+              FROM orders CROSS JOIN (VALUES ('1-URGENT'), ('2-HIGH'), ('3-MEDIUM'), ('4-NOT SPECIFIED'), ('5-LOW')) m(model))
+        GROUP BY model, batch_id"""),
+)
+def c12_prompts(t: Tables):
+    qid = F.concat(F.lit("Q"), F.col("o_orderkey").cast("string"))
+    batches = t.orders.select(F.concat(F.lit("batch-"), F.col("o_custkey").cast("string")).alias("batch_id"), qid.alias("qid"))
+    text = fill_template(F.lit("What was order {ORDER} worth in {YEAR}?"), {"ORDER": F.col("o_orderkey"), "YEAR": F.year("o_orderdate")})
+    return D.render_prompts(D.order_for_models(batches, MODELS, SEED), t.orders.select(qid.alias("qid"), text.alias("text")), _OPENING)[0]
+
+
 _N = f"row_number() OVER (ORDER BY sha256('{SEED}:qid-order:headline|' || indicator || '|' || iso3 || '|' || CAST(year AS VARCHAR)))"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from econcheck.functions import judge as J
 from econcheck.operators import answers as N
+from econcheck.operators import draw as D
 from econcheck.operators import score as S
 from econcheck.plans.durable import cut_lineage
 from econcheck.sources import artefacts as A
@@ -18,6 +19,9 @@ from econcheck.queries.inputs import FACTORS, MODELS, Tables
 from econcheck.queries.registry import query
 
 
+SEED = "9f2c"
+
+
 def order_key() -> F.Column:
     return F.col("o_orderkey")
 
@@ -53,10 +57,8 @@ def questions(t: Tables):
 
 
 def expected(q):
-    """Every model is asked every question; a batch is one customer's questions."""
-    return q.select(
-        F.explode(F.array(*[F.lit(m) for m in MODELS])).alias("model"), F.concat(F.lit("batch-"), F.col("custkey").cast("string")).alias("batch_id"), "qid"
-    )
+    """Every model is asked every question in its own seeded order; a batch is one customer's questions."""
+    return D.order_for_models(q.select(F.concat(F.lit("batch-"), F.col("custkey").cast("string")).alias("batch_id"), "qid"), MODELS, SEED)
 
 
 def answer_texts(t: Tables, q):
@@ -287,10 +289,13 @@ def a1(t: Tables):
     "a2_strata",
     ssql("""SELECT model, s AS stratum, v AS stratum_value, count(*) AS n, count(*) FILTER (WHERE status IN ('match', 'close')) AS within, count(*) FILTER (WHERE status = 'match') AS strict,
             count(*) FILTER (WHERE status = 'mismatch') AS mismatch, count(*) FILTER (WHERE status = 'refusal') AS refusal, round(count(*) FILTER (WHERE status IN ('match', 'close'))::DOUBLE / count(*), 4) AS wtr
-        FROM (SELECT model, status, unnest(['revision_class', 'tier', 'year']) AS s, unnest([cls, tier, CAST(year AS VARCHAR)]) AS v FROM head) GROUP BY 1, 2, 3"""),
+        FROM (SELECT model, status, unnest(['revision_class', 'tier', 'year', 'batch_position']) AS s, unnest([cls, tier, CAST(year AS VARCHAR), CAST(place AS VARCHAR)]) AS v
+              FROM head JOIN places USING (model, qid)) GROUP BY 1, 2, 3""",
+        places=f"""SELECT m.model, q.qid, row_number() OVER (PARTITION BY m.model, q.custkey ORDER BY sha256('{SEED}:' || m.model || ':batch-' || CAST(q.custkey AS VARCHAR) || ':' || q.qid)) AS place
+            FROM questions q CROSS JOIN models m"""),
 )
 def a2(t: Tables):
-    return S.strata(scored(t), ["revision_class", "tier", "year"])
+    return S.strata(scored(t), ["revision_class", "tier", "year", "batch_position"])
 
 
 @query(

@@ -100,3 +100,57 @@ def st1_stream(t: Tables):
     running.awaitTermination()
     out = read_usage(spark, f"{folder}/sums", by)
     return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))
+
+
+_PATHS = ["/v1/verify", "/v1/indicator/gdp_growth", "/v1/snapshot/Some%20Where/", "/v1/", "/v1/indicator/GDP!", "/admin"]
+_OPS = ["verify", "indicator", "snapshot", "index", "unknown", "unknown"]
+
+
+def _spelled(key) -> F.Column:
+    """A name in letters for a nation key, so that no name is part of another or one letter off."""
+    return F.initcap(F.substring(F.translate(F.sha2(key.cast("string"), 256), "0123456789", "ghijklmnop"), 1, 9))
+
+
+def named_events(t: Tables, events=None):
+    """Usage records whose country is a name, a code, an alias or something hostile, and whose operation is a path."""
+    k, nk = F.col("event_id"), F.col("user_id") % 25
+    names = t.nation.select(F.col("n_nationkey").cast("long").alias("_nk"), _spelled(F.col("n_nationkey")).alias("_name"))
+    source = t.events if events is None else events
+    place = (
+        F.when(k % 6 == 0, F.col("_name")).when(k % 6 == 1, F.concat(F.lit("N"), F.lpad(nk.cast("string"), 2, "0"))).when(k % 6 == 2, F.concat(F.lit("old "), F.lower("_name")))
+        .when(k % 6 == 3, F.concat(F.col("_name"), F.lit("; DROP TABLE x"))).when(k % 6 == 4, F.repeat(F.col("_name"), 12))
+    )
+    joined = source.withColumn("_nk", nk.cast("long")).join(F.broadcast(names), "_nk")  # one row per nation
+    return joined.select(
+        "ts", F.lit("rest").alias("transport"), F.element_at(F.array(*[F.lit(p) for p in _PATHS]), (k % len(_PATHS) + 1).cast("int")).alias("path"), F.lit(None).cast("string").alias("indicator"),
+        place.alias("country"), F.lit("match").alias("verdict"), F.lit("ok").alias("outcome"), (F.col("value") * 10).alias("duration_ms"),
+    )
+
+
+def named_economies(t: Tables):
+    return t.nation.select(
+        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("iso3"), F.lit(None).cast("string").alias("iso2"), _spelled(F.col("n_nationkey")).alias("name"),
+        F.array(F.concat(F.lit("Old "), _spelled(F.col("n_nationkey")))).alias("aliases"), F.col("n_nationkey").alias("ordinal"),
+    )
+
+
+_NAMED = f"""SELECT date_trunc('hour', ts) AS hour, (ARRAY{_OPS})[event_id % {len(_OPS)} + 1] AS op, CASE WHEN event_id % 6 <= 2 THEN 'N' || lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') ELSE '' END AS country,
+    CAST(round(value * 10) AS BIGINT) AS duration_ms, 1 AS ok FROM events"""
+
+
+@query("f16_named_usage", sql(f"SELECT op, country, {_MEASURES} FROM named GROUP BY op, country", named=_NAMED))
+def f16_named(t: Tables):
+    return U.roll_up(U.anonymise(named_events(t), named_economies(t)), ["op", "country"])
+
+
+@query("st1_named_stream", sql(f"SELECT strftime(hour, '%Y-%m-%d %H') AS window_start, op, country, {_MEASURES} FROM named GROUP BY ALL", named=_NAMED))
+def st1_named(t: Tables):
+    """The same records from a stream, each distinct country text resolved once and kept in a dictionary."""
+    spark = t.events.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/named-{uuid.uuid4().hex}"
+    by = ["op", "country"]
+    stream = named_events(t, read_event_stream(spark, f"{t.dir}/events.parquet*", t.events.schema))
+    running = start_usage_sink(stream, named_economies(t), by, f"{folder}/sums", f"{folder}/progress", dictionary=f"{folder}/names")
+    running.awaitTermination()
+    out = read_usage(spark, f"{folder}/sums", by)
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH"))

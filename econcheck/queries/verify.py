@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from econcheck.functions import citations as C
@@ -9,7 +11,9 @@ from econcheck.functions import judge as J
 from econcheck.functions import periods as P
 from econcheck.operators import chain as S
 from econcheck.operators import verify as V
+from econcheck.plans.durable import ensure_checkpoint_dir
 from econcheck.plans.joins import lookup_join
+from econcheck.sources import landed as L
 from econcheck.queries.cte import judge_sql, sql
 from econcheck.queries.inputs import INDICATORS, KINDS, TODAY, Tables, nation_code
 from econcheck.queries.registry import query
@@ -170,6 +174,23 @@ def j5(t: Tables):
     return out.select("claim_id", "edition", F.round("edition_value", 4).alias("edition_value"))
 
 
+@query(
+    "j5_from_archive",
+    sql("""SELECT c.claim_id, c.as_of, CAST(c.year0 AS VARCHAR) || '-04' AS edition, round(e.value, 4) AS edition_value
+        FROM (SELECT *, CAST(left(as_of, 4) AS INTEGER) AS year0 FROM claims WHERE as_of IS NOT NULL AND left(as_of, 4) >= '1999') c
+        LEFT JOIN editions e ON e.edition = CAST(c.year0 AS VARCHAR) || '-04' AND e.indicator = c.indicator AND e.iso3 = c.iso3 AND e.period = c.period"""),
+)
+def j5_from_archive(t: Tables):
+    """Claims pinned from 1999 on against the archive on disk, of which only their editions are read."""
+    path = f"{ensure_checkpoint_dir(t.spark)}/editions-{uuid.uuid4().hex}"
+    t.editions().repartition("edition").write.partitionBy("edition").parquet(path)
+    asked = t.claims().filter("left(as_of, 4) >= '1999'").withColumn("edition", P.edition_at(P.as_of_date(F.col("as_of"))))
+    dated = L.asked_editions(L.read_editions(t.spark, path).withColumn("edition", F.col("edition").cast("string")), asked)
+    dated = dated.select("edition", "indicator", "iso3", "period", F.col("value").alias("edition_value"))
+    out = lookup_join(asked, dated, ["edition", "indicator", "iso3", "period"], "claim_id")
+    return out.select("claim_id", "as_of", "edition", F.round("edition_value", 4).alias("edition_value"))
+
+
 # what verification should say, written independently from the claims up
 _VERIFY = f"""
     SELECT b.*, {judge_sql("claimed_value", "official", "(indicator = 'urgent_share')", "tolerance_abs", "tolerance_pct")} AS judged,

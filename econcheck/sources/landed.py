@@ -244,3 +244,14 @@ def read_editions(spark: SparkSession, path: str, edition: str | None = None) ->
     """Dated archive partitioned by ``edition``; one edition reads one partition, never a neighbour."""
     archive = spark.read.option("basePath", path).parquet(path)
     return archive if edition is None else archive.filter(F.col("edition") == edition)
+
+
+def asked_editions(archive: DataFrame, claims: DataFrame) -> DataFrame:
+    """The rows of the dated archive in the editions that ``claims(edition)`` name; the others are not read.
+
+    Partitions are pruned while the query runs, from the distinct editions of the claims:
+    two a year, whatever the number of claims, so they are broadcast.
+    """
+    # a condition on the label's form: Spark prunes by a side that it takes to be selective
+    wanted = claims.where(F.col("edition").rlike("^[0-9]{4}-[0-9]{2}$")).select("edition").distinct()
+    return archive.join(F.broadcast(wanted), "edition", "left_semi")

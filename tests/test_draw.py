@@ -247,3 +247,13 @@ def test_transient_verdicts_are_asked_again(spark):
 
     kept, removed = D.draw_verified(cells, lambda left, c, k: left, verify)
     assert asked == [10, 2, 2] and kept.count() == 10 and removed.count() == 0
+
+
+def test_prompts_are_numbered_in_each_models_order(spark):
+    ordered = spark.createDataFrame([("m", "b1", "Q1", 7), ("m", "b1", "Q2", 3), ("m", "b1", "Q3", 5), ("n", "b1", "Q1", 1), ("n", "b2", "Q9", 1), ("n", "b2", "Q1", 2)], "model string, batch_id string, qid string, position int")
+    questions = spark.createDataFrame([("Q1", "one?"), ("Q2", "two?"), ("Q3", "three?")], "qid string, text string")
+    prompts, missing = D.render_prompts(ordered, questions, "Answer {N}.")
+    got = {(r.model, r.batch_id): r for r in prompts.collect()}
+    assert got["m", "b1"].prompt == "Answer 3.\n\n1. [Q2] two?\n2. [Q3] three?\n3. [Q1] one?" and got["m", "b1"].qids == "Q2,Q3,Q1"
+    assert got["n", "b1"].prompt == "Answer 1.\n\n1. [Q1] one?" and len(got) == 2
+    assert [tuple(r) for r in missing.collect()] == [("n", "b2", "Q9")]

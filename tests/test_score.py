@@ -143,3 +143,15 @@ def test_vintage_preference(spark):
     assert first[0] == "2024-10" and "2026-04" not in first and "2020-10" not in first
     present = spark.createDataFrame([("2025-04",), ("2023-04",)], "edition string")
     assert G.pick_vintage(c, present).first().edition == "2025-04"
+
+
+def test_batch_position_reaches_the_strata(spark):
+    """An answer keeps the place its question had in the batch, also when it is missing from the output."""
+    expected = spark.createDataFrame([("m", "b", "q1", 3), ("m", "b", "q2", 1), ("m", "b", "q3", 2)], "model string, batch_id string, qid string, position int")
+    files = spark.createDataFrame([("m", "b", '[{"qid":"q3","value":1},{"qid":"q1","value":2}]', None)], "model string, batch_id string, original string, repair string")
+    answers, _ = N.align(expected, files)
+    assert {r.qid: (r.batch_position, r.format_failure) for r in answers.collect()} == {"q1": (3, False), "q2": (1, True), "q3": (2, False)}
+    assert {r.batch_position for r in N.align(expected.drop("position"), files)[0].collect()} == {None}
+    scored = spark.createDataFrame([("m", "match", "headline", 1), ("m", "mismatch", "headline", 1), ("m", "close", "headline", 2), ("m", "match", "headline", None)], "model string, status string, segment string, batch_position int")
+    got = {r.stratum_value: (r.n, r.within) for r in S.strata(scored, ["batch_position"]).collect()}
+    assert got == {"1": (2, 1), "2": (1, 1)}

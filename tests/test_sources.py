@@ -128,3 +128,13 @@ def test_no_payload_vanishes(spark, tmp_path):
     for mark in (L.imf_editions_marked, L.dbnomics_marked, L.sdmx_marked):
         _, bad, counts = L.land(payloads, mark, str(tmp_path / mark.__name__))
         assert counts["payloads"] == counts["quarantined"] == bad.count() == 8 and counts["rows"] == 0
+
+
+def test_only_asked_editions_are_read(spark, tmp_path):
+    rows = [(f"{y}-04", "debt", "USA", str(y), float(y)) for y in range(2010, 2020)]
+    spark.createDataFrame(rows, "edition string, indicator string, iso3 string, period string, value double").write.partitionBy("edition").parquet(str(tmp_path / "archive"))
+    claims = spark.createDataFrame([(1, "2015-04"), (2, "2015-04"), (3, "2017-04"), (4, ""), (5, "1990-04")], "claim_id int, edition string")
+    found = L.asked_editions(L.read_editions(spark, str(tmp_path / "archive")), claims)
+    assert sorted(r.edition for r in found.collect()) == ["2015-04", "2017-04"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
