@@ -73,7 +73,8 @@ def shaped_answers(requests: DataFrame, obs: DataFrame, chain: DataFrame, availa
         read = read.join(availability.select(*SERIES, "status"), SERIES, "full_outer")
     else:
         read = read.withColumn("status", F.lit(None).cast("string"))
-    rows = lookup_join(tried, read, SERIES, F.xxhash64("shape"))
+    # shapes are distinct, and a series has only so many windows and transforms: its key cannot run hot
+    rows = tried.join(read, SERIES, "left")
     mine = F.filter(F.coalesce("observations", F.array().cast(f"array<{_ROW}>")), lambda o: _inside(o["period"], F.col("start_year"), F.col("end_year")))
     rows = rows.withColumn("_o", F.explode_outer(mine)).select("shape", "source", "priority", "status", "n_series", "first_period", "last_period", "_o.*")
 

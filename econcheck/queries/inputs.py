@@ -151,7 +151,17 @@ class Tables:
         ).select("edition", "e.indicator", "iso3", "period", "year", "e.value", F.lit(None).cast("string").alias("note"))
 
     def claims(self) -> DataFrame:
-        """One claim per order about its nation and year; the factor decides what is wrong with it."""
+        """One claim per order about its nation and year; the factor decides what is wrong with it.
+
+        Claims are a table to the operators, which look at its keys before they join it, so
+        it is written once per query.
+        """
+        return self._claims
+
+    @cached_property
+    def _claims(self) -> DataFrame:
+        from econcheck.plans.durable import cut_lineage
+
         k, key = F.col("k"), F.col("o_orderkey")
         base = self.orders_by_nation().select("o_orderkey", "nk", "year").withColumn("k", ((key + F.col("year")) % 9).cast("int"))
         base = base.withColumn("indicator", F.element_at(F.array(*[F.lit(i) for i in INDICATORS]), (key % 4 + 1).cast("int")))
@@ -159,12 +169,12 @@ class Tables:
         c = base.join(official, ["nk", "year", "indicator"])
         factor = F.element_at(F.array(*[F.lit(f) for f in FACTORS]), k + 1)
         year = F.when(k == 7, F.col("year") - 1).when(k == 8, F.col("year") + 20).otherwise(F.col("year"))
-        return c.select(
+        return cut_lineage(c.select(
             key.alias("claim_id"), "indicator", nation_code(F.col("nk")).alias("iso3"), nation_code(F.col("nk")).alias("country"),
             year.cast("string").alias("period"), (F.col("value") * factor).alias("claimed_value"),
             F.when(key % 17 == 0, F.lit(1.0)).alias("tolerance_abs"), F.when(key % 13 == 0, F.lit(25.0)).alias("tolerance_pct"),
             F.when((key % 11 == 0) & F.col("indicator").isin(DATED), F.concat((F.col("year") + 1).cast("string"), F.lit("-06"))).alias("as_of"),
-        )
+        ))
 
     # --- long series ------------------------------------------------------------
 
