@@ -1,6 +1,6 @@
 """Economies: aliases, groups, area codes and currencies.
 
-The list of economies itself is a parameter: ``sources.listing.economies_from_listing``
+The list of economies itself is a parameter: ``sources.landed.economies_from_listing``
 reads the publisher's country listing a user has landed.  Only what the listing
 does not carry (aliases, group membership, area codes, currencies) is stated here.
 """

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from econcheck.dims import registry
+from econcheck.dims import economies, ledger, registry
 from econcheck.functions import text as N
 from econcheck.functions import units as U
 from econcheck.operators import resolve as R
+from econcheck.plans.joins import dim_join
 from econcheck.queries.cte import sql
 from econcheck.queries.inputs import Tables, nation_code
 from econcheck.queries.registry import query
@@ -54,31 +55,77 @@ def j16(t: Tables):
 
 @query(
     "j17_suggestions",
-    sql("""SELECT o_comment AS name, count(*) AS suggestions, max(score) AS best FROM (
+    sql("""SELECT o_comment AS name, CAST(rn AS INTEGER) AS position, n_name AS iso3, score FROM (
           SELECT q.o_comment, e.n_name, CASE WHEN starts_with(e.key, q.key) OR starts_with(q.key, e.key) THEN 3 WHEN contains(e.key, q.key) OR contains(q.key, e.key) THEN 2
               WHEN len(list_filter(string_split(q.key, ' '), lambda w: length(w) > 2 AND contains(e.key, w))) > 0 THEN 1 ELSE 0 END AS score,
-              row_number() OVER (PARTITION BY q.o_comment ORDER BY score DESC) AS rn
+              row_number() OVER (PARTITION BY q.o_comment ORDER BY score DESC, e.n_name) AS rn
           FROM (SELECT DISTINCT p_name AS o_comment, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key FROM part) q
           CROSS JOIN (SELECT n_name, lower(n_name) AS key FROM (SELECT DISTINCT p_type || ' ' || split_part(p_name, ' ', 2) || ' ' || p_brand AS n_name FROM part)
                       ) e0(n_name, key0) CROSS JOIN LATERAL (SELECT trim(regexp_replace(regexp_replace(key0, '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS key, e0.n_name) e)
-        WHERE score > 0 AND rn <= 5 GROUP BY 1"""),
+        WHERE score > 0 AND rn <= 5"""),
 )
 def j17(t: Tables):
     label = F.concat_ws(" ", F.col("p_type"), F.element_at(F.split("p_name", " "), 2), F.col("p_brand"))
     economies = t.part.select(label.alias("name")).distinct().withColumn("iso3", F.col("name"))
     s = R.suggest(t.part.select(F.col("p_name").alias("name")).distinct(), economies)
-    return s.groupBy("name").agg(F.count("*").alias("suggestions"), F.max("score").alias("best"))
+    return s.select("name", "position", "iso3", "score")
+
+
+_PLACES = sorted({*economies.SIDS, *economies.POLICY_RATE_AREAS, *economies.CURRENCY_ECONOMY.values()})
+_PLACE_LIST = "[" + ", ".join(f"'{c}'" for c in _PLACES) + "]"
+
+
+def _place(key) -> F.Column:
+    """One of the stated economies for a key."""
+    return F.element_at(F.array(*[F.lit(c) for c in _PLACES]), (key % len(_PLACES) + 1).cast("int"))
 
 
 @query(
     "j18_group_members",
-    sql("SELECT iso3, period, round(value, 4) AS value FROM annual WHERE indicator = 'order_value' AND iso3 IN ('N01', 'N02', 'N05', 'N11', 'N24')"),
+    sql(f"""SELECT custkey, place AS iso3, year, round(value, 4) AS value FROM (SELECT *, ({_PLACE_LIST})[custkey % {len(_PLACES)} + 1] AS place FROM customer_annual)
+        WHERE place IN ({", ".join(f"'{c}'" for c in economies.SIDS)})"""),
 )
 def j18(t: Tables):
-    from econcheck.dims.economies import members
+    placed = t.customer_annual().withColumn("iso3", _place(F.col("custkey")))
+    return economies.members(placed, economies.SIDS).select("custkey", "iso3", "year", F.round("value", 4).alias("value"))
+
+
+def _values(rows, names: str) -> str:
+    def text(x):
+        return "NULL" if x is None else str(x).upper() if isinstance(x, bool) else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
 
-    rows = members(t.annual().filter("indicator = 'order_value'"), ["N01", "N02", "N05", "N11", "N24"])
-    return rows.select("iso3", "period", F.round("value", 4).alias("value"))
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS v({names})"
+
+
+@query(
+    "s8_dimensions",
+    sql(
+        f"""SELECT i.key AS indicator, i.kind, i.unit, s.source, l.license_verdict, l.attribution IS NOT NULL AS attributed, count(*) AS orders, count(a.area) AS with_area, count(c.currency) AS with_currency,
+               coalesce(min(c.currency), '') AS first_currency
+        FROM (SELECT o_orderkey % {len(registry.INDICATORS)} AS ordinal, ({_PLACE_LIST})[o_custkey % {len(_PLACES)} + 1] AS iso3 FROM orders) o
+        JOIN reg8 i ON i.ordinal = o.ordinal LEFT JOIN chain8 s ON s.key = i.key LEFT JOIN ledger8 l ON l.source = s.source LEFT JOIN areas8 a ON a.iso3 = o.iso3
+        LEFT JOIN (SELECT iso3, min(currency) AS currency FROM currencies8 GROUP BY iso3) c ON c.iso3 = o.iso3
+        GROUP BY ALL""",
+        reg8=_values([(i, d["key"], d["kind"], d["unit"]) for i, d in enumerate(registry.INDICATORS)], "ordinal, key, kind, unit"),
+        chain8=_values([(d["key"], registry.chain_of(d)[0][0]) for d in registry.INDICATORS if registry.chain_of(d)], "key, source"),
+        ledger8=_values([(r[0], r[3], r[5]) for r in ledger.SOURCES], "source, license_verdict, attribution"),
+        areas8=_values(list(economies.POLICY_RATE_AREAS.items()), "iso3, area"),
+        currencies8=_values(list(economies.CURRENCY_ECONOMY.items()), "currency, iso3"),
+    ),
+)
+def s8(t: Tables):
+    """Registry, chains, licence ledger, areas and currencies, each joined to the orders as a table."""
+    spark = t.spark
+    asked = t.orders.select((F.col("o_orderkey") % len(registry.INDICATORS)).cast("int").alias("ordinal"), _place(F.col("o_custkey")).alias("iso3"))
+    listed = registry.indicator_table(spark).select("ordinal", "indicator", "kind", "unit")
+    first = registry.source_table(spark).where("priority = 1").select("indicator", "source")
+    licence = ledger.ledger_table(spark).select("source", "license_verdict", "attribution")
+    money = economies.currency_economies(spark).groupBy("iso3").agg(F.min("currency").alias("currency"))
+    rows = dim_join(dim_join(dim_join(asked, listed, ["ordinal"], "inner"), first, ["indicator"]), licence, ["source"])
+    rows = dim_join(dim_join(rows, economies.policy_rate_areas(spark), ["iso3"]), money, ["iso3"])
+    return rows.groupBy("indicator", "kind", "unit", "source", "license_verdict", F.col("attribution").isNotNull().alias("attributed")).agg(
+        F.count("*").alias("orders"), F.count("area").alias("with_area"), F.count("currency").alias("with_currency"), F.coalesce(F.min("currency"), F.lit("")).alias("first_currency")
+    )
 
 
 @query(

@@ -544,3 +544,44 @@ def c15(t: Tables):
 def v16(t: Tables):
     c = C.wdi_citation(F.col("p_brand"), F.col("p_name"), F.concat(F.lit("C"), F.col("p_size").cast("string")), F.lit("2026-08-08"), F.lit("2026-07-01"))
     return t.part.select("p_partkey", c.alias("c")).select("p_partkey", "c.citation_text", "c.apa", "c.bibtex")
+
+
+_DAY = "2026-08-08"
+_CITED = """SELECT p_partkey, p_partkey % 5 AS k,
+    CASE p_partkey % 5 WHEN 0 THEN 'International Monetary Fund' WHEN 1 THEN 'International Monetary Fund' WHEN 2 THEN p_brand WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'Bank for International Settlements' ELSE 'European Central Bank' END ELSE 'European Central Bank' END AS publisher,
+    CASE p_partkey % 5 WHEN 0 THEN 'World Economic Outlook (October 2001)' WHEN 1 THEN 'Outlook & data' WHEN 2 THEN 'Outlook & data' WHEN 3 THEN CASE WHEN p_size % 2 = 0 THEN 'BIS FLOW' ELSE 'ECB Data Portal FLOW' END ELSE 'Euro foreign exchange reference rates' END AS dataset,
+    CASE p_partkey % 5 WHEN 0 THEN 'imf/' || p_brand WHEN 1 THEN 'IMF/WEO:' || p_size || '/' || p_brand WHEN 2 THEN 'OECD/WEO:' || p_size || '/' || p_brand
+      WHEN 3 THEN (CASE WHEN p_size % 2 = 0 THEN 'bis' ELSE 'ecb' END) || '/FLOW/' || p_brand ELSE 'ECB/EURX' || p_size END AS sid,
+    CASE p_partkey % 5 WHEN 4 THEN 'EUR/X' || p_size || ' reference exchange rate' ELSE p_name END AS name,
+    CASE p_partkey % 5 WHEN 0 THEN 'https://www.imf.org/external/datamapper/' || p_brand || '@WEO/C' || p_size WHEN 1 THEN 'https://db.nomics.world/IMF/' || url_encode('WEO:' || p_size) || '/' || url_encode(p_brand)
+      WHEN 2 THEN 'https://db.nomics.world/OECD/' || url_encode('WEO:' || p_size) || '/' || url_encode(p_brand) WHEN 3 THEN 'https://data.example/' || p_brand
+      ELSE 'https://www.ecb.europa.eu/stats/policy_and_exchange_rates/euro_reference_exchange_rates/html/index.en.html' END AS url,
+    CASE p_partkey % 5 WHEN 0 THEN 'Source: International Monetary Fund' WHEN 1 THEN 'Source: International Monetary Fund' WHEN 2 THEN 'Source: ' || p_brand || ' (via DBnomics)'
+      WHEN 3 THEN 'Source: ' || (CASE WHEN p_size % 2 = 0 THEN 'Bank for International Settlements' ELSE 'European Central Bank' END) ELSE 'Source: European Central Bank euro foreign exchange reference rates' END AS attribution
+    FROM part"""
+
+
+def _escaped(x: str) -> str:
+    return rf"regexp_replace({x}, '([&%$#_])', '\\\1', 'g')"
+
+
+@query(
+    "v16_citation_forms",
+    sql(rf"""SELECT p_partkey, publisher || ', ' || dataset || ', series ' || sid || ' (' || name || '). Retrieved {_DAY} via Econcheck. ' || url AS citation_text,
+            publisher || '. (n.d.). ' || name || ' [Data set]. ' || dataset || '. Retrieved {_DAY}, from ' || url AS apa,
+            '@misc{{' || lower(regexp_extract(publisher, '^([A-Za-z]*)', 1)) || '_' || regexp_replace(sid, '[^A-Za-z0-9]+', '_', 'g') || '_2026,' || chr(10) || '  author = {{{{' || publisher || '}}}},' || chr(10)
+              || '  title = {{{{' || {_escaped('dataset')} || ': ' || {_escaped('name')} || '}}}},' || chr(10) || '  year = {{2026}},' || chr(10) || '  url = {{' || url || '}},' || chr(10)
+              || '  note = {{Series ' || {_escaped('sid')} || '. Retrieved {_DAY} via Econcheck. ' || {_escaped('attribution')} || '}}' || chr(10) || '}}' AS bibtex, attribution FROM cited""", cited=_CITED),
+)
+def v16_forms(t: Tables):
+    k, size, brand, name, day = F.col("p_partkey") % 5, F.col("p_size").cast("string"), F.col("p_brand"), F.col("p_name"), F.lit(_DAY)
+    imf = C.imf_citation(brand, F.lit("World Economic Outlook (October 2001)"), name, F.concat(F.lit("C"), size), F.lit("WEO"), day)
+    provider = F.when(k == 1, F.lit("IMF")).otherwise(F.lit("OECD"))
+    named = F.when(k == 1, F.lit("International Monetary Fund")).otherwise(brand)
+    other = C.aggregator_citation(provider, named, F.concat(F.lit("WEO:"), size), F.lit("Outlook & data"), brand, name, day)
+    sdmx = C.sdmx_citation(F.when(F.col("p_size") % 2 == 0, F.lit("BIS")).otherwise(F.lit("ECB")), F.lit("FLOW"), brand, name, F.concat(F.lit("https://data.example/"), brand), day)
+    fx = C.ecb_fx_citation(F.lit("EUR"), F.concat(F.lit("X"), size), day)
+    # the forms differ in nullability only
+    text = "struct<" + ",".join(f"{f}:string" for f in ("source", "dataset", "series_id", "series_name", "source_url", "license", "attribution", "retrieved_at", "citation_text", "bibtex", "apa")) + ">"
+    cited = F.when(k == 0, imf.cast(text)).when(k <= 2, other.cast(text)).when(k == 3, sdmx.cast(text)).otherwise(fx.cast(text))
+    return t.part.select("p_partkey", cited.alias("c")).select("p_partkey", "c.citation_text", "c.apa", "c.bibtex", "c.attribution")
