@@ -6,9 +6,10 @@
 2. Equal sets are one class. Two sets can only reach the threshold if they share a shingle
    among the first ``n - ceil(t n) + 1`` of either, so only those prefixes are shuffled.
 3. Members of a shared shingle are first compared with one leading member, a few times with
-   changing leaders. What then is one component needs no further comparison; every other pair
-   that shares enough prefix shingles is compared as well. No group of copies is expanded into
-   all its pairs.
+   changing leaders. What then is one component needs no further comparison; of the other pairs
+   that share a prefix shingle those are listed whose bit signatures leave room for the overlap
+   that is needed (a bound, so no link is lost), and those that share enough prefix shingles are
+   compared as well. No group of copies is expanded into all its pairs.
 4. Pairs are verified exactly. The partners of a set lie in a prefix tree, held as their
    sorted order: neighbours share the path of their common prefix and with it the partial
    overlap counted there, and a subtree is left as soon as the elements that remain cannot
@@ -30,6 +31,8 @@ COUNTERS = 1 << 20
 PART = 1 << 14
 FILTER_WORDS = 1 << 20
 ROUNDS = 4
+#: bits of a set's signature
+SIGNATURE = 1024
 U64 = np.uint64
 
 
@@ -77,9 +80,16 @@ def _ordered(s: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.unique((late[(s >> U64(44)).astype(np.int64)] << U64(60)) | (core.mix(s) >> U64(4)))
 
 
+def _signature(s: np.ndarray) -> bytes:
+    """A bit for every slot that an element of the set falls on."""
+    bits = np.zeros(SIGNATURE, dtype=bool)
+    bits[(core.mix(s ^ U64(0x3C3C3C3CC3C3C3C3)) % U64(SIGNATURE)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
 def _sets(docs: DataFrame, n: int, late, percent: int, prefix: bool) -> DataFrame:
-    """(doc_id, n, k1, k2): set size and 128-bit key of the set; or (doc_id, n, prefix): its first shingles."""
-    last = [("prefix", pa.binary())] if prefix else [("k1", pa.int64()), ("k2", pa.int64())]
+    """(doc_id, n, k1, k2, sig): set size, 128-bit key and bit signature of the set; or (doc_id, n, prefix): its first shingles."""
+    last = [("prefix", pa.binary())] if prefix else [("k1", pa.int64()), ("k2", pa.int64()), ("sig", pa.binary())]
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), *last])
 
     def rows(batches):
@@ -93,9 +103,9 @@ def _sets(docs: DataFrame, n: int, late, percent: int, prefix: bool) -> DataFram
                     if prefix:
                         yield [ids[lo + i], m, s[: m - _need(m, percent) + 1].astype("<u8").tobytes() if m else b""]
                     else:
-                        yield [ids[lo + i], m, *(int(x.sum(dtype=U64).astype(np.int64)) for x in (core.mix(s), core.mix(s ^ U64(0xA5A5A5A55A5A5A5A))))]
+                        yield [ids[lo + i], m, *(int(x.sum(dtype=U64).astype(np.int64)) for x in (core.mix(s), core.mix(s ^ U64(0xA5A5A5A55A5A5A5A)))), _signature(s)]
 
-    kind = "doc_id long, n long, " + ("prefix binary" if prefix else "k1 long, k2 long")
+    kind = "doc_id long, n long, " + ("prefix binary" if prefix else "k1 long, k2 long, sig binary")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda b: core.batches(rows(b), schema, 1024), kind)
 
 
@@ -146,8 +156,20 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.repartition("g").sortWithinPartitions("g").mapInArrow(rows, "g long, rep long, n int")
 
 
+def _room(n: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets ``x`` and ``y`` can overlap enough by their signatures.
+
+    A bit that only one of two signatures has comes from an element that only that set has, so
+    the sets differ in at least as many elements as the signatures differ in bits, and an overlap
+    of ``percent (x + y) / (100 + percent)`` leaves them only so many to differ in.
+    """
+    both = n[x].astype(np.int64) + n[y]
+    apart = np.bitwise_count(sig[x] ^ sig[y]).sum(1, dtype=np.int64)
+    return apart <= both - 2 * -(-percent * both // (100 + percent))
+
+
 def _across(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b, an, bn) once for each prefix shingle that two sets of fitting sizes and different components share."""
+    """(a, b, an, bn) once for each prefix shingle that two sets of fitting sizes, different components and near signatures share."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32())])
 
     def out(rep, n, x, y):
@@ -155,7 +177,15 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
         x, y = np.where(flip, y, x), np.where(flip, x, y)
         return pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y]), pa.array(n[x]), pa.array(n[y])], schema=schema)
 
-    def small(first, rep, n, comp):
+    def near_enough(n, sig, x, y):
+        """The pairs (x, y) that have room, a bounded number at a time."""
+        for i in range(0, len(x), 1 << 14):
+            px, py = x[i : i + (1 << 14)], y[i : i + (1 << 14)]
+            ok = _room(n, sig, px, py, percent)
+            if ok.any():
+                yield px[ok], py[ok]
+
+    def small(first, rep, n, comp, sig):
         """Groups of like sizes side by side: every row against the row ``d`` before it, for each ``d``."""
         place = np.arange(len(rep)) - first
         at = np.flatnonzero(place > 0)
@@ -165,10 +195,10 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
             at = at[place[at] >= d]
             at = at[n[at - d] >= _need(n[at].astype(np.int64), percent)]  # sizes fall further back
             hit = at[comp[at] != comp[at - d]]
-            for i in range(0, len(hit), 1 << 16):
-                yield out(rep, n, hit[i : i + (1 << 16)], hit[i : i + (1 << 16)] - d)
+            for x, y in near_enough(n, sig, hit, hit - d):
+                yield out(rep, n, x, y)
 
-    def large(rep, n, comp):
+    def large(rep, n, comp, sig):
         """One group: only members outside its largest component are compared, with all that fit."""
         names, counts = np.unique(comp, return_counts=True)
         main = names[counts.argmax()]
@@ -177,10 +207,10 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
             hi = int(np.searchsorted(n, int(n[i]) * 100 // percent, side="right"))
             near = np.arange(lo, hi)
             near = near[(comp[lo:hi] != comp[i]) & ((comp[lo:hi] == main) | (near < i))]
-            if len(near):
-                yield out(rep, n, np.full(len(near), i), near)
+            for x, y in near_enough(n, sig, np.full(len(near), i), near):
+                yield out(rep, n, x, y)
 
-    def emit(g, rep, n, comp):
+    def emit(g, rep, n, comp, sig):
         new = np.concatenate(([True], g[1:] != g[:-1]))
         start = np.flatnonzero(new)
         size = np.diff(np.append(start, len(g)))
@@ -188,16 +218,16 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
         few = np.repeat(~big, size)
         if few.any():
             first = np.maximum.accumulate(np.where(new[few], np.arange(few.sum()), 0))
-            yield from small(first, rep[few], n[few], comp[few])
+            yield from small(first, rep[few], n[few], comp[few], sig[few])
         for lo, m in zip(start[big], size[big], strict=True):
-            yield from large(rep[lo : lo + m], n[lo : lo + m], comp[lo : lo + m])
+            yield from large(rep[lo : lo + m], n[lo : lo + m], comp[lo : lo + m], sig[lo : lo + m])
 
     def rows(batches):
         held: list[np.ndarray] = []
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            cols = [batch.column(i).to_numpy() for i in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=U64).reshape(-1, SIGNATURE // 64)]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))  # the group that may go on
@@ -208,7 +238,7 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
             yield from emit(*held)
 
     kept = shared.repartition("g").sortWithinPartitions("g", "n", "rep")
-    return kept.select("g", "rep", "n", "comp").mapInArrow(rows, "a long, b long, an int, bn int").where("a <> b")
+    return kept.select("g", "rep", "n", "comp", "sig").mapInArrow(rows, "a long, b long, an int, bn int").where("a <> b")
 
 
 def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -323,7 +353,7 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     late = spark.sparkContext.broadcast(_classes_of_counters(_counters(docs, n)))
     sets = written(_sets(docs, n, late, percent, prefix=False))
     known = sets.where("n > 0 and doc_id is not null")
-    classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")))
+    classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     prefixes = _sets(docs, n, late, percent, prefix=True).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shared = written(_shared(_postings(prefixes.withColumnRenamed("doc_id", "rep"))))
 
@@ -346,7 +376,8 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         if fresh.isEmpty():
             break
     mixed = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    rest = _likely(_across(labelled.join(mixed, "g", "left_semi"), percent), percent)
+    open_sets = labelled.join(mixed, "g", "left_semi").join(classes.select("rep", "n", "sig"), ["rep", "n"])
+    rest = _likely(_across(open_sets, percent), percent)
     rest = written(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         comp = components(found.union(links(rest)))
