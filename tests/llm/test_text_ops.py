@@ -290,3 +290,43 @@ def test_words_and_hashes_do_not_depend_on_the_run():
             found += [h[doc == i].tolist() for i in range(m)]
         seen.append(found)
     assert seen[0] == seen[1] == seen[2] and [len(x) for x in seen[0]] == [3, 0, 0, 2, 3] and seen[0][0][0] == seen[0][4][2]
+
+
+def test_signatures_never_lose_a_link():
+    """Pairs just above the threshold always have room; most pairs well below it have none."""
+    rng = np.random.default_rng(11)
+    far = 0
+    for _ in range(300):
+        size = int(rng.integers(1, 400))
+        a = np.unique(rng.integers(0, 1 << 60, size, dtype=np.uint64))
+        for share in (1.0, 0.86, 0.75, 0.5, 0.0):
+            kept = a[: int(np.ceil(len(a) * share))]
+            b = np.unique(np.concatenate((kept, rng.integers(0, 1 << 60, int(rng.integers(0, max(1, size // 5))), dtype=np.uint64))))
+            if not len(b):
+                continue
+            sig = np.stack([np.frombuffer(ngram_join._signature(s), dtype=np.uint64) for s in (a, b)])
+            ok = ngram_join._room(np.array([len(a), len(b)]), sig, np.array([0]), np.array([1]), 75)[0]
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 75 * (len(a) + len(b) - both)
+            assert ok or not linked
+            far += 100 * both < 55 * (len(a) + len(b) - both) and not ok
+    assert far > 400
+
+
+def test_unlinked_near_copies_are_not_listed(llm, monkeypatch):
+    """A large group that shares a passage, with no link inside it, emits fewer rows than it has holders."""
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = llm.createDataFrame([(i, passage + " " + " ".join(f"{i}x{rng.random()}" for _ in range(60))) for i in range(400)], "doc_id long, text string")
+    seen = []
+    real = ngram_join._across
+
+    def counted(shared, percent):
+        out = real(shared, percent)
+        seen.append((shared.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    got = ngram_join.ngram_components(docs).collect()
+    assert all(r.doc_id == r.component_id for r in got) and len(got) == 400
+    assert all(listed <= holders for holders, listed in seen)
