@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from econcheck.llm.store import release
+
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in ``links(a, b)``; component is the smallest id that can be reached.
@@ -26,5 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+        del both, low, large, small_low, small
+        release(links.sparkSession)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from econcheck.llm import core
 from econcheck.llm.components import components
-from econcheck.llm.store import written
+from econcheck.llm.store import release, written
 
 COUNTERS = 1 << 20
 PART = 1 << 14
@@ -356,10 +356,13 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
     classes = written(known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
     prefixes = _sets(docs, n, late, percent, prefix=True).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     shared = written(_shared(_postings(prefixes.withColumnRenamed("doc_id", "rep"))))
+    release(spark)
 
     def links(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        return written(_linked(pairs, _wanted_sets(docs, ids, n, late), percent).distinct())
+        out = written(_linked(pairs, _wanted_sets(docs, ids, n, late), percent).distinct())
+        release(spark)
+        return out
 
     reps = known.join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
     repeated = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
@@ -370,15 +373,17 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         pairs = written(_star(labelled, turn, percent))
         fresh = links(pairs)
         tested = pairs if tested is None else tested.union(pairs)
-        found = found.union(fresh)
+        found = written(found.union(fresh))
         comp = components(found)
         labelled = written(shared.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+        release(spark)
         if fresh.isEmpty():
             break
     mixed = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
     open_sets = labelled.join(mixed, "g", "left_semi").join(classes.select("rep", "n", "sig"), ["rep", "n"])
     rest = _likely(_across(open_sets, percent), percent)
     rest = written(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+    release(spark)
     if not rest.isEmpty():
         comp = components(found.union(links(rest)))
     of_class = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,3 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files, broadcasts and checkpoints of tables that nothing refers to any more.
+
+    Its cleaner acts when the driver collects garbage, which a driver with little to do may not
+    do for half an hour; loops of many small jobs call this between rounds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
