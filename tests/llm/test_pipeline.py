@@ -67,5 +67,5 @@ def test_url_query_equals_its_sql(llm, sf):
 
 
 def test_names_of_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert set(corpus_pipeline.queries()) == {"pipeline"}
