@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from econcheck.dims import registry
 from econcheck.functions.text import deletion_keys, grams, name_key, short_name, within_one_edit
+from econcheck.plans.durable import cut_lineage
 from econcheck.plans.joins import lookup_join
 
 MIN_CONTAINMENT = 4
@@ -94,11 +95,12 @@ def resolve_distinct(names: DataFrame, economies: DataFrame, strict: bool = Fals
     # of economies that share a code, the first in the listing
     codes = spelled.groupBy("code").agg(F.min_by("iso3", F.struct("_listed", "iso3")).alias("by_code"))
     index = name_index(economies).withColumnRenamed("iso3", "by_name").withColumnRenamed("name_key", "key")
-    step1 = inputs.join(codes, "code", "left").join(index, "key", "left")
+    # the cascade looks at these rows and names seven times: written once, they are plain tables to it
+    step1 = cut_lineage(inputs.join(codes, "code", "left").join(index, "key", "left"))
     open_keys = (
         step1.filter(F.col("by_code").isNull() & F.col("by_name").isNull() & (F.length("key") >= MIN_CONTAINMENT)).select("key").distinct()
     )
-    primary = economies.select("iso3", name_key(F.col("name")).alias("name_key")).filter(F.col("name_key") != "")
+    primary = cut_lineage(economies.select("iso3", name_key(F.col("name")).alias("name_key")).filter(F.col("name_key") != ""))
     contained = _unique_hit(containment_pairs(open_keys, primary, MIN_CONTAINMENT), "contains").select("key", F.col("iso3").alias("by_part"))
     fuzzy_keys = open_keys.filter(F.length("key") >= MIN_FUZZY)
     fuzzy = _unique_hit(one_edit_pairs(fuzzy_keys, primary), "one_edit").select("key", F.col("iso3").alias("by_edit"))
@@ -198,9 +200,10 @@ def search_indicators(queries: DataFrame, text: str, key: str, limit: int | None
 def extract_country(queries: DataFrame, text: str, key: str, economies: DataFrame, max_words: int | None = None, default: str = "WLD") -> DataFrame:
     """Economy named in a search text: longest word run first, then leftmost, strict resolution.
 
-    The whole text is searched; ``max_words`` restricts it to a beginning.
+    The whole text is searched; ``max_words`` restricts it to a beginning.  Equal texts are
+    cut and looked up once.
     """
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split("_text", r"\s+"), lambda w: w != "")
     words = words if max_words is None else F.slice(words, 1, max_words)
     n_words = F.size("words")
     runs = F.flatten(
@@ -212,8 +215,11 @@ def extract_country(queries: DataFrame, text: str, key: str, economies: DataFram
             ),
         )
     )
-    spread = queries.select(key, words.alias("words")).select(key, F.explode(runs).alias("r")).select(key, "r.*")
+    asked = queries.select(key, F.col(text).alias("_text"))
+    texts = cut_lineage(asked.select("_text").filter(F.col("_text").isNotNull()).distinct())
+    spread = texts.select("_text", words.alias("words")).select("_text", F.explode(runs).alias("r")).select("_text", "r.*")
     spread = spread.filter(F.length("run") >= 2)
-    resolved = resolve_names(spread, "run", economies, key, strict=True)
-    best = resolved.filter(F.col("iso3").isNotNull()).groupBy(key).agg(F.min_by("iso3", F.struct("neg_n", "at")).alias("iso3"))
+    resolved = resolve_names(spread, "run", economies, "_text", strict=True).filter(F.col("iso3").isNotNull())
+    found = resolved.groupBy("_text").agg(F.min(F.struct("neg_n", "at", "iso3")).alias("_best"))
+    best = lookup_join(asked, found, ["_text"], key, "inner").groupBy(key).agg(F.min("_best")["iso3"].alias("iso3"))
     return queries.select(key).join(best, key, "left").select(key, F.coalesce("iso3", F.lit(default)).alias("iso3"))

@@ -121,3 +121,12 @@ def test_hostile_usage_never_reaches_a_column(spark):
     assert got[2] == ("mcp", "x", "worldbank/*", "", "close", "ok", "lt50ms", 0, 1)
     paths = spark.createDataFrame([("/v1/",), ("/v1/verify",), ("/v1/indicator/gdp_growth",), ("/v1/snapshot/x%20y",), ("/etc/passwd",)], "p string")
     assert [r[0] for r in paths.select(U.op_of_path(F.col("p"))).collect()] == ["index", "verify", "indicator", "snapshot", "unknown"]
+
+
+def test_country_texts_are_read_a_bounded_number_of_times(spark):
+    """The cascade looks at its inputs often; the plan must not hold them once per look."""
+    economies = spark.createDataFrame([("AAA", "AA", "Alpha Land", ["old alpha"]), ("BBB", "BB", "Beta Land", [])], "iso3 string, iso2 string, name string, aliases array<string>")
+    texts = spark.range(60).select("id", F.concat(F.lit("rate for "), F.when(F.col("id") % 3 == 0, "Alpha Land").when(F.col("id") % 3 == 1, "BBB").otherwise("nowhere")).alias("q"))
+    out = R.extract_country(texts, "q", "id", economies)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") <= 6
+    assert {r.id: r.iso3 for r in out.collect()} == {i: ("AAA", "BBB", "WLD")[i % 3] for i in range(60)}
