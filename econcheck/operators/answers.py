@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from econcheck.plans.barrier import evaluate_once
-
+from econcheck.plans.barrier import let
 
 
 def strict_array(text: Column) -> Column:
     """VARIANT of a text that is exactly one JSON array; NULL otherwise (no salvage)."""
-    t = F.trim(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"^\s+|\s+$", ""))
-    return F.when(t.startswith("["), F.try_parse_json(t))
+    t = F.btrim(F.regexp_replace(text, "^﻿", ""), F.lit(" \t\n\x0b\f\r"))
+    return let(t, lambda x: F.when(x.startswith("["), F.try_parse_json(x)))
 
 
 def strip_fences(text: Column) -> Column:
@@ -56,19 +55,15 @@ def typed_fields(df: DataFrame, item: str) -> DataFrame:
     """Append the checked fields of a VARIANT item and ``parse_flags``; a quoted number is not a number.
 
     First the JSON type of each field is read once, then values and flags follow
-    from the types.
+    from the types.  All are plain columns, so a caller pays only for the fields it goes on with.
     """
     v = F.col(item)
-    df = evaluate_once(
-        df, F.struct(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("_obj"), *[_schema_of(v, f).alias(f"_t_{f}") for f in FIELDS])
-    )
+    df = df.withColumns({"_obj": F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), **{f"_t_{f}": _schema_of(v, f) for f in FIELDS}})
     t = {f: F.col(f"_t_{f}") for f in FIELDS}
     number = {f: F.when(_is_number(t[f]), F.try_variant_get(v, f"$.{f}", "double")) for f in ("value", "year_basis", "confidence")}
     text = {f: F.when(t[f] == "STRING", F.try_variant_get(v, f"$.{f}", "string")) for f in ("unit", "basis_note")}
     refused = F.when(t["refused"] == "BOOLEAN", F.try_variant_get(v, "$.refused", "boolean"))
-    df = evaluate_once(
-        df, F.struct(*[number[f].alias(f"_n_{f}") for f in number], *[text[f].alias(f"_s_{f}") for f in text], refused.alias("_b_refused"))
-    )
+    df = df.withColumns({**{f"_n_{f}": number[f] for f in number}, **{f"_s_{f}": text[f] for f in text}, "_b_refused": refused})
     whole = F.col("_n_year_basis") == F.floor("_n_year_basis")
     sure = F.col("_n_confidence").between(0, 1)
 
@@ -106,7 +101,8 @@ def _elements(parsed: Column) -> Column:
 
 def _item_id(item: Column) -> Column:
     """Trimmed qid of an element; NULL when it is no object, has no text qid, or an empty one."""
-    return F.when(_schema_of(item, "qid") == "STRING", F.nullif(F.trim(F.try_variant_get(item, "$.qid", "string")), F.lit("")))
+    trimmed = F.trim(F.try_variant_get(item, "$.qid", "string"))
+    return F.when(_schema_of(item, "qid") == "STRING", let(trimmed, lambda q: F.when(q != "", q)))
 
 
 def parsed_items(batches: DataFrame) -> DataFrame:
@@ -125,10 +121,14 @@ def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
     Models without any raw file stay absent: not called is not the same as failed.
     """
     placed = F.col("position") if "position" in expected.columns else F.lit(None).cast("int")
-    listed = F.array_sort(F.collect_list(F.struct(placed.cast("int").alias("position"), "qid")))
-    wanted = expected.groupBy("model", "batch_id").agg(listed.alias("asked")).withColumn("qids", F.transform("asked", lambda a: a["qid"]))
-    called = files.select("model").distinct()  # at most the roster
-    both = wanted.join(called, "model", "left_semi").join(files, ["model", "batch_id"], "left")
+    batch = Window.partitionBy("model", "batch_id")
+    # ordered questions lie sorted by batch already: a window lists them in that pass, its first row stands for the batch
+    listed = F.collect_list(F.struct(placed.cast("int").alias("position"), "qid")).over(batch)
+    rows = expected.withColumn("_at", F.monotonically_increasing_id()).select("model", "batch_id", "_at", listed.alias("asked"), F.min("_at").over(batch).alias("_first"))
+    wanted = rows.where("_at = _first").select("model", "batch_id", F.array_sort("asked").alias("asked")).withColumn("qids", F.transform("asked", lambda a: a["qid"]))
+    # the roster in one row: a join on the few models would send every batch to a handful of tasks
+    called = files.agg(F.collect_set("model")).scalar()
+    both = wanted.where(F.array_contains(called, F.col("model"))).join(files, ["model", "batch_id"], "left")
     opened = parse_batches(both).withColumn("elements", _elements(F.col("parsed")))
     return opened.withColumn("ids", F.transform("elements", _item_id)).drop("original", "repair", "parsed")
 
@@ -145,8 +145,9 @@ def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = lambda q: F.coalesce(F.array_position("ids", q), F.lit(0))
     picked = F.transform(
         "asked",
-        lambda a: F.struct(
-            a["qid"].alias("qid"), a["position"].alias("batch_position"), (place(a["qid"]) == 0).alias("_failed"), F.get(F.col("elements"), (place(a["qid"]) - 1).cast("int")).alias("_item")
+        lambda a: let(
+            place(a["qid"]),
+            lambda at: F.struct(a["qid"].alias("qid"), a["position"].alias("batch_position"), (at == 0).alias("_failed"), F.get(F.col("elements"), (at - 1).cast("int")).alias("_item")),
         ),
     )
     per_qid = opened.withColumn("_q", F.explode(picked)).select("model", "batch_id", "repaired", "outcome", "_q.*")

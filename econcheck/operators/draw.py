@@ -351,7 +351,8 @@ def pack_batches(bank: DataFrame, seed: str, size: int = B.BATCH_SIZE, max_probe
 
 def order_for_models(batches: DataFrame, models: list[str], seed: str) -> DataFrame:
     """(model, batch_id, qid, position): membership shared, order seeded per model and batch."""
-    spread = batches.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+    # rows meet before they get their keys: a hash is four times as long as the row it orders
+    spread = batches.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).repartition("model", "batch_id")
     key = seeded_key(seed, F.concat_ws(":", "model", "batch_id"), F.col("qid"))
     return spread.withColumn("_key", key).withColumn(
         "position", F.row_number().over(Window.partitionBy("model", "batch_id").orderBy("_key"))

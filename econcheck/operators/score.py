@@ -38,7 +38,7 @@ def score_answers(answers: DataFrame, truth: DataFrame, revisions: DataFrame | N
     # a qid has at most one answer per roster model, so the key cannot run hot
     rows = answers.join(t, "qid")
     unit = declared_unit(F.col("unit"), F.col("kind"))
-    rows = evaluate_once(rows, F.struct(unit["ok"].alias("_unit_ok"), unit["factor"].alias("_factor"), unit["reason"].alias("_unit_reason")))
+    rows = evaluate_once(rows, unit.cast("struct<_unit_ok:boolean,_factor:double,_unit_reason:string>"))
     official = F.col("official_value")
     kind, cls, segment = F.col("kind"), F.col("revision_class"), F.col("segment")
     early = (

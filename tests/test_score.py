@@ -155,3 +155,29 @@ def test_batch_position_reaches_the_strata(spark):
     scored = spark.createDataFrame([("m", "match", "headline", 1), ("m", "mismatch", "headline", 1), ("m", "close", "headline", 2), ("m", "match", "headline", None)], "model string, status string, segment string, batch_position int")
     got = {r.stratum_value: (r.n, r.within) for r in S.strata(scored, ["batch_position"]).collect()}
     assert got == {"1": (2, 1), "2": (1, 1)}
+
+
+def test_unit_is_tokenised_once(spark):
+    from econcheck.functions.units import declared_unit
+
+    plan = spark.range(1).select(F.col("id").cast("string").alias("u")).select(declared_unit(F.col("u"), F.lit("level")).alias("d"))
+    assert plan._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 1
+
+
+def test_batches_are_not_dealt_out_by_model(spark):
+    """The roster has a handful of names: an exchange on the model alone leaves that many tasks with rows."""
+    import re
+
+    from econcheck.operators import answers as N
+    from econcheck.operators import draw as D
+
+    batches = spark.range(40).select(F.concat(F.lit("batch-"), (F.col("id") % 5).cast("string")).alias("batch_id"), F.concat(F.lit("Q"), F.col("id").cast("string")).alias("qid"))
+    expected = D.order_for_models(batches, ["a", "b", "c"], "s")
+    files = expected.filter("model <> 'c'").groupBy("model", "batch_id").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.collect_list("qid"), lambda q: F.concat(F.lit('{"qid":"'), q, F.lit('","value":1}'))), ","), F.lit("]")).alias("original")
+    ).withColumn("repair", F.lit(None).cast("string"))
+    answers, extra = N.align(expected, files)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(model#\d+, \d+\)", plan)
+    got = {(r.model, r.qid) for r in answers.filter("value = 1 AND NOT format_failure").collect()}
+    assert got == {(m, f"Q{i}") for m in "ab" for i in range(40)} and answers.count() == 80 and extra.count() == 0
