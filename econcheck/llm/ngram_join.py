@@ -33,6 +33,10 @@ FILTER_WORDS = 1 << 20
 ROUNDS = 4
 #: bits of a set's signature
 SIGNATURE = 1024
+#: listed pairs that a task adds up before it hands them on
+HELD_PAIRS = 1 << 19
+#: shingles with more holders than this, and the same leading holder, are dealt to several buckets
+BUCKET_HOLDERS = 256
 U64 = np.uint64
 
 
@@ -168,14 +172,28 @@ def _room(n: np.ndarray, sig: np.ndarray, x: np.ndarray, y: np.ndarray, percent:
     return apart <= both - 2 * -(-percent * both // (100 + percent))
 
 
+def _added_up(pairs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, an, bn, shared) with every pair once, ``shared`` summed."""
+    a, b, an, bn, shared = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    order = np.lexsort((b, a))
+    a, b, an, bn, shared = (x[order] for x in (a, b, an, bn, shared))
+    first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    return a[first], b[first], an[first], bn[first], np.add.reduceat(shared, first)
+
+
 def _across(shared: DataFrame, percent: int) -> DataFrame:
-    """(a, b, an, bn) once for each prefix shingle that two sets of fitting sizes, different components and near signatures share."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32())])
+    """(a, b, an, bn, shared) of sets of fitting sizes, different components and near signatures that share prefix shingles.
+
+    ``shared(g, rep, n, comp, sig, bucket)``: shingles of one bucket, which mostly have the same
+    holders, come one after the other, so a task lists a pair about once, with the number of its
+    shared shingles there; a pair may come again from another bucket.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("an", pa.int32()), ("bn", pa.int32()), ("shared", pa.int64())])
 
     def out(rep, n, x, y):
         flip = rep[x] > rep[y]
         x, y = np.where(flip, y, x), np.where(flip, x, y)
-        return pa.RecordBatch.from_arrays([pa.array(rep[x]), pa.array(rep[y]), pa.array(n[x]), pa.array(n[y])], schema=schema)
+        return rep[x], rep[y], n[x], n[y], np.ones(len(x), np.int64)
 
     def near_enough(n, sig, x, y):
         """The pairs (x, y) that have room, a bounded number at a time."""
@@ -222,7 +240,7 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
         for lo, m in zip(start[big], size[big], strict=True):
             yield from large(rep[lo : lo + m], n[lo : lo + m], comp[lo : lo + m], sig[lo : lo + m])
 
-    def rows(batches):
+    def listed(batches):
         held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
@@ -230,15 +248,31 @@ def _across(shared: DataFrame, percent: int) -> DataFrame:
             cols = [batch.column(i).to_numpy() for i in range(4)] + [np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=U64).reshape(-1, SIGNATURE // 64)]
             if held:
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the group that may go on
+            ends = np.flatnonzero(cols[0][1:] != cols[0][:-1])
+            last = int(ends[-1]) + 1 if len(ends) else 0  # the group that may go on
             if last:
                 yield from emit(*(c[:last] for c in cols))
             held = [c[last:] for c in cols]
         if held:
             yield from emit(*held)
 
-    kept = shared.repartition("g").sortWithinPartitions("g", "n", "rep")
-    return kept.select("g", "rep", "n", "comp", "sig").mapInArrow(rows, "a long, b long, an int, bn int").where("a <> b")
+    def rows(batches):
+        kept, size = [], 0
+        for pairs in listed(batches):
+            kept.append(pairs)
+            size += len(pairs[0])
+            if size < HELD_PAIRS:
+                continue
+            kept = [_added_up(kept)]
+            size = len(kept[0][0])
+            if size > HELD_PAIRS // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept[0]], schema=schema)
+                kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added_up(kept)], schema=schema)
+
+    kept = shared.repartition("bucket").sortWithinPartitions("bucket", "g", "n", "rep")
+    return kept.select("g", "rep", "n", "comp", "sig").mapInArrow(rows, "a long, b long, an int, bn int, shared long").where("a <> b")
 
 
 def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -251,19 +285,19 @@ def _star(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
     leads = labelled.groupBy("g").agg(first.alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "l.lead", "l.lead_n", "l.lead_comp")
     met = labelled.join(leads, "g").where("comp <> lead_comp").where(f"100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
     sized = met.select(F.col("lead").alias("a"), F.col("rep").alias("b"), F.col("lead_n").alias("an"), F.col("n").alias("bn"))
-    best = _likely(sized, percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    best = _likely(sized.withColumn("shared", F.lit(1)), percent).groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
     return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, percent: int) -> DataFrame:
-    """(a, b, an, bn, shared) of the pairs that share enough prefix shingles.
+    """(a, b, an, bn, shared) of the pairs that share enough prefix shingles, of ``pairs`` with parts of that number.
 
     With sizes x and y the overlap must reach ``o = percent (x + y) / (100 + percent)``. Behind
     the prefix that ends first lie at most ``ceil(percent / 100 max(x, y)) - 1`` common
     shingles, so the rest of ``o`` must be shared inside the prefixes.
     """
     least = F.expr(f"({percent} * (an + bn) + {99 + percent}) div {100 + percent} - ((greatest(an, bn) * {percent} + 99) div 100 - 1)")
-    return pairs.groupBy("a", "b", "an", "bn").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    return pairs.groupBy("a", "b", "an", "bn").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= least)
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -379,8 +413,11 @@ def ngram_components(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFram
         release(spark)
         if fresh.isEmpty():
             break
-    mixed = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g")
-    open_sets = labelled.join(mixed, "g", "left_semi").join(classes.select("rep", "n", "sig"), ["rep", "n"])
+    # near copies share many shingles: those with the same leading holder are dealt to one task, unless they are held by very many
+    bucket = F.xxhash64("lead", F.pmod("g", F.greatest(F.col("holders") / BUCKET_HOLDERS, F.lit(1)).cast("long")))
+    held = labelled.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("lead"), F.count("*").alias("holders"))
+    mixed = held.where("lo <> hi").select("g", bucket.alias("bucket"))
+    open_sets = labelled.join(mixed, "g").join(classes.select("rep", "n", "sig"), ["rep", "n"])
     rest = _likely(_across(open_sets, percent), percent)
     rest = written(rest.select("a", "b").join(tested, ["a", "b"], "left_anti"))
     release(spark)

@@ -330,3 +330,37 @@ def test_unlinked_near_copies_are_not_listed(llm, monkeypatch):
     got = ngram_join.ngram_components(docs).collect()
     assert all(r.doc_id == r.component_id for r in got) and len(got) == 400
     assert all(listed <= holders for holders, listed in seen)
+
+
+def test_pairs_are_listed_about_once(llm, monkeypatch):
+    """Sets just below the threshold share many prefix shingles; a pair is not listed for each of them."""
+    passage = " ".join(f"p{i}" for i in range(460))
+    docs = llm.createDataFrame([(i, passage + " " + " ".join(f"{i}x{j}" for j in range(80))) for i in range(20)], "doc_id long, text string")
+    seen = []
+    real = ngram_join._across
+
+    def counted(shared, percent):
+        out = real(shared, percent)
+        seen.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_across", counted)
+    got = ngram_join.ngram_components(docs).collect()
+    assert all(r.doc_id == r.component_id for r in got) and len(got) == 20
+    assert seen and all(pairs == 190 and listed <= 3 * pairs for listed, pairs in seen)
+
+
+def test_ngram_components_with_small_buckets(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HELD_PAIRS", 50)
+    monkeypatch.setattr(ngram_join, "BUCKET_HOLDERS", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1)
+    rng = random.Random(9)
+    base = ["".join(rng.choices(LOWER, k=5)) for _ in range(120)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in range(i // 6):
+            w[(7 * j + i) % 120] = f"v{i % 10}x{j}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_components(docs_of(*rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
