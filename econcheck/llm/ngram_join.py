@@ -35,8 +35,8 @@ ROUNDS = 4
 SIGNATURE = 1024
 #: listed pairs that a task adds up before it hands them on
 HELD_PAIRS = 1 << 19
-#: shingles with more holders than this, and the same leading holder, are dealt to several buckets
-BUCKET_HOLDERS = 256
+#: shingles with twice as many holders as this, and the same leading holder, are dealt to several buckets
+BUCKET_HOLDERS = 1024
 U64 = np.uint64
 
 
