@@ -25,7 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-WORDS_HELD = 1 << 20
+#: most words a Python worker keeps (about 160 bytes each); those used since the last turn outlive it
+WORDS_HELD = 1 << 18
 _RANK_SLOTS = 1 << 16
 _NONE = 1 << 30
 
@@ -110,23 +111,32 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Words(dict):
-    """Word -> its ids as little-endian 32-bit numbers, for the distinct words seen so far."""
+    """Word -> its ids as little-endian 32-bit numbers, for distinct words seen lately.
+
+    Two generations of half ``WORDS_HELD`` bound the memory: a full one becomes ``older``, words
+    found there come back without a fold, and the rest goes with the next turn.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         merges = [(ranks[p[:i]] << 32 | ranks[p[i:]], r) for p, r in ranks.items() for i in range(1, len(p)) if p[:i] in ranks and p[i:] in ranks]
         table = np.array(sorted(merges), dtype=np.int64).reshape(-1, 2)
         self.pairs, self.rank = table[:, 0], table[:, 1].astype(np.int32)
 
     def encode(self, lists: list[list[str]]) -> list[bytes]:
-        """The ids of each list of words; words not seen before are folded together."""
-        new = set().union(*lists).difference(self)
-        if len(self) + len(new) > WORDS_HELD:  # a bound on memory: words are then folded anew
+        """The ids of each list of words; words not held are folded together."""
+        asked = set().union(*lists)
+        new = asked.difference(self)
+        if len(self) + len(new) > WORDS_HELD // 2:
+            self.older = dict(self)
             self.clear()
-            new = set().union(*lists)
-        self._learn(new)
+            new = asked
+        known = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+        self.update(known)
+        self._learn(new.difference(known))
         return [b"".join(map(self.__getitem__, words)) for words in lists]
 
     def _learn(self, words: set[str]) -> None:

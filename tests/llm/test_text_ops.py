@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -57,6 +58,21 @@ def test_higher_order_fold_and_decoding(llm):
     assert bytes(got[0].t).decode() == text and bytes(got[1].t) == b"" and got[2].t is None
 
 
+def test_words_held_are_bounded_and_those_in_use_stay(monkeypatch):
+    assert bpe.WORDS_HELD * 160 < 1 << 26  # bytes of a worker
+    monkeypatch.setattr(bpe, "WORDS_HELD", 200)
+    own, folds, most = bpe.Words(RANKS), Counter(), 0
+    learn = own._learn
+    own._learn = lambda words: (folds.update(words), learn(words))
+    for k in UPPER + LOWER:
+        lists = [["xqzvik", f"qvx{k}zkw{j}"] for j in LOWER]
+        assert own.encode(lists) == [theirs(a) + theirs(b) for a, b in lists]
+        most = max(most, len(own) + len(own.older))
+    assert folds["xqzvik"] == 1
+    assert most <= 200 + 27
+
+
+
 @pytest.mark.parametrize("capacity", [16, 64])
 def test_packing_is_lossless_and_full(docs_of, capacity):
     rng = random.Random(5)
