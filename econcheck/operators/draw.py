@@ -155,15 +155,16 @@ def draw_until_full(
 ) -> DataFrame:
     """First attempt that fills every quota, drawn in waves of parallel attempts.
 
-    When none of ``max_attempts`` does, that is an error; with ``partial`` the largest draw
+    Every attempt orders the whole pool, so waves grow from one attempt to ``wave``, twofold each:
+    attempts up to the first full one are drawn, and never as many again. When none of ``max_attempts`` does, that is an error; with ``partial`` the largest draw
     is kept and ``shortfall`` says how many rows it lacks.  Every attempt is a bounded sample, so only sizes
     and the best draw so far are carried from wave to wave.
     """
     total = min(sum(q.values()) for q in quotas.values())
     kept = cut_lineage(pool)
-    best, missing = None, None
-    for start in range(0, max_attempts, wave):
-        n = min(wave, max_attempts - start)
+    best, missing, start = None, None, 0
+    while start < max_attempts:
+        n = min(wave, start + 1, max_attempts - start)
         drawn = quota_draw(kept, seed, namespace, quotas, attempts=n, core=core, first_attempt=start, **options)
         top = cut_lineage(winning_attempt(drawn, total))
         row = top.select("shortfall").first()
@@ -172,6 +173,7 @@ def draw_until_full(
             best, missing = top, lacking
         if missing <= 0:
             return best
+        start += n
     if not partial:
         raise ValueError(f"no attempt of {max_attempts} fills the quotas; the best lacks {missing} of {total} rows")
     return best

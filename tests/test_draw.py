@@ -72,6 +72,27 @@ def test_draw_until_full_or_best(spark):
     assert best.first().shortfall == 14 - best.count()
 
 
+def test_few_attempts_behind_the_first_full_one_are_drawn(spark, monkeypatch):
+    drawn, one = [], D.quota_draw
+
+    def counted(*a, **k):
+        drawn.extend(range(k["first_attempt"], k["first_attempt"] + k["attempts"]))
+        return one(*a, **k)
+
+    df = frame(spark, make_pool(300, 9))
+    every = {r.attempt_id: r["count"] for r in one(df, "s", "d", QUOTAS, attempts=16).groupBy("attempt_id").count().collect()}
+    first = min(a for a, n in every.items() if n == max(every.values()))
+    monkeypatch.setattr(D, "quota_draw", counted)
+    full = D.draw_until_full(df, "s", "d", QUOTAS)
+    assert full.select("attempt_id").distinct().collect()[0][0] == first
+    assert drawn == list(range(len(drawn))) and len(drawn) <= 2 * first + 1
+    drawn.clear()
+    impossible = {"tier": {"t1": 9}, "indicator": {"x": 9}}
+    with pytest.raises(ValueError):
+        D.draw_until_full(df, "s", "d", impossible, wave=3, max_attempts=7)
+    assert drawn == list(range(7))
+
+
 def test_batches_respect_every_rule(spark):
     rng = random.Random(2)
     bank = [(f"R-{i:03d}", f"E{rng.randint(0, 40)}", f"i{rng.randint(0, 13)}", "null_probe" if i % 8 == 0 else "headline") for i in range(90)]
