@@ -113,24 +113,33 @@ def parsed_items(batches: DataFrame) -> DataFrame:
     return exploded.withColumn("qid", _item_id(F.col("item")))
 
 
-def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
-    """One row per expected batch of a called model: its qids, parse outcome, elements and their ids.
-
-    A batch is a handful of questions by design, so everything about its answers is
-    decided inside its row; expected batches and files meet in a single join.
-    Models without any raw file stay absent: not called is not the same as failed.
-    """
+def _asked(expected: DataFrame) -> DataFrame:
+    """(model, batch_id, qids, positions): what a batch asks, and the place of each question in it."""
+    if "asked" in expected.columns:
+        return expected.select("model", "batch_id", F.col("asked.qid").alias("qids"), "positions")
     placed = F.col("position") if "position" in expected.columns else F.lit(None).cast("int")
     batch = Window.partitionBy("model", "batch_id")
     # ordered questions lie sorted by batch already: a window lists them in that pass, its first row stands for the batch
     listed = F.collect_list(F.struct(placed.cast("int").alias("position"), "qid")).over(batch)
     rows = expected.withColumn("_at", F.monotonically_increasing_id()).select("model", "batch_id", "_at", listed.alias("asked"), F.min("_at").over(batch).alias("_first"))
-    wanted = rows.where("_at = _first").select("model", "batch_id", F.array_sort("asked").alias("asked")).withColumn("qids", F.transform("asked", lambda a: a["qid"]))
-    # the roster in one row: a join on the few models would send every batch to a handful of tasks
-    called = files.agg(F.collect_set("model")).scalar()
-    both = wanted.where(F.array_contains(called, F.col("model"))).join(files, ["model", "batch_id"], "left")
-    opened = parse_batches(both).withColumn("elements", _elements(F.col("parsed")))
-    return opened.withColumn("ids", F.transform("elements", _item_id)).drop("original", "repair", "parsed")
+    first = rows.where("_at = _first").select("model", "batch_id", F.array_sort("asked").alias("asked"))
+    return first.select("model", "batch_id", F.col("asked.qid").alias("qids"), F.col("asked.position").alias("positions"))
+
+
+def _opened(expected: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per expected batch: its qids and their positions, parse outcome, elements and their ids, and whether its model was ``called``.
+
+    A batch is a handful of questions by design, so everything about its answers is
+    decided inside its row; expected batches and files meet in a single join.
+    ``expected`` has a row per question, or one per batch with its questions in ``asked`` and their ``positions``.
+    Models without any raw file are left out by the callers: not called is not the same as failed.
+    """
+    # the roster in one row: a join on the few models would send every batch to a handful of tasks.
+    # It looks at the texts as the join does and filters nothing below it, so both read the same shuffled files.
+    there = F.coalesce(F.length("original"), F.length("repair"), F.lit(0)) >= 0
+    called = files.agg(F.collect_set(F.when(there, F.col("model")))).scalar()
+    opened = parse_batches(_asked(expected).join(files, ["model", "batch_id"], "left")).withColumn("elements", _elements(F.col("parsed")))
+    return opened.withColumn("ids", F.transform("elements", _item_id)).withColumn("called", F.array_contains(called, F.col("model"))).drop("original", "repair", "parsed")
 
 
 def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -144,13 +153,11 @@ def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # each question takes its own item along, not the whole answer
     place = lambda q: F.coalesce(F.array_position("ids", q), F.lit(0))
     picked = F.transform(
-        "asked",
-        lambda a: let(
-            place(a["qid"]),
-            lambda at: F.struct(a["qid"].alias("qid"), a["position"].alias("batch_position"), (at == 0).alias("_failed"), F.get(F.col("elements"), (at - 1).cast("int")).alias("_item")),
-        ),
+        "qids",
+        lambda q: let(place(q), lambda at: F.struct(q.alias("qid"), (at == 0).alias("_failed"), F.get(F.col("elements"), (at - 1).cast("int")).alias("_item"))),
     )
-    per_qid = opened.withColumn("_q", F.explode(picked)).select("model", "batch_id", "repaired", "outcome", "_q.*")
+    per_qid = opened.select("model", "batch_id", "repaired", "outcome", "positions", F.posexplode(F.when(F.col("called"), picked)).alias("_at", "_q"))
+    per_qid = per_qid.select("model", "batch_id", "repaired", "outcome", F.get("positions", F.col("_at")).alias("batch_position"), "_q.*")
     failed = F.col("_failed")
     reason = F.when(F.col("outcome") != "parsed", F.col("outcome")).otherwise(F.lit("qid_missing_from_output"))
     rows = per_qid.select("model", "batch_id", "qid", "batch_position", "repaired", failed.alias("format_failure"), reason.alias("_reason"), F.when(~failed, F.col("_item")).alias("_item"))
@@ -168,7 +175,7 @@ def align(expected: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def batch_statistics(expected: DataFrame, files: DataFrame) -> DataFrame:
     """Per model and batch: outcome, repaired, items, aligned, extraneous and duplicate counts."""
-    opened = _opened(expected, files)
+    opened = _opened(expected, files).where("called")
     known = F.filter("ids", lambda x: F.array_contains(F.col("qids"), x))
     n, k, aligned = F.size("ids"), F.size(known), F.size(F.array_distinct(known))
     return opened.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from econcheck.dims import benchmark as B
+from econcheck.plans.barrier import let
 from econcheck.plans.durable import cut_lineage
 from econcheck.plans.ranking import row_number_by_hash
 
@@ -351,14 +352,28 @@ def pack_batches(bank: DataFrame, seed: str, size: int = B.BATCH_SIZE, max_probe
     return folded.select(F.concat(F.lit("batch-"), label).alias("batch_id"), F.explode("batch.qid").alias("qid"))
 
 
+def ordered_batches(batches: DataFrame, models: list[str], seed: str) -> DataFrame:
+    """(model, batch_id, asked, positions): a row per model and batch, its questions and their places in that model's order.
+
+    A batch is a handful of questions by design: it travels as one row, and its order is
+    worked out inside that row, so no question is shuffled or sorted by itself.  Who does
+    not look at ``positions`` does not pay for them.
+    """
+    held = [c for c in batches.columns if c != "batch_id"]
+    rows = batches.groupBy("batch_id").agg(F.collect_list(F.struct(*held)).alias("asked"))
+    # batches meet the other tables of a model by these keys: order them there, not before
+    spread = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).repartition("model", "batch_id")
+    name = F.concat_ws(":", "model", "batch_id")
+    keyed = F.transform("asked", lambda r, i: F.struct(seeded_key(seed, name, r["qid"]).alias("key"), i.alias("i")))
+    order = F.sort_array(keyed)["i"]
+    positions = let(order, lambda o: F.transform("asked", lambda r, i: F.array_position(o, i).cast("int")))
+    return spread.select("model", "batch_id", "asked", positions.alias("positions"))
+
+
 def order_for_models(batches: DataFrame, models: list[str], seed: str) -> DataFrame:
     """(model, batch_id, qid, position): membership shared, order seeded per model and batch."""
-    # rows meet before they get their keys: a hash is four times as long as the row it orders
-    spread = batches.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).repartition("model", "batch_id")
-    key = seeded_key(seed, F.concat_ws(":", "model", "batch_id"), F.col("qid"))
-    return spread.withColumn("_key", key).withColumn(
-        "position", F.row_number().over(Window.partitionBy("model", "batch_id").orderBy("_key"))
-    ).drop("_key")
+    rows = ordered_batches(batches, models, seed).select("model", "batch_id", "positions", F.posexplode("asked").alias("_at", "_row"))
+    return rows.select("model", "batch_id", "_row.*", F.get("positions", F.col("_at")).alias("position")).select(*batches.columns, "model", "position")
 
 
 def render_prompts(ordered: DataFrame, questions: DataFrame, opening: str) -> tuple[DataFrame, DataFrame]:

@@ -61,7 +61,7 @@ def score_answers(answers: DataFrame, truth: DataFrame, revisions: DataFrame | N
             segment == "recency", F.coalesce(verdict, F.lit("uncorroborated_answer"))
         ).otherwise(verdict),
     )
-    rows = evaluate_once(rows, F.struct(value.alias("normalized_value"), status.alias("status")))
+    rows = rows.withColumns({"normalized_value": value, "status": status})
     claimed = F.col("normalized_value")
     missed = (segment == "headline") & (F.col("status") == "mismatch")
     ratio = J.ratio_to(claimed, official)

@@ -25,10 +25,11 @@ def read_answer_files(spark: SparkSession, root: str) -> DataFrame:
 
 def answer_files(raw: DataFrame) -> DataFrame:
     """``raw(path, body)`` to one row per model and batch with the original and the repair text."""
-    parts = raw.select(
-        F.regexp_extract("path", ANSWER_PATH, 1).alias("model"), F.regexp_extract("path", ANSWER_PATH, 2).alias("batch_id"),
-        (F.regexp_extract("path", ANSWER_PATH, 3) != "").alias("is_repair"), "body",
-    ).filter(F.col("model") != "")
+    # no path: no model, and so no file
+    part = lambda i: F.coalesce(F.regexp_extract("path", ANSWER_PATH, i), F.lit(""))
+    parts = raw.select(part(1).alias("model"), part(2).alias("batch_id"), (part(3) != "").alias("is_repair"), "body").filter(F.col("model") != "")
+    # a batch has two files at most: nothing to combine before they meet, so they are sorted once and not twice
+    parts = parts.repartition("model", "batch_id")
     return parts.groupBy("model", "batch_id").agg(
         F.max(F.when(~F.col("is_repair"), F.col("body"))).alias("original"), F.max(F.when(F.col("is_repair"), F.col("body"))).alias("repair")
     )

@@ -1,12 +1,15 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from econcheck.operators import answers as N
+from econcheck.operators import draw as D
 from econcheck.operators import score as S
 from econcheck.operators import truth as G
 from econcheck.plans.quantiles import index_quantiles
+from econcheck.sources import artefacts as A
 
 
 def test_strict_parse_and_repair(spark):
@@ -181,3 +184,67 @@ def test_batches_are_not_dealt_out_by_model(spark):
     assert not re.search(r"hashpartitioning\(model#\d+, \d+\)", plan)
     got = {(r.model, r.qid) for r in answers.filter("value = 1 AND NOT format_failure").collect()}
     assert got == {(m, f"Q{i}") for m in "ab" for i in range(40)} and answers.count() == 80 and extra.count() == 0
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_batches_travel_as_rows(spark):
+    """A batch with its questions in one row aligns as its single questions do; nobody pays for an order that is not looked at."""
+    batches = spark.createDataFrame([(f"batch-{b}", f"q{b}-{i}") for b in range(1, 4) for i in range(5)] + [("batch-1", "q1-0"), ("batch-3", None)], "batch_id string, qid string")
+    body = '[{"qid":" q1-0 ","value":1,"refused":false},{"qid":"zz"},{"qid":"q1-0","value":9}]'
+    files = spark.createDataFrame([("m", "batch-1", body, None), ("m", "batch-2", "no json", None), ("n", "batch-9", None, None)], "model string, batch_id string, original string, repair string")
+    models = ["m", "n", "silent"]
+    rows, held = D.order_for_models(batches, models, "s"), D.ordered_batches(batches, models, "s")
+    assert rows.columns == ["batch_id", "qid", "model", "position"]
+    order = {}
+    for r in rows.collect():
+        order.setdefault((r.model, r.batch_id), []).append((r.position, r.qid))
+    for (model, batch), got in order.items():
+        key = lambda q: hashlib.sha256(":".join(["s", f"{model}:{batch}", q or ""]).encode()).hexdigest()
+        asked = [r.qid for r in batches.where(F.col("batch_id") == batch).collect()]
+        assert sorted(got) == list(enumerate(sorted(asked, key=key), 1))
+    one, many = N.align(held, files), N.align(rows, files)
+    text = lambda df: sorted(str(r) for r in df.drop("item").collect())
+    assert text(one[0]) == text(many[0]) and len(text(one[0])) == 2 * 17 and text(one[1]) == text(many[1])
+    assert text(N.batch_statistics(held, files)) == text(N.batch_statistics(rows, files))
+    assert "sha2" not in _plan(one[0].select("model", "qid", "value")) and "sha2" in _plan(one[0].select("batch_position"))
+
+
+def test_roster_shares_the_shuffle_of_the_files(spark):
+    """Files are grouped once for the join and for the list of called models, and are sorted once."""
+    raw = spark.range(40).select(F.concat(F.lit("raw/m"), F.col("id") % 2, F.lit("/batch-"), F.col("id"), F.lit(".txt")).alias("path"), F.lit("[]").alias("body"))
+    raw = raw.unionByName(spark.createDataFrame([(None, "[]"), ("raw/x.txt", "[]")], "path string, body string"))
+    expected = spark.range(41).select(F.explode(F.array(F.lit("m0"), F.lit("m1"), F.lit("m2"))).alias("model"), F.concat(F.lit("batch-"), "id").alias("batch_id"), F.lit("q").alias("qid"))
+    answers, _ = N.align(expected, A.answer_files(raw))
+    assert answers.count() == 82
+    answers.write.format("noop").mode("overwrite").save()
+    answers = answers.select("model", "qid", "format_failure")
+    answers.collect()
+    assert "ReusedExchange" in answers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unit_rules_in_order(spark):
+    from econcheck.functions.units import declared_unit
+
+    cases = {
+        ("%", "percent"): (True, 1.0, None), ("bps", "percent"): (True, 0.01, None), ("ratio", "percent"): (True, 100.0, None), ("ratio of gdp in %", "percent"): (False, None, "ambiguous_percent_and_ratio"),
+        ("usd", "percent"): (False, None, "kind_mismatch_expected_percent"), ("% eur", "level"): (False, None, "kind_mismatch_expected_level"), ("US$ thousand million", "level"): (True, 1e9, None),
+        ("widgets eur", "level"): (False, None, "unknown_token:widgets"), ("usd eur", "level"): (False, None, "rejected_token:eur"), ("...", None): (False, None, "unit_empty_after_cleaning"),
+        (" ", "level"): (False, None, "unit_missing_or_not_string"), (None, "percent"): (False, None, "unit_missing_or_not_string"), ("share", None): (False, None, "kind_mismatch_expected_level"),
+    }
+    df = spark.createDataFrame(list(cases), "u string, k string").select("u", "k", declared_unit(F.col("u"), F.col("k")).alias("d"))
+    assert {(r.u, r.k): tuple(r.d) for r in df.collect()} == cases
+
+
+def test_neighbouring_years(spark, tmp_path):
+    from econcheck.queries import score as Q
+    from econcheck.queries.inputs import Tables
+
+    data = [(1, 1, 10.0, "2000-01-05"), (2, 1, 20.0, "2001-01-05"), (3, 1, 40.0, "2003-01-05"), (4, 1, 5.0, None), (5, None, 7.0, "2000-01-05"), (6, 2, None, "1999-01-05"), (7, 2, 8.0, "2000-01-05")]
+    rows = spark.createDataFrame(data, "o_orderkey long, o_custkey long, o_totalprice double, d string")
+    rows.select("o_orderkey", "o_custkey", "o_totalprice", F.to_timestamp("d").alias("o_orderdate")).write.parquet(str(tmp_path / "orders.parquet"))
+    q = Q.questions(Tables(spark, str(tmp_path)))
+    got = {(r.custkey, r.year): (r.base, r.prev_value, r.next_value) for r in q.collect()}
+    assert got == {(1, 2000): (10.0, None, 20.0), (1, 2001): (20.0, 10.0, None), (1, 2003): (40.0, None, None), (1, None): (5.0, 5.0, 5.0), (None, 2000): (7.0, None, None), (2, 2000): (8.0, None, None)}
