@@ -357,7 +357,8 @@ def ordered_batches(batches: DataFrame, models: list[str], seed: str) -> DataFra
 
     A batch is a handful of questions by design: it travels as one row, and its order is
     worked out inside that row, so no question is shuffled or sorted by itself.  Who does
-    not look at ``positions`` does not pay for them.
+    not look at ``positions`` does not pay for them.  ``order_for_models`` gives the same
+    order question by question, whatever the size of a batch.
     """
     held = [c for c in batches.columns if c != "batch_id"]
     rows = batches.groupBy("batch_id").agg(F.collect_list(F.struct(*held)).alias("asked"))
@@ -372,8 +373,12 @@ def ordered_batches(batches: DataFrame, models: list[str], seed: str) -> DataFra
 
 def order_for_models(batches: DataFrame, models: list[str], seed: str) -> DataFrame:
     """(model, batch_id, qid, position): membership shared, order seeded per model and batch."""
-    rows = ordered_batches(batches, models, seed).select("model", "batch_id", "positions", F.posexplode("asked").alias("_at", "_row"))
-    return rows.select("model", "batch_id", "_row.*", F.get("positions", F.col("_at")).alias("position")).select(*batches.columns, "model", "position")
+    # rows meet before they get their keys: a hash is four times as long as the row it orders
+    spread = batches.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models]))).repartition("model", "batch_id")
+    key = seeded_key(seed, F.concat_ws(":", "model", "batch_id"), F.col("qid"))
+    return spread.withColumn("_key", key).withColumn(
+        "position", F.row_number().over(Window.partitionBy("model", "batch_id").orderBy("_key"))
+    ).drop("_key")
 
 
 def render_prompts(ordered: DataFrame, questions: DataFrame, opening: str) -> tuple[DataFrame, DataFrame]:
